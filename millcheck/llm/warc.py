@@ -77,7 +77,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def field(name: str) -> Column:
-    found = F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)\r$", 1)
+    found = F.regexp_extract("header", rf"\n{name}: ([^\r\n]*)\r", 1)
     return F.when(found != "", found)
 
 
