@@ -104,10 +104,27 @@ def critical_value(values: Column, lo: Column, hi: Column) -> Column:
     return F.struct(value.alias("value"), F.bround(exact(F.least(value - lo, hi - value)), 4).cast("double").alias("margin"))
 
 
-def ocr_confidence(n_meta: Column, n_chem: Column, n_mech: Column, n_boxes: Column) -> Column:
-    """30 for header fields, up to 25 for chemistry, up to 20 for mechanics, up to 25 for located fields; 50 to 99."""
-    score = F.least(n_meta * 6, F.lit(30)) + F.least(n_chem * 5, F.lit(25)) + F.least(n_mech * 5, F.lit(20)) + F.least(n_boxes * 2.5, F.lit(25.0))
-    return F.greatest(F.lit(50), F.least(F.lit(99), F.floor(score + 0.5))).cast("long")
+def ocr_confidence(header: dict[str, Column], n_chemical: Column, mechanical: dict[str, Column], other: Column, n_items: Column, n_boxes: Column) -> Column:
+    """Confidence of an extraction, 50 to 99: up to 30 for header fields that are there, 25 for numeric chemistry, 20
+    for mechanics, 25 for the share of n_items + 9 fields located by boxes, or, without boxes, of the rest's share.
+
+    header: certificate, batch, grade, supplier, standard; mechanical: tensile, yield, elongation; both boolean, as is
+    other (any process, extra or hardness result)."""
+    # fixed values: points of each field
+    points = {"certificate": 6, "batch": 8, "grade": 8, "supplier": 4, "standard": 4, "tensile": 6, "yield": 6, "elongation": 4}
+    part = F.least(3 * n_chemical, F.lit(25)) + F.when(other, 4).otherwise(0)
+    for name, there in (header | mechanical).items():
+        part = part + F.when(there, points[name]).otherwise(0)
+    boxes = F.floor(F.least(F.lit(1.0), n_boxes / (n_items + 9)) * 25 + 0.5)
+    rest = F.floor(part / 75 * 25 + 0.5)
+    return F.greatest(F.lit(50), F.least(F.lit(99), part + F.when(n_boxes > 0, boxes).otherwise(rest))).cast("long")
+
+
+def grade_confidence(alias_known: Column, alias_primary: Column, text: Column) -> Column:
+    """0 for no grade, 100 for a primary name, 98 for a known alias or a usual form, else 50."""
+    key = F.regexp_replace(F.upper(text), r"[\s\-_/\\.]", "")
+    usual = text.rlike(r"(?i)^SA\s*387") | key.rlike(r"^S[0-9]{5}$") | key.rlike(r"^[0-9]{2,3}CR[0-9]+")
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0).when(alias_known & alias_primary, 100).when(alias_known | usual, 98).otherwise(50)
 
 
 #: Fixed values: (system verdict, human verdict) to (disposition, release, concession, effective verdict); * is any.

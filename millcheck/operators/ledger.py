@@ -60,14 +60,14 @@ def search(sessions: DataFrame, columns: list[str], q: str = "", bucket: str = "
     return x.where(contains_any(columns, q.strip()) | inner)
 
 
-def sequence_numbers(sessions: DataFrame, buckets: int = 64) -> DataFrame:
-    """sessions (session_id, saved_at) with seq, their number by time and id. Ranges of time are numbered apart and
-    shifted by the counts of those before, so no task sorts them all."""
-    ranged = sessions.repartitionByRange(buckets, "saved_at", "session_id").withColumn("part_", F.spark_partition_id())
-    local = ranged.withColumn("n_", F.row_number().over(Window.partitionBy("part_").orderBy("saved_at", "session_id")))
-    counts = ranged.groupBy("part_").agg(F.count("*").alias("c_"))
-    shift = counts.select("part_", F.coalesce(F.sum("c_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift_"))
-    return local.join(F.broadcast(shift), "part_").withColumn("seq", (F.col("n_") + F.col("shift_")).cast("long")).drop("part_", "n_", "shift_")
+def sequence_numbers(sessions: DataFrame) -> DataFrame:
+    """sessions (session_id, saved_at) with seq, their number by time and id. Each day is numbered for itself and
+    shifted by the counts of the days before, so no task sorts more than a day."""
+    dated = sessions.withColumn("day_", F.to_date("saved_at"))
+    local = dated.withColumn("n_", F.row_number().over(Window.partitionBy("day_").orderBy("saved_at", "session_id")))
+    before = Window.orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
+    shift = dated.groupBy("day_").agg(F.count("*").alias("c_")).select(F.col("day_").alias("d_"), F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("shift_"))
+    return local.join(shift, F.col("day_").eqNullSafe(F.col("d_"))).withColumn("seq", (F.col("n_") + F.col("shift_")).cast("long")).drop("day_", "d_", "n_", "shift_")
 
 
 def neighbours(batches: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def token_score(raw: Column, names: Column) -> Column:
     """How alike a grade and the names of a slice are: .95 if one holds the other; .9 or .8 for a shared token of four
     or three characters; else the share of equal positions, .1 at least."""
     r, tokens = bare(raw), grade_tokens(raw)
-    keys = F.filter(F.transform(names, bare), lambda x: x != "")
+    keys = F.filter(F.transform(names, lambda x: bare(x)), lambda x: x != "")
     held = F.exists(keys, lambda k: F.contains(r, k) | F.contains(k, r))
     token = lambda n: F.exists(keys, lambda k: F.exists(tokens, lambda t: (F.length(t) >= n) & F.contains(k, t)))
     alike = F.array_max(F.transform(keys, lambda k: positional(r, k)))
