@@ -70,9 +70,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     facts = facts.join(first, "digest").withColumn("response", F.col("id").eqNullSafe(F.col("first")) | (F.col("n_bytes") < revisit_bytes))
     records = facts.withColumn("refers", F.when(~F.col("response"), F.col("first")))
     records.select("id", "refers", "digest", header().alias("header")).write.parquet(f"{path}/records")
-    # by digest and id, so the copies of one payload are not all dealt to one task
-    pick = first.select(F.col("digest").alias("d"), F.col("first").alias("f"))
-    held = rows.join(pick, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("f")), "left_semi").dropDuplicates(["digest", "id"])
+    # by digest and id, so the copies of one payload are not all dealt to one task; one key, so they move once
+    key = lambda digest, i: F.concat_ws(" ", F.col(digest), F.coalesce(F.col(i).cast("string"), F.lit("null"))).alias("k")
+    held = rows.select(key("digest", "id"), "digest", "payload").join(first.select(key("digest", "first")), "k", "left_semi").dropDuplicates(["k"])
     held.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
