@@ -111,42 +111,56 @@ def probe(pairs: DataFrame, held: DataFrame, names: str = "names") -> DataFrame:
     return pairs.join(hits, ["cert_id", "rule_id"], "left")
 
 
+def group_outcome(op: Column, min_pass: Column, n_rules: Column, n_pass: Column, n_fail: Column, n_missing: Column, mandatory: Column) -> tuple[Column, Column]:
+    """Status and blocking of a group. OR passes with min_pass passes (one if unset), with a warning if any fails; AND
+    if all pass. A failed OR blocks if a member is mandatory, a failed AND if a member fails or is missing."""
+    either = op == "OR"
+    ok = F.when(either, n_pass >= F.coalesce(min_pass, F.lit(1))).otherwise(n_pass == n_rules)
+    status = F.when(~ok, "FAIL").when(either & (n_fail > 0), "PASS_WITH_WARNING").otherwise("PASS")
+    blocking = F.when(ok, False).when(either, mandatory == 1).otherwise((n_fail > 0) | (n_missing > 0))
+    return status, blocking
+
+
+def is_status(s: str) -> Column:
+    return F.count(F.when(F.col("status") == s, 1))
+
+
+def is_mandatory() -> Column:
+    return F.max(F.coalesce((F.col("level") == "MANDATORY").cast("int"), F.lit(0)))
+
+
 def group_verdicts(items: DataFrame) -> DataFrame:
     """A row per certificate and rule group of items (cert_id, group_id, group_op, min_pass, status, level): counts,
-    status, blocking. OR passes with min_pass passes (one if unset), with a warning if any fails; AND if all pass. A
-    failed OR blocks if a member is mandatory, a failed AND if a member fails or is missing."""
-    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    group_status, blocking."""
     g = items.where("group_id is not null").groupBy("cert_id", "group_id").agg(
-        F.first("group_op").alias("group_op"), F.max("min_pass").alias("min_pass"), F.count("*").alias("n_rules"), n("PASS").alias("n_pass"), n("FAIL").alias("n_fail"), n("MISSING").alias("n_missing"), F.max(F.coalesce((F.col("level") == "MANDATORY").cast("int"), F.lit(0))).alias("mandatory"),
+        F.first("group_op").alias("group_op"), F.max("min_pass").alias("min_pass"), F.count("*").alias("n_rules"), is_status("PASS").alias("n_pass"), is_status("FAIL").alias("n_fail"), is_status("MISSING").alias("n_missing"), is_mandatory().alias("mandatory"),
     )
-    either = F.col("group_op") == "OR"
-    ok = F.when(either, F.col("n_pass") >= F.coalesce("min_pass", F.lit(1))).otherwise(F.col("n_pass") == F.col("n_rules"))
-    status = F.when(~ok, "FAIL").when(either & (F.col("n_fail") > 0), "PASS_WITH_WARNING").otherwise("PASS")
-    blocking = F.when(ok, False).when(either, F.col("mandatory") == 1).otherwise((F.col("n_fail") > 0) | (F.col("n_missing") > 0))
+    status, blocking = group_outcome(*(F.col(c) for c in ("group_op", "min_pass", "n_rules", "n_pass", "n_fail", "n_missing", "mandatory")))
     return g.select("cert_id", "group_id", "group_op", "n_rules", "n_pass", "n_fail", "n_missing", status.alias("group_status"), blocking.alias("blocking"))
 
 
-def suppress(items: DataFrame, groups: DataFrame) -> DataFrame:
-    """items with the missing and skipped members of passing OR groups as SKIPPED, and order_ by which members are
-    listed: unsuppressed first, then by status, then pos. Failed members keep their status."""
-    g = groups.where("group_op = 'OR' and group_status <> 'FAIL'").select("cert_id", "group_id", F.lit(True).alias("passed_"))
-    x = items.join(g, ["cert_id", "group_id"], "left")
-    off = F.coalesce("passed_", F.lit(False)) & F.col("status").isin("MISSING", "SKIPPED")
-    x = x.withColumn("suppressed", off).withColumn("status", F.when(off, "SKIPPED").otherwise(F.col("status")))
-    w = Window.partitionBy("cert_id", "group_id").orderBy("suppressed", rank(F.col("status"), STATUS_RANK, 99), "pos")
-    return x.withColumn("order_", F.row_number().over(w)).drop("passed_")
-
-
-def summary(certs: DataFrame, items: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """A row per certificate: counts by status, the blocking list in order, and the verdict. One failure or one
-    blocking entry vetoes; a certificate without any item is for manual review."""
-    n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s.lower()}")
+def with_groups(items: DataFrame) -> DataFrame:
+    """items with the verdict of their group (the columns of group_verdicts, null outside groups), the missing and
+    skipped members of passing OR groups as SKIPPED, and order_ by which members are listed: unsuppressed first, then
+    by status, then pos. Failed members keep their status. One window, so items are worked out once."""
+    w = Window.partitionBy("cert_id", "group_id")
+    inside = F.col("group_id").isNotNull()
+    x = items.withColumns({"n_rules": F.count("*").over(w), "n_pass": is_status("PASS").over(w), "n_fail": is_status("FAIL").over(w), "n_missing": is_status("MISSING").over(w), "mandatory_": is_mandatory().over(w), "least_": F.max("min_pass").over(w)})
+    status, blocking = group_outcome(*(F.col(c) for c in ("group_op", "least_", "n_rules", "n_pass", "n_fail", "n_missing", "mandatory_")))
+    x = x.withColumn("group_status", F.when(inside, status)).withColumn("blocking", F.when(inside, blocking)).drop("mandatory_", "least_")
+    off = inside & (F.col("group_op") == "OR") & (F.col("group_status") != "FAIL") & F.col("status").isin("MISSING", "SKIPPED")
+    x = x.withColumn("suppressed", F.coalesce(off, F.lit(False))).withColumn("status", F.when(F.coalesce(off, F.lit(False)), "SKIPPED").otherwise(F.col("status")))
+    return x.withColumn("order_", F.row_number().over(w.orderBy("suppressed", rank(F.col("status"), STATUS_RANK, 99), "pos")))
+
+
+def summary(certs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row per certificate: counts by status, what blocks in order (missing rules, then groups if items have the
+    columns of with_groups), and the verdict. One failure or one blocking entry vetoes; a certificate without any item
+    is for manual review."""
     blocks = (F.col("status") == "MISSING") & F.col("level").isin("MANDATORY", "CONDITIONAL") & F.col("group_id").isNull()
-    missing = F.array_sort(F.collect_list(F.when(blocks, F.struct("pos", "rule_id"))))
-    s = items.groupBy("cert_id").agg(F.count("*").alias("n_items"), *(n(x) for x in ("PASS", "FAIL", "MISSING", "SKIPPED", "EXEMPT")), F.transform(missing, lambda x: x["rule_id"]).alias("blocking"))
-    if groups is not None:
-        b = groups.where("blocking").groupBy("cert_id").agg(F.array_sort(F.collect_list("group_id")).alias("blocking_groups"))
-        s = s.join(b, "cert_id", "left").withColumn("blocking", F.concat("blocking", F.coalesce("blocking_groups", F.array().cast("array<string>")))).drop("blocking_groups")
+    missing = F.transform(F.array_sort(F.collect_list(F.when(blocks, F.struct("pos", "rule_id")))), lambda x: x["rule_id"])
+    groups = F.array_sort(F.collect_set(F.when(F.col("blocking"), F.col("group_id")))) if "blocking" in items.columns else F.array().cast("array<string>")
+    s = items.groupBy("cert_id").agg(F.count("*").alias("n_items"), *(is_status(x).alias(f"n_{x.lower()}") for x in ("PASS", "FAIL", "MISSING", "SKIPPED", "EXEMPT")), F.concat(missing, groups).alias("blocking"))
     x = certs.select("cert_id").join(s, "cert_id", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in s.columns if c.startswith("n_")]
     verdict = F.when(F.coalesce("n_items", F.lit(0)) == 0, "MANUAL_REVIEW").when((F.col("n_fail") > 0) | (F.size("blocking") > 0), "FAIL").otherwise("PASS")

@@ -31,9 +31,10 @@ class Audit:
     unmatched: DataFrame
 
 
-def texts(rules: DataFrame, column: str) -> list[str]:
-    """Distinct texts of a column of the catalogue, on the driver."""
-    return sorted(r[0] for r in rules.select(column).where(f"{column} is not null").distinct().collect())
+def texts(rules: DataFrame, *columns: str) -> list[list[str]]:
+    """Distinct texts of columns of the catalogue, on the driver."""
+    row = rules.agg(*(F.array_sort(F.collect_set(c)) for c in columns)).first()
+    return [list(x) for x in row]
 
 
 def header_value(name: str) -> Column | None:
@@ -76,28 +77,35 @@ def slot_order() -> Column:
 
 def audit(certs: DataFrame, records: DataFrame, rules: DataFrame) -> Audit:
     """certs: cert_id, spec_key, header map<string,string>, dimensions map<string,double>. records: as slots() reads."""
-    rules = ops.small(rules)
-    triggers, lows, highs = (texts(rules, c) for c in ("trigger", "formula_lo", "formula_hi"))
-    held = ops.arbitrate(ops.slots(records))
-    pairs = certs.join(rules, "spec_key").withColumn("triggered", F.coalesce(by_text("trigger", triggers, lambda t: trigger(t, header_value)), F.lit(True)))
-    # a rule with options asks for each option, other rules for themselves
+    triggers, lows, highs = texts(rules, "trigger", "formula_lo", "formula_hi")
+    # one count decides for all tables made of the catalogue: none has more rows than its rules have names
+    small = F.broadcast if rules.limit(ops.SMALL + 1).count() <= ops.SMALL else lambda df: df
+    # a rule with options asks for each option, other rules for themselves; worked out on the catalogue alone
     one = F.array(F.struct(F.col("property_key").alias("key"), F.lit(None).cast("string").alias("required_level"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("int").alias("decimals")))
     chosen = F.col("rule_type").isin("or_choice_group", "alternative_group")
-    asked = pairs.select("*", F.posexplode(F.when(chosen, F.col("options")).otherwise(one)).alias("option_at", "option"))
+    asked = rules.select("*", F.posexplode(F.when(chosen, F.col("options")).otherwise(one)).alias("option_at", "option"))
     scale = F.array(F.concat_ws("_", "property_key", "option.key"), F.concat(F.lit("mech.hardness."), F.col("option.key")), F.col("option.key"))
     names = F.when(F.col("rule_type") == "or_choice_group", scale).when(F.col("rule_type") == "alternative_group", F.array(F.col("option.key"))).otherwise(slot_order())
     asked = asked.withColumn("rule_", F.col("rule_id")).withColumn("rule_id", F.concat_ws("\u0000", "rule_id", "option_at")).withColumn("names", names)
-    x = ops.probe(asked, held).join(ops.value_maps(records), "cert_id", "left")
+    # only slots that some rule asks for are settled
+    wanted = small(asked.select(F.explode("names").alias("slot")).distinct())
+    held = ops.arbitrate(ops.slots(records).join(wanted, "slot", "left_semi"))
+    pairs = certs.join(small(asked), "spec_key").withColumn("triggered", F.coalesce(by_text("trigger", triggers, lambda t: trigger(t, header_value)), F.lit(True)))
+    x = ops.probe(pairs, held)
+    x = x.join(ops.value_maps(records), "cert_id", "left") if lows or highs else x.withColumn("v", F.lit(None).cast("map<string,double>"))
     value, level = F.col("record.value"), F.col("level")
     found = F.col("record").isNotNull()
     words = F.concat_ws(" ", "record.text", "record.level")
-    lo, hi = F.coalesce("option.lo", "lo"), F.coalesce("option.hi", "hi")
     decimals = F.when(F.col("rule_type") == "or_choice_group", F.coalesce("option.decimals", F.lit(0))).otherwise(F.col("decimals"))
-    ranged = verdicts.numeric_range(value, lo, hi, level, decimals, F.col("lo_inclusive"), F.col("hi_inclusive"))
-    low, high = by_text("formula_lo", lows, bound), by_text("formula_hi", highs, bound)
+    # rounded once, in columns of their own: the verdicts use them many times
+    x = x.withColumn("lo_", F.coalesce("option.lo", "lo")).withColumn("hi_", F.coalesce("option.hi", "hi"))
+    rounded = verdicts.half_even(value, F.when(F.col("rule_type") == "dynamic_expression", F.coalesce(decimals, F.lit(3))).otherwise(decimals))
+    x = x.withColumn("rounded_", rounded).withColumn("low_", by_text("formula_lo", lows, bound).cast("double")).withColumn("high_", by_text("formula_hi", highs, bound).cast("double"))
     d = F.coalesce("decimals", F.lit(3))
-    v, a, b = (verdicts.half_even(c.cast("double"), d) for c in (value, low, high))
-    inside = (F.col("formula_lo").isNull() | F.coalesce(v >= a, F.lit(False))) & (F.col("formula_hi").isNull() | F.coalesce(v <= b, F.lit(False)))
+    x = x.withColumn("low_", verdicts.half_even(F.col("low_"), d)) if lows else x
+    x = x.withColumn("high_", verdicts.half_even(F.col("high_"), d)) if highs else x
+    ranged = verdicts.numeric_range(F.col("rounded_"), F.col("lo_"), F.col("hi_"), level, None, F.col("lo_inclusive"), F.col("hi_inclusive"))
+    inside = (F.col("formula_lo").isNull() | F.coalesce(F.col("rounded_") >= F.col("low_"), F.lit(False))) & (F.col("formula_hi").isNull() | F.coalesce(F.col("rounded_") <= F.col("high_"), F.lit(False)))
     claimed = F.col("record.level")
     number = F.nullif(F.regexp_extract(claimed, r"[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).try_cast("double")
     verdict = (
@@ -108,13 +116,16 @@ def audit(certs: DataFrame, records: DataFrame, rules: DataFrame) -> Audit:
         .when(F.col("rule_type").isin("dynamic_formula_pass", "qualitative_and_numeric"), verdicts.visual(words, found, level))
         .otherwise(verdicts.enum(words, claimed, number, F.col("required_level"), F.col("least_level"), found, level))
     )
-    each = x.select("cert_id", F.col("rule_").alias("rule_id"), "pos", "rule_type", "property_key", "level", "triggered", "group_id", "group_op", "min_pass", found.alias("found"), verdict.alias("s"), F.when(F.col("rule_type") == "numeric_range", ranged["deviation"]).alias("deviation"), value.alias("value"), F.coalesce(low, high).alias("bound"))
-    keys = ["cert_id", "rule_id", "pos", "rule_type", "property_key", "level", "triggered", "group_id", "group_op", "min_pass"]
+    each = x.select("cert_id", "spec_key", F.col("rule_").alias("rule_id"), "triggered", found.alias("found"), verdict.alias("s"), F.when(F.col("rule_type") == "numeric_range", ranged["deviation"]).alias("deviation"), value.alias("value"), F.coalesce("low_", "high_").alias("bound"))
     has = lambda s: F.max((F.col("s") == s).cast("int")) == 1
-    status = F.when(has("EXEMPT"), "EXEMPT").when(has("PASS"), "PASS").when(has("FAIL") & (F.max(F.col("found").cast("int")) == 1), "FAIL").otherwise(F.max_by("s", F.when(F.col("s") == "MISSING", 2).when(F.col("s") == "SKIPPED", 1).otherwise(0)))
-    items = each.groupBy(*keys).agg(status.alias("status"), F.max("found").alias("reported"), F.max("deviation").alias("deviation"), F.max("value").alias("value"), F.max("bound").alias("bound"))
+    reported = F.max(F.col("found").cast("int")) == 1
+    status = F.when(has("EXEMPT"), "EXEMPT").when(has("PASS"), "PASS").when(has("FAIL") & reported, "FAIL").when(has("MISSING"), "MISSING").otherwise("SKIPPED")
+    items = each.groupBy("cert_id", "spec_key", "rule_id").agg(status.alias("status"), reported.alias("reported"), (F.max(F.col("triggered").cast("int")) == 1).alias("triggered"), F.max("deviation").alias("deviation"), F.max("value").alias("value"), F.max("bound").alias("bound"))
+    items = items.join(small(rules.select("spec_key", "rule_id", "pos", "rule_type", "property_key", "level", "group_id", "group_op", "min_pass")), ["spec_key", "rule_id"])
     items = items.withColumn("status", verdicts.dispatch(F.col("triggered"), F.col("reported"), F.col("status")))
-    groups = ops.group_verdicts(items)
-    listed = ops.suppress(items, groups)
-    evaluated = pairs.select("cert_id", F.explode(F.concat(F.array("property_key"), F.coalesce(F.transform("options", lambda o: o["key"]), F.array().cast("array<string>")))).alias("property_key"))
-    return Audit(listed, groups, ops.summary(certs, listed, groups), ops.unmatched(records, evaluated))
+    listed = ops.with_groups(items)
+    groups = listed.where("group_id is not null and order_ = 1").select("cert_id", "group_id", "group_op", "n_rules", "n_pass", "n_fail", "n_missing", "group_status", "blocking")
+    keys = F.concat(F.array("property_key"), F.coalesce(F.transform("options", lambda o: o["key"]), F.array().cast("array<string>")))
+    looked_at = small(rules.select("spec_key", F.explode(keys).alias("property_key")).distinct())
+    rest = records.join(certs.select("cert_id", "spec_key"), "cert_id").join(looked_at, ["spec_key", "property_key"], "left_anti")
+    return Audit(listed, groups, ops.summary(certs, listed), rest.select(*records.columns))

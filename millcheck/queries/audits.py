@@ -53,7 +53,8 @@ def q_numeric_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([("quantity", 5.0, 45.0, 0, "MANDATORY"), ("discount", None, 0.08, 2, "MANDATORY"), ("tax", 0.01, None, 2, "OPTIONAL_AGREED"), ("hardness", 1.0, 2.0, 0, "CONDITIONAL")], "property_key string, lo double, hi double, d int, level string")
     held = ops.arbitrate(ops.slots(mapping.records(spark, sf_dir)).where("slot = property_key")).select("cert_id", F.col("slot").alias("property_key"), F.col("record.value").alias("value"))
     x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cert_id")).crossJoin(ops.small(rules)).join(held, ["cert_id", "property_key"], "left")
-    v = verdicts.numeric_range(F.col("value"), F.col("lo"), F.col("hi"), F.col("level"), F.col("d"))
+    x = x.withColumn("value", verdicts.half_even(F.col("value"), F.col("d")))
+    v = verdicts.numeric_range(F.col("value"), F.col("lo"), F.col("hi"), F.col("level"))
     return x.select("cert_id", "property_key", v.alias("v")).select("cert_id", "property_key", "v.status", "v.deviation", F.col("v.deviation_percent").alias("percent"))
 
 
