@@ -104,7 +104,8 @@ def plan(docs: DataFrame, id_col: str, text_col: str, block_words: int, common:
     texts = cut(rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("o"), F.first("h").alias("h"), F.first("w").alias("w")).select("k1", "k2", F.col("o.id").alias("id"), "h", "w"))
     seeds = texts.select("id", "k1", "k2", F.explode(F.array_distinct("h")).alias("line")).where("line <> 0")
     n_texts = texts.count()
-    held = seeds.groupBy("line").agg(F.count("*").alias("n"), F.min(order).alias("a")).where((F.col("n") > 1) & (F.col("n") <= max(2, common * n_texts)))
+    # written out, so that a line of very many texts can be split where it is joined
+    held = cut(seeds.groupBy("line").agg(F.count("*").alias("n"), F.min(order).alias("a")).where((F.col("n") > 1) & (F.col("n") <= max(2, common * n_texts))))
     pairs = seeds.join(held, "line").where("k1 <> a.k1 or k2 <> a.k2").select("k1", "k2", F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2")).distinct()
     earlier = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("h").alias("h2"))
     both = pairs.join(texts.select("k1", "k2", "h", "w"), ["k1", "k2"]).join(earlier, ["a1", "a2"])
