@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millcheck.llm.common import WORD
+from millcheck.llm.common import WORD, cut
 
 BLOCK = 64
 SHARD = 1_000_000
@@ -88,7 +88,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"))
     digest = F.md5(F.concat_ws(" ", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    sizes = sizes.withColumn("order_", digest)
+    # the texts are read once; all that follows needs their sizes only
+    sizes = cut(sizes.withColumn("order_", digest))
     targets = source_targets(sizes, weights, share, cap)
     # equal blocks to sources
     votes = targets.withColumn("v", F.col("target")).withColumn("tie", F.coalesce("source", F.lit("\U0010ffff")))
