@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment: rare shared lines find the pairs, patience diff aligns them, and what a document
 has in common with an earlier one is deleted from it.
 
-Texts are made distinct first: an exact copy aligns with its original as a whole. A line that several texts hold links
-each of them to the earliest, so a line in n texts makes n - 1 pairs, never all pairs, and needs no limit on n: each
-shared line of a document is looked at against the document that had it first. Lines in more than COMMON of all texts
-are not rare and make no pair, but are aligned in pairs like others.
+Texts are made distinct first: an exact copy aligns with its original as a whole. Short lines are seldom rare, so what
+finds a pair is the hash of a line of BLOCK_WORDS words, or of the shortest run of lines from one on that has as many:
+every block that could be deleted begins with such a run. A run that several texts hold links each of them to the
+earliest, so a run in n texts makes n - 1 pairs, never all pairs, and needs no limit on n: each shared run of a
+document is looked at against the document that had it first.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millcheck.llm.common import cut
 
 #: A common block is deleted if it has this many words in all.
 BLOCK_WORDS = 5
-COMMON = 0.5
 SPACES = r" \t\r\x0b\x0c"
 
 
@@ -85,13 +88,31 @@ def aligned(least: int):
     return f
 
 
+def runs(h: np.ndarray, n_words: np.ndarray, least: int) -> list[int]:
+    """Distinct hashes of the shortest runs of lines that have enough words, from each line that has any."""
+    upto = np.cumsum(n_words, dtype=np.int64)
+    start = np.flatnonzero(n_words)
+    end = np.searchsorted(upto, upto[start] - n_words[start] + least)
+    raw = h.astype("<i8").tobytes()
+    return list({xxhash.xxh64_intdigest(raw[8 * i : 8 * (j + 1)]) - (1 << 63) for i, j in zip(start.tolist(), end.tolist()) if j < len(h)})
+
+
+def seeds_of(least: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for h, w in batches:
+            yield pd.Series([runs(a, b, least) for a, b in zip(h, w)], dtype=object)
+
+    return f
+
+
 def text_key(text_col: str) -> list:
     """128 bits that stand for a text; null is the empty text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return [F.xxhash64(F.lit(i), text).alias(f"k{i}") for i in (1, 2)]
 
 
-def plan(docs: DataFrame, id_col: str, text_col: str, block_words: int, common: float) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, id_col: str, text_col: str, block_words: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, k1, k2, n_lines, n_words), and per distinct text: k1, k2, first (its smallest id), gone (positions of
     the lines it has in common with earlier texts), n_links (earlier texts it was aligned with and shares a block)."""
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")))
@@ -102,11 +123,10 @@ def plan(docs: DataFrame, id_col: str, text_col: str, block_words: int, common:
     # null ids come last
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
     texts = cut(rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("o"), F.first("h").alias("h"), F.first("w").alias("w")).select("k1", "k2", F.col("o.id").alias("id"), "h", "w"))
-    seeds = texts.select("id", "k1", "k2", F.explode(F.array_distinct("h")).alias("line")).where("line <> 0")
-    n_texts = texts.count()
-    # written out, so that a line of very many texts can be split where it is joined
-    held = cut(seeds.groupBy("line").agg(F.count("*").alias("n"), F.min(order).alias("a")).where((F.col("n") > 1) & (F.col("n") <= max(2, common * n_texts))))
-    pairs = seeds.join(held, "line").where("k1 <> a.k1 or k2 <> a.k2").select("k1", "k2", F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2")).distinct()
+    seeds = cut(texts.select("id", "k1", "k2", F.explode(seeds_of(block_words)("h", "w")).alias("run")))
+    # written out, so that a run of very many texts can be split where it is joined
+    held = cut(seeds.groupBy("run").agg(F.count("*").alias("n"), F.min(order).alias("a")).where("n > 1"))
+    pairs = seeds.join(held, "run").where("k1 <> a.k1 or k2 <> a.k2").select("k1", "k2", F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2")).distinct()
     earlier = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("h").alias("h2"))
     both = pairs.join(texts.select("k1", "k2", "h", "w"), ["k1", "k2"]).join(earlier, ["a1", "a2"])
     found = both.select("k1", "k2", "h", "w", "h2").mapInPandas(aligned(block_words), "k1 long, k2 long, gone array<int>").where(F.size("gone") > 0)
@@ -116,7 +136,7 @@ def plan(docs: DataFrame, id_col: str, text_col: str, block_words: int, common:
     return rows.select("id", "k1", "k2", F.size("h").alias("n_lines"), total.alias("n_words")), per_text
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, common: float = COMMON) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row per row of docs: id_col, n_lines, deleted (line numbers from 0, rising), n_links (earlier texts that it
     shares a block with, its own original included).
 
@@ -125,7 +145,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     lines go only within a common block. A null text is one blank line; other columns are not looked at; an empty
     table gives an empty result.
     """
-    rows, per_text = plan(docs, id_col, text_col, block_words, common)
+    rows, per_text = plan(docs, id_col, text_col, block_words)
     x = rows.join(per_text, ["k1", "k2"])
     copy = ~F.col("id").eqNullSafe(F.col("first")) & (F.col("n_words") >= block_words)
     gone = F.when(copy, F.sequence(F.lit(0), F.col("n_lines") - 1)).otherwise(F.coalesce("gone", F.array().cast("array<int>")))
@@ -133,10 +153,10 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     return x.select(F.col("id").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), gone.alias("deleted"), links.alias("n_links"))
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, common: float = COMMON) -> DataFrame:
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with the lines deleted from text_col, all columns else as they are. Rows of which no word is left are
     dropped if they had any; rows without a word are kept."""
-    rows, per_text = plan(docs, id_col, text_col, block_words, common)
+    rows, per_text = plan(docs, id_col, text_col, block_words)
     facts = rows.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n"))
     edits = per_text.join(facts, ["k1", "k2"]).where("gone is not null or n > 1").select("k1", "k2", "first", "gone", "n_words")
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), *text_key(text_col))

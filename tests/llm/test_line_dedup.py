@@ -14,8 +14,18 @@ def count(line):
     return line.count(" ") + 1 if line else 0
 
 
+def runs(a, least):
+    """The shortest stretches of lines with enough words, from each line that is not blank."""
+    out = set()
+    for i in range(len(a)):
+        ends = [j for j in range(i + 1, len(a) + 1) if sum(map(count, a[i:j])) >= least]
+        if a[i] and ends:
+            out.add(tuple(a[i : ends[0]]))
+    return out
+
+
 def brute(rows, least=5):
-    """Each document against the first holder of each of its lines, by the operator's diff on plain lines."""
+    """Each document against the first holder of each of its runs, by the operator's diff on plain lines."""
     first = {}
     for i, t in rows:
         first.setdefault(t or "", []).append(i)
@@ -25,12 +35,11 @@ def brute(rows, least=5):
     for t in order:
         a = lines(t)
         gone = set()
-        for h in {holder[x] for x in a if x and x in holder}:
+        for h in {holder[x] for x in runs(a, least) if x in holder}:
             gone |= set(ld.common_lines(a, [count(x) for x in a], lines(h), least))
         out[t] = sorted(gone)
-        for x in a:
-            if x:
-                holder.setdefault(x, t)
+        for x in runs(a, least):
+            holder.setdefault(x, t)
     want = []
     for i, t in rows:
         t = t or ""
@@ -49,14 +58,20 @@ def sample(seed):
 def test_matches_brute_force(spark, make):
     for seed in (1, 2):
         rows = sample(seed)
-        got = sorted((r.doc_id, r.deleted) for r in ld.deletions(make(rows), common=1.0).collect())
+        got = sorted((r.doc_id, r.deleted) for r in ld.deletions(make(rows)).collect())
         assert got == sorted(brute(rows))
 
 
+def test_blocks_of_short_lines_in_later_documents(make):
+    block = "a b\n\nc d\ne f"
+    rows = [(1, "a b\nfirst document has one line"), (2, "c d\nsecond document has another line"), (3, f"third document\n{block}"), (4, f"{block}\nfourth document, with the same block")]
+    assert {r.doc_id: r.deleted for r in ld.deletions(make(rows)).collect()} == {1: [], 2: [], 3: [], 4: [0, 1, 2, 3]}
+
+
 def test_apply(spark, make):
     rows = sample(3)
     docs = make(rows)
-    got = {r.doc_id: r.text for r in ld.apply(docs, common=1.0).collect()}
+    got = {r.doc_id: r.text for r in ld.apply(docs).collect()}
     for i, gone in brute(rows):
         t = dict(rows)[i]
         left = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
@@ -66,7 +81,7 @@ def test_apply(spark, make):
 
 def test_null_and_repeated_ids(make):
     t = "one two three four five six\nseven eight nine ten eleven"
-    got = sorted((str(r.doc_id), r.deleted) for r in ld.deletions(make([(None, t), (1, t), (1, t), (2, "x\n" + t)]), common=1.0).collect())
+    got = sorted((str(r.doc_id), r.deleted) for r in ld.deletions(make([(None, t), (1, t), (1, t), (2, "x\n" + t)])).collect())
     assert got == [("1", []), ("1", []), ("2", [1, 2]), ("None", [0, 1])]
     assert ld.deletions(make([])).count() == 0 and ld.apply(make([])).count() == 0
 
