@@ -146,7 +146,8 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     table gives an empty result.
     """
     rows, per_text = plan(docs, id_col, text_col, block_words)
-    x = rows.join(per_text, ["k1", "k2"])
+    # written out, so that a text of very many rows can be split where it is joined
+    x = rows.join(cut(per_text), ["k1", "k2"])
     copy = ~F.col("id").eqNullSafe(F.col("first")) & (F.col("n_words") >= block_words)
     gone = F.when(copy, F.sequence(F.lit(0), F.col("n_lines") - 1)).otherwise(F.coalesce("gone", F.array().cast("array<int>")))
     links = F.coalesce("n_links", F.lit(0)) + F.when(copy, 1).otherwise(0)
@@ -158,7 +159,8 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     dropped if they had any; rows without a word are kept."""
     rows, per_text = plan(docs, id_col, text_col, block_words)
     facts = rows.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n"))
-    edits = per_text.join(facts, ["k1", "k2"]).where("gone is not null or n > 1").select("k1", "k2", "first", "gone", "n_words")
+    # written out, so that a text of very many rows can be split where it is joined
+    edits = cut(per_text.join(facts, ["k1", "k2"]).where("gone is not null or n > 1").select("k1", "k2", "first", "gone", "n_words"))
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), *text_key(text_col))
     x = whole.join(edits, ["k1", "k2"], "left")
     copy = F.col("n_words").isNotNull() & ~F.col("id_").eqNullSafe(F.col("first")) & (F.col("n_words") >= block_words)
