@@ -5,7 +5,8 @@ Texts are made distinct first: an exact copy aligns with its original as a whole
 finds a pair is the hash of a line of BLOCK_WORDS words, or of the shortest run of lines from one on that has as many:
 every block that could be deleted begins with such a run. A run that several texts hold links each of them to the
 earliest, so a run in n texts makes n - 1 pairs, never all pairs, and needs no limit on n: each shared run of a
-document is looked at against the document that had it first.
+document is looked at against the document that had it first. What patience diff leaves there, as lines in another order
+or repeated ones, is deleted by blocks, so no run stays in a document that an earlier one has.
 """
 
 from __future__ import annotations
@@ -67,8 +68,39 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def left_over(a: list, n_words: list, b: list, least: int, gone: set[int]) -> set[int]:
+    """Positions in a of the common blocks that patience leaves, because their lines are in another order or more than
+    once in b or a: for each shortest run of lines with enough words that b has and that is not gone as a whole, the
+    longest block around it, the first of equal ones."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    out: set[int] = set()
+    upto = [0]
+    for w in n_words:
+        upto.append(upto[-1] + w)
+    for i, x in enumerate(a):
+        if not n_words[i] or x not in where:
+            continue
+        end = bisect_left(upto, upto[i] + least)
+        if end > len(a) or all(k in gone or k in out for k in range(i, end)):
+            continue
+        best = (0, 0, 0)
+        for j in where[x]:
+            if a[i:end] == b[j : j + end - i]:
+                lo, hi = 0, end - i
+                while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
+                    hi += 1
+                while lo < min(i, j) and a[i - lo - 1] == b[j - lo - 1]:
+                    lo += 1
+                best = max(best, (lo + hi, i - lo, i + hi), key=lambda x: x[0])
+        out.update(range(best[1], best[2]))
+    return out
+
+
 def common_lines(a: list, n_words: list, b: list, least: int = BLOCK_WORDS) -> list[int]:
-    """Positions in a of the blocks of aligned lines that have enough words. Blank lines have the hash 0."""
+    """Positions in a of the blocks of lines in common with b that have enough words: the aligned ones first, then those
+    that no alignment in one order can hold. Blank lines have the hash 0."""
     out, block = [], []
     for i, j in [*patience(a, b), (-2, -2)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
@@ -76,7 +108,7 @@ def common_lines(a: list, n_words: list, b: list, least: int = BLOCK_WORDS) -> l
                 out += [x for x, _ in block]
             block = []
         block.append((i, j))
-    return out
+    return sorted({*out, *left_over(a, n_words, b, least, set(out))}) if len(out) < len(a) else out
 
 
 def aligned(least: int):

@@ -92,3 +92,24 @@ def test_patience_is_a_common_subsequence(a, b):
     m = ld.patience(a, b)
     assert all(a[i] == b[j] for i, j in m) and all(i < k and j < l for (i, j), (k, l) in zip(m, m[1:]))
     assert ld.patience(a, a) == [(i, i) for i in range(len(a))]
+
+
+def test_no_run_stays_that_any_earlier_document_has(make):
+    one, two, three = "one two three four five", "six seven eight nine ten", "eleven twelve thirteen fourteen fifteen"
+    rows = [(1, f"{one}\n{two}"), (2, f"{two}\nnew\n{one}"), (3, f"{three}\nold\n{three}"), (4, f"x\n{three}\ny\n{three}\nz\n{three}"), *((1000 + i, t) for i, t in sample(5))]
+    rows += [(2000 + i, "\n".join(random.Random(i).sample([x for k in range(5) for x in lines(sample(5)[i + k][1])], 12))) for i in range(30) if sum(len(lines(sample(5)[i + k][1])) for k in range(5)) >= 12]
+    got = {r.doc_id: set(r.deleted) for r in ld.deletions(make(rows)).collect()}
+    assert got[2] == {0, 2} and got[4] == {1, 3, 5}
+    texts = {i: lines(t) for i, t in rows}
+    for i, a in texts.items():
+        earlier = [b for k, b in texts.items() if k < i]
+        shared = set()
+        for x in range(len(a)):
+            for y in range(x + 1, len(a) + 1):
+                if sum(map(count, a[x:y])) >= 5 and any(a[x:y] == b[k : k + y - x] for b in earlier for k in range(len(b))):
+                    shared |= set(range(x, y))
+        for x in range(len(a)):
+            ends = [y for y in range(x + 1, len(a) + 1) if sum(map(count, a[x:y])) >= 5]
+            if a[x] and ends and any(a[x : ends[0]] == b[k : k + ends[0] - x] for b in earlier for k in range(len(b))):
+                assert set(range(x, ends[0])) <= got[i], (i, x)
+        assert got[i] <= shared, i
