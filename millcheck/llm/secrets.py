@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 DIGIT = re.compile(r"[0-9]")
+PREFIX = re.compile(r"(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|sk-|eyJ|AIza|glpat-)")
+#: What is assigned to a name with a secret word: quoted, or up to a space or a mark that ends a value.
+ASSIGNED = re.compile(r"(?:passw|pwd|secret|token|api_?key|access|auth|bearer|credential|private|key|aws|login)[A-Za-z0-9_-]{0,40}[\"']?\s{0,4}[:=]\s{0,4}(?:\"([^\"\n]{8,})\"|'([^'\n]{8,})'|([^\s\"'`,;&<>)\]}]{8,}))", re.I)
 NEAR = 40
 TREES, DEPTH = 40, 8
 #: Labelled findings made by synthetic(): bounds what the forest is fitted on.
@@ -69,7 +72,7 @@ def features(candidate: str, left: str, right: str, path: str | None) -> list[fl
     last = left.rstrip()[-1:] if left.rstrip(" \"'") == left.rstrip() else left.rstrip(" \"'")[-1:]
     parts = re.split(r"[^a-z0-9]+", (path or "").lower())
     return [
-        float(n), *share, entropy, moves, likely, covered(candidate), float(re.fullmatch(r"[0-9a-fA-F]+", candidate) is not None), float(re.match(r"(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|sk-|eyJ|AIza|glpat-)", candidate) is not None),
+        float(n), *share, entropy, moves, likely, covered(candidate), float(re.fullmatch(r"[0-9a-fA-F]+", candidate) is not None), float(PREFIX.match(candidate) is not None),
         float(any(w in near for w in SECRET_WORDS)), float(any(w in before for w in HARMLESS_WORDS)), float(last in "=:" and last != ""), float(left.endswith(('"', "'", "`"))), float("example" in around or "xxxx" in low or "changeme" in low or "1234" in low),
         float(any(w in parts for w in PATH_WORDS)), len(times) / n,
     ]
@@ -92,14 +95,17 @@ def synthetic(n: int = LABELLED, seed: int = 42) -> list[tuple[str, str, str, st
             assign = some(f"{name}=", f"{name} = ", f'{name} = "', f'{name}: "', f"{name}: ", f"{name} '")
             mixed = upper + lower + digits
             c, assign = some(
-                (pick(hexes, some(16, 18, 20, 24, 32, 40, 64)), assign), (pick(mixed, r.randrange(14, 48)), assign), (pick(mixed + "+/", 40), assign), ("AKIA" + pick(upper + digits, 16), some(assign, "", "", "key ")),
+                (pick(hexes, some(16, 18, 20, 24, 32, 40, 64)), assign), (pick(mixed, r.randrange(14, 48)), assign), (pick(mixed + "+/", 40), assign), ("AKIA" + pick(upper + digits, 16), some(assign, "", "", "key ")), ("AKIA" + pick(upper, 16), some(assign, "", "key ")), (pick(upper + lower, r.randrange(14, 40)), assign),
+                (pick(mixed + "!@#$%^*?.~", r.randrange(8, 20)), assign), (some("!", "@", "$", "-").join(w.title() for w in r.choices(DICTIONARY, k=3)).replace("i", some("i", "!", "1")) + some("!", "$", "7", "#"), assign), (pick(lower, 3) + some(*"$!@#%") + pick(digits + lower, 6), assign),
                 ("ghp_" + pick(mixed, 36), some(assign, "", "")), ("sk_live_" + pick(mixed, 24), some(assign, "")), ("eyJ" + pick(mixed, 40), some(assign, "bearer ", "")),
             )
             where = some(f"src{r.randrange(40)}", f"src/{r.choice(DICTIONARY)}.py", f"config/{r.choice(DICTIONARY)}.env", "")
             out.append((c, f"{before}{assign}"[-NEAR:], f'{'"' if assign.endswith('"') else ""}{after}', where, 1))
         else:
+            told = some("password: ", "token = ", "auth: ", "secret=", "api_key = ", "access: ", "key: ")
             c, left = some(
-                (pick(digits, some(12, 13, 15, 16, 19)), some("", "", "card ", "order ", "isbn ", "id ")), (pick(hexes, some(32, 40, 64)), some("commit ", "sha ", "md5: ", "hash ", "checksum: ")),
+                ("".join(w.title() for w in r.choices(DICTIONARY, k=r.randrange(2, 5))), some("", "class ", "function ", told)), (some("-", "_", "/").join(r.choices(DICTIONARY, k=r.randrange(3, 6))), some("", "see ", told)), (some("required", "undefined", "disabled", "optional", "<password>", "${PASSWORD}", "********", "your-password", "changeme", "os.environ.get(", "settings.token", "https://www.example.com"), told),
+                (" ".join(r.choices(DICTIONARY, k=r.randrange(2, 6))).ljust(8, "s"), told + some('"', "'")), ("".join(r.choices(DICTIONARY, k=2)).ljust(8, "s"), told), (pick(digits, some(12, 13, 15, 16, 19)), some("", "", "card ", "order ", "isbn ", "id ")), (pick(hexes, some(32, 40, 64)), some("commit ", "sha ", "md5: ", "hash ", "checksum: ")),
                 ("-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), some("uuid ", "id ", "guid: ", "")), ("".join(w.title() for w in r.choices(DICTIONARY, k=4)) + pick(digits, r.randrange(1, 4)), some("", "class ", "function ")),
                 ("_".join(r.choices(DICTIONARY, k=3)) + pick(digits, r.randrange(1, 4)), some("", "file ", "test ")), ("/".join(["www", *r.choices(DICTIONARY, k=3)]) + pick(digits, 2), some("https://", "see ", "")),
                 (pick(digits, 4) + "-" + pick(digits, 2) + "-" + pick(digits, 2) + "-" + pick(digits, 4), some("date ", "", "version ")), (some("your-token-here-1234", "changeme12345", "xxxxxxxxxxxxxxxx1", "password12345", "example-key-0000"), some("password=", "token = ", "api_key: ")),
@@ -115,14 +121,27 @@ def train(spark: SparkSession, labelled: list[tuple[str, str, str, str, int]] |
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(df)
 
 
+def proposed(text: str) -> list[tuple[int, int]]:
+    """Spans that can be secrets: what is assigned to a secret word, and runs that have a digit, mix case or begin as
+    known keys do. A run within an assigned value is one more span, as a value may be a link or another assignment."""
+    spans, at = set(), 0
+    while m := ASSIGNED.search(text, at):
+        spans.add(m.span(m.lastindex))
+        at = m.start(m.lastindex)
+    for m in CANDIDATE.finditer(text):
+        c = m[0]
+        if DIGIT.search(c) or (c != c.lower() and c != c.upper()) or PREFIX.match(c):
+            spans.add(m.span())
+    return sorted(spans)
+
+
 def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
         out = []
         for row, text, path in zip(part["id"], part["text"], part["path"]):
-            for m in CANDIDATE.finditer(text):
-                c = m[0]
-                if DIGIT.search(c):
-                    out.append((row, m.start(), len(c), c, features(c, text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR], path)))
+            for start, end in proposed(text):
+                c = text[start:end]
+                out.append((row, start, len(c), c, features(c, text[max(0, start - NEAR) : start], text[end : end + NEAR], path)))
         yield pd.DataFrame(out, columns=["id", "start", "length", "candidate", "f"])
 
 
@@ -131,10 +150,11 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
     is_secret.
 
     Null and empty texts have none, a null path is an empty one; null ids and repeated rows give rows like others.
-    Candidates have 12 characters or more and a digit. Other columns are not looked at; an empty table gives none.
+    Candidates are what is assigned to a secret word, from 8 characters, and runs of 12 or more with a digit, mixed case
+    or a known prefix. Other columns are not looked at; an empty table gives none.
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")).where(F.col("text").rlike("[0-9]"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")).where(F.col("text").isNotNull())
     id_type = docs.schema[id_col].dataType.simpleString()
     found = rows.mapInPandas(candidates, f"id {id_type}, start int, length int, candidate string, f array<double>")
     scored = model.transform(found.select("*", array_to_vector("f").alias("features")))

@@ -27,3 +27,22 @@ def test_scan(spark, make):
 def test_features():
     assert len(sc.features("abcdef123456", "", "", None)) == sc.FEATURES
     assert sc.covered("userimage") == 1.0 and sc.covered("qzx") == 0.0
+
+
+def test_recall_end_to_end(spark, make):
+    import random
+
+    r = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    pick = lambda s, k: "".join(r.choices(s, k=k))
+    secrets = ["Tr!ck@Horse-Moon", "abc$12xyz"]
+    secrets += [pick(letters, 16) for _ in range(20)] + [pick(letters + "0123456789!@#$%", 10) for _ in range(20)]
+    rows = [(i, f'set the {("password", "token", "secret")[i % 3]} = "{s}" in the file') for i, s in enumerate(secrets)]
+    keys = [(100 + i, f"here is AKIA{pick(letters[:26], 16)} for you") for i in range(20)]
+    prose = [(200 + i, "all the people made it. UserImagePage and InternationalOrganization, password: required for this") for i in range(5)]
+    got = [x for x in sc.scan(make(rows + keys + prose), sc.train(spark)).collect() if x.is_secret]
+    found = {(x.doc_id, x.start, x.length) for x in got}
+    want = {(i, t.index('"') + 1, len(secrets[i])) for i, t in rows} | {(i, 8, 20) for i, _ in keys}
+    assert len(found & want) >= 0.95 * len(want), sorted(want - found)
+    assert {(0, rows[0][1].index('"') + 1, 16), (1, rows[1][1].index('"') + 1, 9)} <= found
+    assert not any(x.doc_id >= 200 for x in got)
