@@ -14,32 +14,29 @@ def count(line):
     return line.count(" ") + 1 if line else 0
 
 
-def runs(a, least):
-    """The shortest stretches of lines with enough words, from each line that is not blank."""
-    out = set()
-    for i in range(len(a)):
-        ends = [j for j in range(i + 1, len(a) + 1) if sum(map(count, a[i:j])) >= least]
-        if a[i] and ends:
-            out.add(tuple(a[i : ends[0]]))
-    return out
-
-
 def brute(rows, least=5):
-    """Each document against the first holder of each of its runs, by the operator's diff on plain lines."""
+    """Each text against every earlier one, on plain lines: every common stretch of lines with enough words is gone, and
+    blank lines between two that are."""
     first = {}
     for i, t in rows:
-        first.setdefault(t or "", []).append(i)
-    first = {t: min(ids) for t, ids in first.items()}
+        first[t or ""] = min(i, first.get(t or "", i))
     order = sorted(first, key=lambda t: first[t])
-    holder, out = {}, {}
-    for t in order:
-        a = lines(t)
-        gone = set()
-        for h in {holder[x] for x in runs(a, least) if x in holder}:
-            gone |= set(ld.common_lines(a, [count(x) for x in a], lines(h), least))
+    out = {}
+    for n, t in enumerate(order):
+        a, gone = lines(t), set()
+        for b in map(lines, order[:n]):
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    k = 0
+                    while x + k < len(a) and y + k < len(b) and a[x + k] == b[y + k]:
+                        k += 1
+                    if sum(map(count, a[x : x + k])) >= least:
+                        gone |= {z for z in range(x, x + k) if a[z]}
+        full = [i for i, x in enumerate(a) if x]
+        for i, j in zip(full, full[1:]):
+            if i in gone and j in gone:
+                gone |= set(range(i, j))
         out[t] = sorted(gone)
-        for x in runs(a, least):
-            holder.setdefault(x, t)
     want = []
     for i, t in rows:
         t = t or ""
@@ -87,29 +84,40 @@ def test_null_and_repeated_ids(make):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 6), max_size=12), st.lists(st.integers(0, 6), max_size=12))
-def test_patience_is_a_common_subsequence(a, b):
-    m = ld.patience(a, b)
-    assert all(a[i] == b[j] for i, j in m) and all(i < k and j < l for (i, j), (k, l) in zip(m, m[1:]))
-    assert ld.patience(a, a) == [(i, i) for i in range(len(a))]
+@given(st.permutations(range(8)))
+def test_patience_is_the_longest_rising_run(order):
+    from itertools import combinations
+
+    got = ld.patience(list(enumerate(order)))
+    assert all(order[i] == j for i, j in got) and all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
+    rising = lambda x: all(a < b for a, b in zip(x, x[1:]))
+    assert len(got) == max(n for n in range(1, 9) if any(rising(x) for x in combinations(order, n)))
+
+
+def test_blocks_in_any_order_and_number(make):
+    """Documents of blocks from a pool, in any order, repeated, cut short and with blank lines between."""
+    for seed in (1, 2, 3):
+        r = random.Random(seed)
+        pool = [[" ".join(f"{a}{r.randrange(200)}" for a in "abcdefg"[: r.randrange(1, 6)]) for _ in range(r.randrange(1, 5))] for _ in range(25)]
+        rows = []
+        for i in range(50):
+            text = []
+            for b in r.choices(pool, k=r.randrange(1, 8)):
+                text += b[r.randrange(2) : len(b) - r.randrange(2)] + [""] * r.randrange(2) + [f"own {i}"] * r.randrange(2)
+            rows.append((i, "\n".join(text)))
+        assert sorted((x.doc_id, x.deleted) for x in ld.deletions(make(rows)).collect()) == sorted(brute(rows))
+
+
+def test_moved_lines_are_told_apart(make):
+    one, two, three = "one two three four five", "six seven eight nine ten", "eleven twelve thirteen fourteen fifteen"
+    got = {r.doc_id: (r.deleted, r.n_links, r.n_moved) for r in ld.deletions(make([(1, f"{one}\n{two}\n{three}"), (2, f"{one}\nx\n{three}"), (3, f"{three}\ny\n{one}\n{two}")])).collect()}
+    assert got == {1: ([], 0, 0), 2: ([0, 2], 1, 0), 3: ([0, 2, 3], 1, 1)}
 
 
-def test_no_run_stays_that_any_earlier_document_has(make):
-    one, two, three = "one two three four five", "six seven eight nine ten", "eleven twelve thirteen fourteen fifteen"
-    rows = [(1, f"{one}\n{two}"), (2, f"{two}\nnew\n{one}"), (3, f"{three}\nold\n{three}"), (4, f"x\n{three}\ny\n{three}\nz\n{three}"), *((1000 + i, t) for i, t in sample(5))]
-    rows += [(2000 + i, "\n".join(random.Random(i).sample([x for k in range(5) for x in lines(sample(5)[i + k][1])], 12))) for i in range(30) if sum(len(lines(sample(5)[i + k][1])) for k in range(5)) >= 12]
-    got = {r.doc_id: set(r.deleted) for r in ld.deletions(make(rows)).collect()}
-    assert got[2] == {0, 2} and got[4] == {1, 3, 5}
-    texts = {i: lines(t) for i, t in rows}
-    for i, a in texts.items():
-        earlier = [b for k, b in texts.items() if k < i]
-        shared = set()
-        for x in range(len(a)):
-            for y in range(x + 1, len(a) + 1):
-                if sum(map(count, a[x:y])) >= 5 and any(a[x:y] == b[k : k + y - x] for b in earlier for k in range(len(b))):
-                    shared |= set(range(x, y))
-        for x in range(len(a)):
-            ends = [y for y in range(x + 1, len(a) + 1) if sum(map(count, a[x:y])) >= 5]
-            if a[x] and ends and any(a[x : ends[0]] == b[k : k + ends[0] - x] for b in earlier for k in range(len(b))):
-                assert set(range(x, ends[0])) <= got[i], (i, x)
-        assert got[i] <= shared, i
+def test_a_very_long_text(make):
+    """A text of 20,000 lines that 2,000 earlier texts have a line of."""
+    rows = [(i, f"line number {i} of a long text") for i in range(2000)] + [(5000, "\n".join(f"line number {i} of a long text" for i in range(20_000)))]
+    got = {r.doc_id: r for r in ld.deletions(make(rows)).collect()}
+    assert got[5000].deleted == list(range(2000)) and got[5000].n_links == 2000
+    left = {r.doc_id: r.text for r in ld.apply(make(rows)).collect()}
+    assert left[5000].count("\n") == 17_999
