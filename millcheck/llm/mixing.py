@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks. DataFrame functions only.
 
-The mix is a number of blocks of BLOCK words. Blocks go to sources by the highest quotients target / (2 k - 1), and a
-source's blocks to its shards in the same way, so every shard has an integer quota before anything is selected. A
+The mix is a number of equal blocks: of BLOCK words, or of an eighth of the smallest target where that is less. Blocks
+go to sources by the highest quotients target / (2 k - 1), and a source's blocks to its shards in the same way, so every
+shard has an integer quota before anything is selected; the last block of a shard that has no more words is partial. A
 shard is a seeded deal of its source's documents, about SHARD words of them; laid end to end in seeded order they are
 a stream, of which the shard takes its quota of blocks from the start, going round again where the quota exceeds it.
+Equal rows are one row with a number, so they are no load on one task; documents without words are in no shard.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from millcheck.llm.common import WORD, cut
 
-BLOCK = 64
+#: Words of a block at most, and blocks of the smallest target at least.
+BLOCK, FINE = 64, 8
 SHARD = 1_000_000
 SEED = "mix-1"
 WEIGHTS = (3, 1, 2)
@@ -86,27 +89,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     like an id. Repeated rows are rows of their own; which of equal rows is taken more changes nothing in the result.
     Other columns are not looked at; an empty table gives an empty result. taken is at most cap times size.
     """
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"))
-    digest = F.md5(F.concat_ws(" ", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    text = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))
+    digest = F.md5(F.concat_ws(" ", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text))
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), digest.alias("order_"))
     # the texts are read once; all that follows needs their sizes only
-    sizes = cut(sizes.withColumn("order_", digest))
-    targets = source_targets(sizes, weights, share, cap)
+    sizes = cut(sizes.groupBy("id", "source", "size", "order_").agg(F.count("*").alias("n")))
+    targets = source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap)
     # equal blocks to sources
+    every = Window.partitionBy()
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
     votes = targets.withColumn("v", F.col("target")).withColumn("tie", F.coalesce("source", F.lit("\U0010ffff")))
-    votes = votes.withColumn("all_", F.floor(F.sum("target").over(Window.partitionBy()) / block + 0.5))
-    quotas = apportion(votes, [], "all_").select("source", "source_size", "target", F.col("quota").alias("blocks"), F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)).alias("shards"))
+    votes = votes.withColumn("block", F.greatest(F.least(F.floor(least / FINE), F.lit(block)), F.lit(1)).cast("long"))
+    votes = votes.withColumn("all_", F.floor(F.sum("target").over(every) / F.col("block") + 0.5))
+    quotas = apportion(votes, [], "all_").select("source", "source_size", "target", "block", F.col("quota").alias("blocks"), F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)).alias("shards"))
     same = F.col("d.source").eqNullSafe(F.col("q.source"))
-    dealt = sizes.alias("d").join(quotas.alias("q"), same).select("d.id", "d.source", "d.size", "d.order_", "q.source_size", "q.target", "q.blocks", "q.shards")
-    dealt = dealt.withColumn("shard", F.conv(F.substring("order_", 1, 8), 16, 10).cast("long") % F.col("shards"))
+    dealt = sizes.alias("d").join(quotas.alias("q"), same).select("d.id", "d.source", "d.size", "d.order_", "d.n", "q.source_size", "q.target", "q.block", "q.blocks", "q.shards")
+    empty = dealt.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    dealt = dealt.where("size > 0").withColumn("shard", F.conv(F.substring("order_", 1, 8), 16, 10).cast("long") % F.col("shards"))
     # equal blocks of a source to its shards
-    per_shard = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("blocks").alias("blocks"))
-    per_shard = per_shard.withColumn("v", F.col("shard_size").cast("double")).withColumn("tie", F.col("shard")).withColumn("most", F.floor(cap * F.col("shard_size") / block))
-    per_shard = apportion(per_shard, ["source"], "blocks", "most").select("source", "shard", "shard_size", "quota")
+    per_shard = dealt.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("shard_size"), F.max("blocks").alias("blocks"), F.max("block").alias("block"))
+    per_shard = per_shard.withColumn("v", F.col("shard_size").cast("double")).withColumn("tie", F.col("shard")).withColumn("most", F.ceil(cap * F.col("shard_size") / F.col("block")))
+    per_shard = apportion(per_shard, ["source"], "blocks", "most")
+    words = F.least(F.col("quota") * F.col("block"), F.floor(cap * F.col("shard_size"))).cast("long")
+    per_shard = per_shard.select("source", "shard", "shard_size", words.alias("words"))
     on = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.shard") == F.col("s.shard"))
-    x = dealt.alias("d").join(per_shard.alias("s"), on).select("d.*", "s.shard_size", (F.col("s.quota") * block).cast("long").alias("words"))
-    stream = Window.partitionBy("source", "shard").orderBy("order_", "id", "size")
-    before = F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    rounds = F.coalesce(F.floor(F.try_divide(F.col("words"), F.col("shard_size"))), F.lit(0)).cast("long")
-    part = F.greatest(F.least(F.col("words") - rounds * F.col("shard_size") - before, F.col("size")), F.lit(0))
-    taken = (rounds * F.col("size") + part).cast("long")
-    return x.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"))
+    x = dealt.alias("d").join(per_shard.alias("s"), on).select("d.*", "s.shard_size", "s.words")
+    stream = Window.partitionBy("source", "shard").orderBy("order_", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("before", F.sum(F.col("size") * F.col("n")).over(stream) - F.col("size") * F.col("n"))
+    rounds = F.floor(F.col("words") / F.col("shard_size")).cast("long")
+    x = x.withColumn("rounds", rounds).withColumn("part", F.col("words") - F.col("rounds") * F.col("shard_size") - F.col("before"))
+    part = F.greatest(F.least(F.col("part") - F.col("i") * F.col("size"), F.col("size")), F.lit(0))
+    x = x.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("taken", (F.col("rounds") * F.col("size") + part).cast("long"))
+    empty = empty.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    out = [F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken"]
+    return x.select(*out).union(empty.select(*out))

@@ -75,19 +75,20 @@ m AS (SELECT doc_id, len(ws) AS n_words, coalesce(chars, 0) AS word_chars, len(r
 b AS (SELECT *, {' + '.join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 END" for k, (_, condition) in enumerate(quality_rules.RULES))} AS bits FROM m)
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & {quality_rules.mask('base-1')} <> 0 AS base_failed, bits & {quality_rules.mask('web-2')} = 0 AS kept, bits::BIGINT AS failure_bits FROM b"""
 
-OP7 = rf"""WITH s AS (SELECT doc_id, source, len({WORDS.format('text')}) AS size, md5('{mixing.SEED} ' || coalesce(doc_id::VARCHAR, 'null')) AS o FROM documents), src AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+OP7 = rf"""WITH s AS (SELECT doc_id, source, len({WORDS.format('text')}) AS size, md5('{mixing.SEED} ' || coalesce(doc_id::VARCHAR, 'null') || ' ' || coalesce(md5(text), 'null')) AS o FROM documents), src AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 n AS (SELECT *, {list(map(float, mixing.WEIGHTS))}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}]::DOUBLE AS w, {mixing.CAP}::DOUBLE * source_size AS top FROM src),
 l AS (SELECT *, ({mixing.SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n),
 t AS (SELECT source, source_size, coalesce(least(top, level * w), top) AS target FROM (SELECT source, source_size, w, top, max(CASE WHEN level * w <= top THEN level END) OVER () AS level FROM l)),
-q AS (SELECT source, count(*) AS blocks FROM (SELECT source, n, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, coalesce(source, chr(1114111))) AS r FROM (SELECT *, floor(sum(target) OVER () / {mixing.BLOCK} + 0.5) AS n, unnest(range(1, (target / {mixing.BLOCK})::BIGINT + 1000)) AS k FROM t) WHERE target > 0) WHERE r <= n GROUP BY source),
+b AS (SELECT greatest(least(floor(min(target) / {mixing.FINE}), {mixing.BLOCK}), 1)::BIGINT AS block FROM t WHERE target > 0),
+q AS (SELECT source, count(*) AS blocks FROM (SELECT source, n, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, coalesce(source, chr(1114111))) AS r FROM (SELECT *, floor(sum(target) OVER () / block + 0.5) AS n, unnest(range(1, (target / block)::BIGINT + 1000)) AS k FROM t, b) WHERE target > 0) WHERE r <= n GROUP BY source),
 d AS (SELECT s.*, source_size, target, coalesce(blocks, 0) AS blocks, ('0x' || substr(o, 1, 8))::BIGINT % greatest(ceil(source_size / {mixing.SHARD})::BIGINT, 1) AS shard FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON q.source IS NOT DISTINCT FROM s.source),
-h AS (SELECT source, shard, sum(size) AS shard_size, max(blocks) AS blocks FROM d GROUP BY 1, 2),
+h AS (SELECT source, shard, sum(size) AS shard_size, max(blocks) AS blocks FROM d WHERE size > 0 GROUP BY 1, 2),
 j AS (SELECT source, shard, count(*) AS quota FROM (SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY shard_size::DOUBLE / (2 * k - 1) DESC, shard) AS r FROM (SELECT *, unnest(range(1, blocks + 1)) AS k FROM h) WHERE shard_size > 0) WHERE r <= blocks GROUP BY 1, 2),
-c AS (SELECT h.source, h.shard, shard_size, coalesce(quota, 0) AS quota, floor({mixing.CAP} * shard_size / {mixing.BLOCK})::BIGINT AS most FROM h LEFT JOIN j ON j.source IS NOT DISTINCT FROM h.source AND j.shard = h.shard),
+c AS (SELECT h.source, h.shard, shard_size, block, coalesce(quota, 0) AS quota, ceil({mixing.CAP} * shard_size / block)::BIGINT AS most FROM h CROSS JOIN b LEFT JOIN j ON j.source IS NOT DISTINCT FROM h.source AND j.shard = h.shard),
 e AS (SELECT *, sum(greatest(quota - most, 0)) OVER (PARTITION BY source) AS over, greatest(most - quota, 0) AS room, coalesce(sum(greatest(most - quota, 0)) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
-z AS (SELECT source, shard, shard_size, {mixing.BLOCK} * (least(quota, most) + greatest(least(room, over - before), 0)) AS words FROM e),
-y AS (SELECT d.*, shard_size, words, sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM d JOIN z ON z.source IS NOT DISTINCT FROM d.source AND z.shard = d.shard)
-SELECT doc_id, size, source_size, target, (coalesce(words // nullif(shard_size, 0), 0) * size + greatest(least(words - coalesce(words // nullif(shard_size, 0), 0) * shard_size - before, size), 0))::BIGINT AS taken FROM y"""
+z AS (SELECT source, shard, shard_size, least(block * (least(quota, most) + greatest(least(room, over - before), 0)), floor({mixing.CAP} * shard_size))::BIGINT AS words FROM e),
+y AS (SELECT d.*, shard_size, words, sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM d LEFT JOIN z ON z.source IS NOT DISTINCT FROM d.source AND z.shard = d.shard)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (words // shard_size * size + greatest(least(words - words // shard_size * shard_size - before, size), 0)) END::BIGINT AS taken FROM y"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,6 +58,28 @@ def test_mix(spark, make):
     assert mixing.mix(make([])).count() == 0
 
 
+def test_small_sources_come_near_their_targets(make):
+    """Sources of 1 to 63 words beside larger ones, and each alone."""
+    r = random.Random(6)
+    rows = [(1000 * n + k, " ".join(["w"] * size), f"s{n:02}") for n in range(1, 64) for k, size in enumerate([n // 2, n - n // 2]) if size]
+    rows += [(10**6 + i, "word " * r.randrange(50, 400), "zz") for i in range(200)]
+    for case in (rows, *([x for x in rows if x[2] in keep] for keep in (("s30",), ("s20", "s40"), ("s01", "zz")))):
+        got = {}
+        for x in mixing.mix(make(case)).collect():
+            assert 0 <= x.taken <= 2 * x.size
+            got.setdefault(x.source, [x.target, 0])[1] += x.taken
+        for s, (target, taken) in got.items():
+            assert abs(taken - target) <= max(1.5, 0.1 * target), (s, target, taken)
+
+
+def test_equal_rows_null_ids_and_empty_sources(make):
+    rows = [(None, f"{i} b c", "s") for i in range(50)] + [(None, "x y z", "s")] * 40 + [(7, "x y z w", "s")] * 40 + [(i, None, "none") for i in range(30)] + [(1, "", "none")] * 5
+    got = mixing.mix(make(rows), shard=50).collect()
+    assert len(got) == len(rows) and all(0 <= x.taken <= 2 * x.size for x in got) and all(x.target == 0 == x.taken for x in got if x.source == "none")
+    want = {x.source: x.target for x in got}["s"]
+    assert abs(sum(x.taken for x in got) - want) <= 0.1 * want
+
+
 def test_no_python_in_the_plan(spark, make):
     plan = mixing.mix(make([(1, "a", "s")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
