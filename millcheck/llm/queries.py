@@ -22,10 +22,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality_rules.ledger(table(spark, sf_dir, "documents"))
-    base = quality_rules.verdict(F.col("failure_bits"), "base-1")
-    kept = quality_rules.verdict(F.col("failure_bits"), "web-2")
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), kept.alias("kept"), "failure_bits")
+    led = quality_rules.judged(table(spark, sf_dir, "documents"), "base-1", "web-3")
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits", "only_rule", "n_only")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +68,12 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes, digest AS payload_d
 
 OP3 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS.format('text')} AS ws FROM documents), w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
 g AS (SELECT r, i, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS g FROM w WINDOW p AS (PARTITION BY r ORDER BY i)), c AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE g IS NOT NULL) WHERE n > 1), (SELECT unnest(range(3)) AS k) GROUP BY r),
-l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r), u AS (SELECT r, count(*) FILTER (w = upper(w) AND w <> lower(w)) AS n_upper, sum(length(w)) AS chars FROM w GROUP BY r),
-m AS (SELECT doc_id, len(ws) AS n_words, coalesce(chars, 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_upper, 0) AS n_upper_words, length(t) - length(replace(t, '!', '')) AS n_marks FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r) LEFT JOIN u USING (r)),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*\x{{2022}}]')) AS bullets, count(*) FILTER (regexp_matches(line, '(\.\.\.|\x{{2026}})[\x20\x09-\x0D]*$')) AS cuts FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r), u AS (SELECT r, count(*) FILTER (w = upper(w) AND w <> lower(w)) AS n_upper, count(*) FILTER (regexp_matches(w, '\p{{L}}')) AS n_alpha, sum(length(w)) AS chars FROM w GROUP BY r),
+m AS (SELECT doc_id, len(ws) AS n_words, coalesce(chars, 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_upper, 0) AS n_upper_words, length(t) - length(replace(t, '!', '')) AS n_marks, coalesce(n_alpha, 0) AS n_alpha_words, coalesce(bullets, 0) AS n_bullet_lines, coalesce(cuts, 0) AS n_cut_lines FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r) LEFT JOIN u USING (r)),
 b AS (SELECT *, {' + '.join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 END" for k, (_, condition) in enumerate(quality_rules.RULES))} AS bits FROM m)
-SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & {quality_rules.mask('base-1')} <> 0 AS base_failed, bits & {quality_rules.mask('web-2')} = 0 AS kept, bits::BIGINT AS failure_bits FROM b"""
+SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & {quality_rules.mask('base-1')} <> 0 AS base_failed, bits & {quality_rules.mask('web-3')} = 0 AS kept, bits::BIGINT AS failure_bits,
+CASE bits & {quality_rules.mask('web-3')} {' '.join(f"WHEN {quality_rules.BIT[n]} THEN '{n}'" for n in quality_rules.POLICIES['web-3'])} END AS only_rule,
+CASE WHEN bit_count(bits & {quality_rules.mask('web-3')}) = 1 THEN count(*) OVER (PARTITION BY bits & {quality_rules.mask('web-3')}) END AS n_only FROM b"""
 
 OP7 = rf"""WITH s AS (SELECT doc_id, source, len({WORDS.format('text')}) AS size, md5('{mixing.SEED} ' || coalesce(doc_id::VARCHAR, 'null') || ' ' || coalesce(md5(text), 'null')) AS o FROM documents), src AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 n AS (SELECT *, {list(map(float, mixing.WEIGHTS))}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}]::DOUBLE AS w, {mixing.CAP}::DOUBLE * source_size AS top FROM src),

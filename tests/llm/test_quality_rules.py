@@ -15,13 +15,17 @@ def brute(text):
     covered = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)}
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     dup = sum(x in lines[:i] for i, x in enumerate(lines))
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+    upper = sum(x == x.upper() and x != x.lower() for x in w)
+    alpha = sum(any(c.isalpha() for c in x) for x in w)
+    bullets = sum(bool(re.match(r"[\x20\x09-\x0D]*[-*\u2022]", x)) for x in lines)
+    ends = sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*\Z", x)) for x in lines)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered), len(lines), upper, t.count("!"), alpha, bullets, ends
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.one_of(st.none(), st.text(alphabet="ab \n\t\x0b\x0c\r\x1f  #|é", max_size=80)))
 def test_measures(text):
-    assert q.measure(text)[:5] == brute(text)
+    assert q.measure(text) == brute(text)
 
 
 def test_ledger_edges(spark, make):
@@ -43,11 +47,22 @@ def test_ablations(spark, make):
             assert got[n] == (sum(bool(b & q.BIT[n]) for b in bits), sum(b == q.BIT[n] for b in bits))
 
 
+def test_judged(spark, make):
+    rows = [(1, "a b"), (2, "## " * 60), (3, " ".join(f"word{i}" for i in range(60))), (4, "A\xa0A bb cc"), (5, None), (6, " ".join(f"{i}" for i in range(1000, 1060)))]
+    got = {r.doc_id: r for r in q.judged(make(rows), "base-1", "web-3").collect()}
+    assert got[3].kept and got[3].only_rule is None and got[3].n_only is None and got[4].n_upper_words == 1
+    assert (got[6].only_rule, got[6].n_only) == ("no_letters", 1)
+    for i, r in got.items():
+        bits = r.failure_bits & q.mask("web-3")
+        assert (r.only_rule is not None) == (bits.bit_count() == 1)
+        assert r.n_only == (sum((x.failure_bits & q.mask("web-3")) == bits for x in got.values()) if r.only_rule else None)
+
+
 def test_clean_labels_are_kept(spark):
     d = "/root/testdata/sf0.01"
     x = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     led = q.ledger(x.select("doc_id", "text")).join(x.select("doc_id", "quality"), "doc_id")
-    base, kept = q.verdict(F.col("failure_bits"), "base-1"), q.verdict(F.col("failure_bits"), "web-2")
+    base, kept = q.verdict(F.col("failure_bits"), "base-1"), q.verdict(F.col("failure_bits"), "web-3")
     r = led.groupBy("quality").agg(F.avg(kept.cast("int")).alias("kept"), F.avg((base & ~kept).cast("int")).alias("beyond")).collect()
     by = {x.quality: x for x in r}
     assert by[1].beyond == 0 and by[0].kept < 0.05
