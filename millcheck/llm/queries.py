@@ -16,9 +16,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
     path = scratch(spark, "warc")
-    warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.read(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    warc.write(pages, path)
+    warc.export(spark, path, f"{path}/files")
+    return warc.read_back(spark, f"{path}/files", pages.schema["page_id"].dataType.simpleString()).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,12 @@
 
 An archive is a folder of two tables. payloads has each distinct payload once, under its SHA-256, which is checked
 whenever it is read. records has a row per record: its header to the byte, and the digest of its payload. A record is
-its header, the payload unless it is a revisit, and two line ends; export writes those as gzipped .warc files.
+its header, the payload unless it is a revisit, and two line ends; export joins both and writes gzipped .warc files, one
+stream each, which read_files reads back record by record, so that neither a file nor a group must fit into memory.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
 import re
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millcheck.llm.common import cut
+
 #: The digits of base 32 as RFC 4648 has them, and as conv() writes them.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -23,6 +24,7 @@ CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
+LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]+) *\r\n", re.I)
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -32,22 +34,29 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), CONV32, BASE32)
 
 
-def record_id(id_col: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(">"))
+def record_id(id_col: Column, row: Column) -> Column:
+    """Names a record by its page's id and the number of its row, as ids may repeat."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"), row.cast("string"), F.lit(">"))
+
+
+def page_id(name: str) -> Column:
+    """The page's id that a header field names."""
+    found = F.regexp_extract(field(name), r"^<urn:page:(.*):\d+>$", 1)
+    return F.when((found != "") & (found != "null"), found)
 
 
 def header() -> Column:
-    """The header of a record with columns id, url, response (boolean), refers, n_bytes, sha1."""
+    """The header of a record with columns id, row, url, response (boolean), refers, refers_row, n_bytes, sha1."""
     uri = F.translate(F.col("url"), "\r\n", "")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
     return F.concat(
         F.lit(f"WARC/1.1{END}"),
         line("WARC-Type", F.when(F.col("response"), "response").otherwise("revisit")),
-        line("WARC-Record-ID", record_id(F.col("id"))),
+        line("WARC-Record-ID", record_id(F.col("id"), F.col("row"))),
         line("WARC-Date", F.lit(DATE)),
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(F.col("response"), "").otherwise(F.concat(line("WARC-Refers-To", record_id(F.col("refers"))), line("WARC-Profile", F.lit(PROFILE)))),
+        F.when(F.col("response"), "").otherwise(F.concat(line("WARC-Refers-To", record_id(F.col("refers"), F.col("refers_row"))), line("WARC-Profile", F.lit(PROFILE)))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(F.col("response"), F.col("n_bytes")).otherwise(0).cast("string")),
         F.lit(END),
@@ -65,14 +74,15 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"))
-    facts = rows.select("id", "url", "digest", F.octet_length("payload").cast("long").alias("n_bytes"), base32_sha1(F.col("payload")).alias("sha1"))
-    facts = facts.join(first, "digest").withColumn("response", F.col("id").eqNullSafe(F.col("first")) | (F.col("n_bytes") < revisit_bytes))
-    records = facts.withColumn("refers", F.when(~F.col("response"), F.col("first")))
+    # written at once, so that the rows keep their numbers
+    facts = cut(rows.select("id", "url", "digest", F.monotonically_increasing_id().alias("row"), F.octet_length("payload").cast("long").alias("n_bytes"), base32_sha1(F.col("payload")).alias("sha1")))
+    first = facts.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f")).select("digest", F.col("f.id").alias("first"), F.col("f.row").alias("first_row"))
+    records = facts.join(first, "digest").withColumn("response", F.col("id").eqNullSafe(F.col("first")) | (F.col("n_bytes") < revisit_bytes))
+    records = records.withColumn("refers", F.when(~F.col("response"), F.col("first"))).withColumn("refers_row", F.col("first_row"))
     records.select("id", "refers", "digest", header().alias("header")).write.parquet(f"{path}/records")
     # by digest and id, so the copies of one payload are not all dealt to one task; one key, so they move once
-    key = lambda digest, i: F.concat_ws(" ", F.col(digest), F.coalesce(F.col(i).cast("string"), F.lit("null"))).alias("k")
-    held = rows.select(key("digest", "id"), "digest", "payload").join(first.select(key("digest", "first")), "k", "left_semi").dropDuplicates(["k"])
+    key = lambda digest, i: F.xxhash64(F.col(digest), F.col(i)).alias("k")
+    held = rows.select(key("digest", "id"), "digest", "payload").join(first.select(key("digest", "first")).distinct(), "k", "left_semi").dropDuplicates(["k", "digest"])
     held.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
@@ -101,25 +111,64 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
 
 def export(spark: SparkSession, path: str, out: str) -> None:
     """Writes the archive's records as gzipped WARC files, one per task. The text writer ends a row by the two line
-    ends that end a record."""
+    ends that end a record. Responses and revisits are dealt together, so a file has both."""
     reconstruct(spark, path).select("record").write.option("lineSep", END * 2).option("compression", "gzip").text(out)
 
 
-def parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records from what the text reader splits at two line ends. These end a header and a record, and may be within a
+    payload too, so pieces are put together again up to the length that the header says."""
+    head, size, have, n = b"", 0, [], 0
     for part in batches:
-        for content in part["content"]:
-            stream = gzip.GzipFile(fileobj=io.BytesIO(content))
-            while line := stream.readline():
-                head = [line]
-                while (line := stream.readline()) not in (b"\r\n", b""):
-                    head.append(line)
-                text = b"".join(head).decode()
-                size = int(re.search(r"(?m)^Content-Length: (\d+)", text)[1])
-                payload = stream.read(size)
-                stream.read(4)
-                yield pd.DataFrame({"header": [f"{text}\r\n"], "payload": [payload]})
+        out = []
+        for piece in part["value"]:
+            if not head:
+                piece = piece.lstrip(b"\r\n")
+                if not piece:
+                    continue
+                length = LENGTH.search(piece + b"\r\n")
+                if not piece.startswith(b"WARC/") or not length:
+                    out.append((piece.decode("utf-8", "replace"), None))
+                    continue
+                head, size, have, n = piece + b"\r\n\r\n", int(length[1]), [], 0
+                continue
+            have += [b"\r\n\r\n", piece] if have else [piece]
+            n += len(piece) + 4 * (len(have) > 1)
+            if n >= size:
+                whole = b"".join(have)
+                out.append((head.decode("utf-8", "replace"), whole[:size]))
+                # a payload that ends in line ends takes some of those after it: what is left may be the next header
+                rest = whole[size:].lstrip(b"\r\n")
+                length = LENGTH.search(rest + b"\r\n")
+                head = b""
+                if rest.startswith(b"WARC/") and length:
+                    head, size, have, n = rest + b"\r\n\r\n", int(length[1]), [], 0
+                elif rest:
+                    out.append((rest.decode("utf-8", "replace"), None))
+        yield pd.DataFrame(out, columns=["header", "payload"])
+    if head:
+        yield pd.DataFrame({"header": [head.decode("utf-8", "replace")], "payload": [None]})
 
 
 def read_files(spark: SparkSession, out: str) -> DataFrame:
-    """header and payload of each record of exported files, a file at a time."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(out).select("content").mapInPandas(parse_files, "header string, payload binary")
+    """header and payload of each record of .warc.gz files. What is no header, or has no Content-Length, or ends before
+    its payload does, is a row with a null payload; reading goes on at the next header."""
+    lines = spark.read.option("lineSep", END * 2).option("pathGlobFilter", "*.gz").text(out)
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInPandas(parsed, "header string, payload binary")
+
+
+def read_back(spark: SparkSession, out: str, id_type: str = "long") -> DataFrame:
+    """A row per record of .warc.gz files: id, refers_to (page ids), record_type, target_uri, payload_bytes and
+    payload_digest of the full payload (a revisit's is that of its response), verified (the bytes are there, and have the
+    digest and length that the headers say)."""
+    name = lambda field_name: field(field_name).alias(field_name)
+    read = read_files(spark, out).select(
+        page_id("WARC-Record-ID").cast(id_type).alias("id"), page_id("WARC-Refers-To").cast(id_type).alias("refers_to"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Payload-Digest").alias("said"),
+        name("WARC-Record-ID"), name("WARC-Refers-To"), F.octet_length("payload").cast("long").alias("n_bytes"), F.when(field("WARC-Type") == "response", base32_sha1(F.col("payload"))).alias("sha1"),
+    )
+    read = cut(read)
+    of = read.where("record_type = 'response'").select(F.col("WARC-Record-ID").alias("of"), F.col("n_bytes").alias("of_bytes"), F.col("sha1").alias("of_sha1"))
+    full = read.where("record_type = 'revisit'").join(of, F.col("WARC-Refers-To") == F.col("of"), "left")
+    full = read.where("coalesce(record_type, '') <> 'revisit'").select("*", F.lit(None).cast("string").alias("of"), F.col("n_bytes").alias("of_bytes"), F.col("sha1").alias("of_sha1")).unionByName(full)
+    ok = F.coalesce(F.col("said") == F.concat(F.lit("sha1:"), F.col("of_sha1")), F.lit(False)) & ((F.col("record_type") == "response") | (F.col("n_bytes") == 0))
+    return full.select("id", "refers_to", "record_type", "target_uri", F.col("of_bytes").alias("payload_bytes"), F.col("of_sha1").alias("payload_digest"), ok.alias("verified"))

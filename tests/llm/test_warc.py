@@ -3,6 +3,7 @@ import gzip
 import hashlib
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from millcheck.llm import warc
@@ -31,11 +32,15 @@ def test_round_trip(spark, tmp_path):
     assert spark.read.parquet(f"{p}/payloads").count() == len(set(text.values()))
     rebuilt = {r.id: r.record for r in warc.reconstruct(spark, p).collect()}
     head = {r.id: r.header for r in spark.read.parquet(f"{p}/records").collect()}
-    assert rebuilt[3] == head[3] + text[3] and rebuilt[2] == head[2] and "WARC-Refers-To: <urn:page:1>" in head[2]
+    assert rebuilt[3] == head[3] + text[3] and rebuilt[2] == head[2] and "WARC-Refers-To: <urn:page:1:" in head[2]
     warc.export(spark, p, str(tmp_path / "out"))
     read = warc.read_files(spark, str(tmp_path / "out")).collect()
-    want = sorted((head[r.id], text[r.id].encode() if r.record_type == "response" else b"") for r in got)
+    want = sorted((r.header, text[r.id].encode() if "WARC-Type: response" in r.header else b"") for r in spark.read.parquet(f"{p}/records").collect())
     assert sorted((r.header, bytes(r.payload)) for r in read) == want
+    back = warc.read_back(spark, str(tmp_path / "out")).collect()
+    assert sorted(map(str, back)) == sorted(map(str, got)) and all(r.verified for r in back)
+    names = [h.split("WARC-Record-ID: ")[1].split("\r")[0] for h, _ in want]
+    assert len(set(names)) == len(names)
     assert all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n") for f in Path(tmp_path, "out").glob("*.gz") if gzip.decompress(f.read_bytes()))
 
 
@@ -54,3 +59,22 @@ def test_small_payloads_and_empty(spark, tmp_path):
     assert {r.record_type for r in warc.read(spark, p).collect()} == {"response"}
     warc.write(pages(spark, []), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("payload", ["", "\r\n", "x\r\n", "\r\n\r\n", "a\r\n\r\n\r\nb", "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "x" * 300_000, "end\r", "\n\r\n\r\n\r\n"])
+def test_payloads_with_line_ends(spark, tmp_path, payload):
+    p = str(tmp_path / "a")
+    warc.write(pages(spark, [(1, "u", payload), (2, "v", "next"), (3, "w", payload)]), p)
+    warc.export(spark, p, f"{p}/files")
+    got = {r.id: r for r in warc.read_back(spark, f"{p}/files").collect()}
+    assert {i: (r.record_type, r.refers_to, r.payload_bytes, r.verified) for i, r in got.items()} == {1: ("response", None, len(payload), True), 2: ("response", None, 4, True), 3: ("revisit", 1, len(payload), True)}
+
+
+def test_damaged_files(spark, tmp_path):
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1:0>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    cases = b"no header at all\r\n\r\n" + good + b"WARC/1.1\r\nWARC-Type: response\r\n\r\n" + good + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort"
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.warc.gz").write_bytes(gzip.compress(cases))
+    got = [None if r.payload is None else bytes(r.payload) for r in warc.read_files(spark, str(tmp_path / "x")).collect()]
+    assert got == [None, b"abc", None, b"abc", None]
+    assert [r.verified for r in warc.read_back(spark, str(tmp_path / "x")).collect()].count(True) == 0
