@@ -25,15 +25,14 @@ from pyspark.sql import types as T
 from millcheck.llm.common import words
 
 SIMILARITY = 0.8
-#: Random walks, LSH tables per walk, sampled positions per table: a window whose embedding agrees with the item's in
-#: half of all positions is found with probability 1 - (1 - 0.5 ** 3) ** 32 = 0.986.
-WALKS, TABLES, SAMPLED = 4, 8, 3
-#: Items that one pass over the texts looks for: bounds what is sent to the tasks, whatever the benchmark's size.
-BLOCK_ITEMS = 5000
+#: Random walks, LSH tables per walk, sampled positions per table; sampled where the item's embedding is not padding. Found
+#: of windows at SIMILARITY, 60 trials for each of 5, 10, 20, 50 and 100 words: all; of unrelated windows pass 0 to 0.3 %.
+WALKS, TABLES, SAMPLED = 6, 8, 2
+#: Items that one pass over the texts looks for: bounds what is sent to the tasks, some 40 MB, whatever the benchmark's size.
+BLOCK_ITEMS = 20_000
 LONGEST_GRAM = 4
 BITS = 22
 PAD = np.uint64(0)
-FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("distance", T.IntegerType())]))
 
 
 class Vocabulary(dict):
@@ -94,8 +93,10 @@ def close(t: np.ndarray, start: np.ndarray, item: np.ndarray) -> np.ndarray:
         left = np.flatnonzero(~hit)
         if not len(left):
             break
-        same = embed(t, start[left], n, walk) == embed(item, np.zeros(1, dtype=np.int64), n, walk)
-        sampled = np.random.default_rng([walk, 11, n]).integers(0, 3 * n, size=(TABLES, SAMPLED))
+        mine = embed(item, np.zeros(1, dtype=np.int64), n, walk)
+        read = np.flatnonzero(mine[:, 0] != PAD)
+        sampled = read[np.random.default_rng([walk, 11, n]).integers(0, len(read), size=(TABLES, SAMPLED))]
+        same = embed(t, start[left], n, walk) == mine
         hit[left] = same[sampled].all(axis=1).any(axis=0)
     return hit
 
@@ -124,7 +125,8 @@ def best_end(pattern: list, text: list) -> tuple[int, int]:
 class Items:
     """Benchmark items and an index of their grams."""
 
-    def __init__(self, items: list[tuple[int, str | None]], similarity: float):
+    def __init__(self, items: list[tuple[object, str | None]], similarity: float, id_type: T.DataType | None = None):
+        self.id_type = id_type or T.LongType()
         v = Vocabulary()
         self.items = [(i, t) for i, text in items if len(t := tokens(text, v))]
         self.edits = [int((1 - similarity) * len(t) + 1e-9) for _, t in self.items]
@@ -138,19 +140,27 @@ class Items:
             key = np.array([x[0] for x in found], dtype="<u8")
             flags = np.zeros(1 << BITS, dtype=bool)
             flags[key >> np.uint64(64 - BITS)] = True
-            self.index[q] = flags, key, np.array([x[1] for x in found]), np.array([x[2] for x in found])
+            self.index[q] = flags, key, np.array([x[1] for x in found], dtype=np.int32), np.array([x[2] for x in found], dtype=np.int32)
 
     def windows(self, t: np.ndarray) -> dict[int, np.ndarray]:
         """For each item with a gram in t: where windows can start, counting edits before the gram."""
-        out: dict[int, list] = defaultdict(list)
+        items, starts = [], []
         for q, (flags, key, item, offset) in self.index.items():
             g = grams(t, q)
-            for p in np.flatnonzero(flags[g >> np.uint64(64 - BITS)]):
-                for x in range(np.searchsorted(key, g[p], "left"), np.searchsorted(key, g[p], "right")):
-                    out[int(item[x])].append(p - offset[x])
-        return {k: np.unique(np.array(s)) for k, s in out.items()}
-
-    def find(self, t: np.ndarray) -> list[tuple[int, int, int, int]]:
+            p = np.flatnonzero(flags[g >> np.uint64(64 - BITS)])
+            lo, hi = np.searchsorted(key, g[p], "left"), np.searchsorted(key, g[p], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            items.append(item[at])
+            starts.append(np.repeat(p, n) - offset[at])
+        item, start = np.concatenate(items or [[]]), np.concatenate(starts or [[]])
+        if not len(item):
+            return {}
+        item, start = np.unique(np.stack([item, start]), axis=1)
+        edges = np.flatnonzero(np.diff(item)) + 1
+        return dict(zip(item[np.r_[0, edges]].tolist(), np.split(start, edges)))
+
+    def find(self, t: np.ndarray) -> list[tuple[object, int, int, int]]:
         """(item id, first token, tokens, distance) of the matches, best first for each item, none overlapping."""
         out = []
         for k, diagonals in self.windows(t).items():
@@ -180,14 +190,16 @@ class Items:
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, similarity: float, size: int = BLOCK_ITEMS) -> Iterator[Items]:
     """The benchmark in blocks of at most about `size` items, one at a time on the driver."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     n = max(1, -(-rows.count() // size))
     for i in range(n):
-        yield Items([(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).collect()], similarity)
+        yield Items([(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).collect()], similarity, benchmark.schema[id_col].dataType)
 
 
 def matches(items: Items, text: Column) -> Column:
-    @F.pandas_udf(FOUND)
+    found = T.StructType([T.StructField("item_id", items.id_type), T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("distance", T.IntegerType())])
+
+    @F.pandas_udf(T.ArrayType(found))
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = Vocabulary()
         for part in texts:

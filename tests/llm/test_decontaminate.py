@@ -80,3 +80,35 @@ def test_blocks_and_empty(spark, make):
         dc_rows |= {(r[0], m.item_id, m.start, m.n_words, m.distance) for r in make(docs[:40]).select("doc_id", dc.matches(block, F.col("text")).alias("m")).collect() for m in r.m}
     assert dc_rows == one and size == dc.BLOCK_ITEMS
     assert dc.contaminations(make([]), bench).count() == 0 and dc.contaminations(make(docs[:3]), bench.limit(0)).count() == 0
+
+
+def test_lsh_finds_and_selects():
+    """Of windows at the least similarity nearly all are found, of unrelated ones nearly none."""
+    import numpy as np
+
+    r, v = random.Random(8), dc.Vocabulary()
+    found = passed = n_unrelated = 0
+    for k in range(100):
+        n = r.choice([5, 10, 20, 50, 100])
+        w = words(k, n, 5000)
+        item = dc.tokens(" ".join(w), v)
+        t = dc.tokens(" ".join(words(500 + k, n + 30, 5000) + edited(r, w, int(0.2 * n)) + words(900 + k, n + 30, 5000)), v)
+        e = n // 5
+        found += bool(dc.close(t, np.arange(n + 30 - e, n + 31 + e), item).any())
+        passed += int(dc.close(t, np.arange(20), item).sum())
+        n_unrelated += 20
+    assert found >= 98 and passed <= 0.02 * n_unrelated, (found, passed)
+
+
+def test_many_items_with_textual_ids(spark, make):
+    items = [(f"item-{i}", " ".join(words(50_000 + i, 12, 3000))) for i in range(20_000)]
+    r = random.Random(9)
+    docs, want = [], set()
+    for d in range(200):
+        i = r.randrange(20_000)
+        docs.append((d, " ".join(words(d, 40, 3000) + edited(r, items[i][1].split(), r.randrange(3)) + words(1000 + d, 40, 3000))))
+        want.add((d, f"item-{i}"))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = dc.contaminations(make(docs), bench)
+    assert dict(rows.dtypes)["item_id"] == "string"
+    assert len(want & {(x.doc_id, x.item_id) for x in rows.collect()}) >= 0.98 * len(want)
