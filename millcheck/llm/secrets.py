@@ -1,7 +1,8 @@
 """Secret scan: wide candidate patterns, then a random forest that removes false positives.
 
 The forest learns from labelled findings: length, character transitions, dictionary coverage, words of the path and
-neighbouring words. Findings name where a secret is and a digest of it, never the secret.
+neighbouring words. findings.tsv has some written by hand, in four languages; synthetic makes more by rule. Findings
+name where a secret is and a digest of it, never the secret.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -22,19 +24,26 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 DIGIT = re.compile(r"[0-9]")
 PREFIX = re.compile(r"(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|sk-|eyJ|AIza|glpat-)")
 #: What is assigned to a name with a secret word: quoted, or up to a space or a mark that ends a value.
-ASSIGNED = re.compile(r"(?:passw|pwd|secret|token|api_?key|access|auth|bearer|credential|private|key|aws|login)[A-Za-z0-9_-]{0,40}[\"']?\s{0,4}[:=]\s{0,4}(?:\"([^\"\n]{8,})\"|'([^'\n]{8,})'|([^\s\"'`,;&<>)\]}]{8,}))", re.I)
+ASSIGNED = re.compile(r"(?:passw|pwd|secret|token|api_?key|access|auth|bearer|credential|private|key|aws|login)[A-Za-z0-9_-]{0,40}[\"']?\s{0,4}[:=]\s{0,4}(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"'`,;&<>)\]}]{4,}))", re.I)
+#: A private key with what encloses it, up to its end or, without one, the last line that can be of it.
+KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*?-----END (?:[A-Z]+ )?PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*)")
 NEAR = 40
 TREES, DEPTH = 40, 8
 #: Labelled findings made by synthetic(): bounds what the forest is fitted on.
 LABELLED = 4000
+#: How often a finding written by hand counts.
+WRITTEN = 5
 
 # Words of ordinary text and code, words by secrets, words by what only looks like one, and words of paths.
 DICTIONARY = (
     "the and for that with this from have not are was but all can had her one our out day get has him his how man new now old see two way who did its let put say she too use "
     "about after again also back because before between both call come could each even find first give good great hand here high home into just know last leave life like line little long look made make many may more most move much must name need never next number only open other over own part people place point right same school seem should show small some state still such take tell than their them then there these they thing think time turn under very want water well went were what when where which while will word work world would write year "
+    "der die und das ist nicht von mit auf ein eine sich dem den des auch als aus bei nach wie oder aber wenn nur noch wird sind haben kann mehr zum zur ueber unter passwort benutzer datei seite server jahr zeit "
+    "les des est une que qui dans pour pas sur avec son par mais ses cette tout plus fait sont aux bien sans peut nous vous leur mot passe clef page serveur utilisateur fichier temps annee "
+    "los las una por con para del que como mas pero sus esta este entre cuando muy sin sobre tambien hasta hay donde quien desde todo clave usuario archivo pagina servidor tiempo texto "
     "data file user test example value index page image version release update build config default service server client code function class method object string number array list table column error message request response report document article content title link http https www com org net html json"
 ).split()
-SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access", "auth", "bearer", "credential", "private", "key", "aws", "login")
+SECRET_WORDS = ("password", "passwort", "kennwort", "mot de passe", "clave", "contrasena", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access", "auth", "bearer", "credential", "private", "key", "aws", "login")
 HARMLESS_WORDS = ("commit", "sha", "md5", "hash", "checksum", "uuid", "guid", "id", "version", "phone", "tel", "call", "card", "isbn", "order", "serial", "example", "sample", "placeholder", "http", "https", "www", "file", "image", "build", "date")
 PATH_WORDS = ("test", "tests", "example", "examples", "sample", "spec", "fixture", "mock", "doc", "docs", "readme")
 
@@ -72,7 +81,7 @@ def features(candidate: str, left: str, right: str, path: str | None) -> list[fl
     last = left.rstrip()[-1:] if left.rstrip(" \"'") == left.rstrip() else left.rstrip(" \"'")[-1:]
     parts = re.split(r"[^a-z0-9]+", (path or "").lower())
     return [
-        float(n), *share, entropy, moves, likely, covered(candidate), float(re.fullmatch(r"[0-9a-fA-F]+", candidate) is not None), float(PREFIX.match(candidate) is not None),
+        float(n), *share, entropy, moves, likely, covered(candidate), float(re.fullmatch(r"[0-9a-fA-F]+", candidate) is not None), float(PREFIX.match(candidate) is not None or candidate.startswith("-----BEGIN")),
         float(any(w in near for w in SECRET_WORDS)), float(any(w in before for w in HARMLESS_WORDS)), float(last in "=:" and last != ""), float(left.endswith(('"', "'", "`"))), float("example" in around or "xxxx" in low or "changeme" in low or "1234" in low),
         float(any(w in parts for w in PATH_WORDS)), len(times) / n,
     ]
@@ -98,6 +107,7 @@ def synthetic(n: int = LABELLED, seed: int = 42) -> list[tuple[str, str, str, st
                 (pick(hexes, some(16, 18, 20, 24, 32, 40, 64)), assign), (pick(mixed, r.randrange(14, 48)), assign), (pick(mixed + "+/", 40), assign), ("AKIA" + pick(upper + digits, 16), some(assign, "", "", "key ")), ("AKIA" + pick(upper, 16), some(assign, "", "key ")), (pick(upper + lower, r.randrange(14, 40)), assign),
                 (pick(mixed + "!@#$%^*?.~", r.randrange(8, 20)), assign), (some("!", "@", "$", "-").join(w.title() for w in r.choices(DICTIONARY, k=3)).replace("i", some("i", "!", "1")) + some("!", "$", "7", "#"), assign), (pick(lower, 3) + some(*"$!@#%") + pick(digits + lower, 6), assign),
                 ("ghp_" + pick(mixed, 36), some(assign, "", "")), ("sk_live_" + pick(mixed, 24), some(assign, "")), ("eyJ" + pick(mixed, 40), some(assign, "bearer ", "")),
+                (f"-----BEGIN {some('', 'RSA ', 'EC ')}PRIVATE KEY-----\n" + "\n".join(pick(mixed + "+/", 64) for _ in range(r.randrange(2, 26))) + "\n-----END PRIVATE KEY-----", some("", assign)),
             )
             where = some(f"src{r.randrange(40)}", f"src/{r.choice(DICTIONARY)}.py", f"config/{r.choice(DICTIONARY)}.env", "")
             out.append((c, f"{before}{assign}"[-NEAR:], f'{'"' if assign.endswith('"') else ""}{after}', where, 1))
@@ -115,19 +125,31 @@ def synthetic(n: int = LABELLED, seed: int = 42) -> list[tuple[str, str, str, st
     return out
 
 
+def written() -> list[tuple[str, str, str, str, int]]:
+    """The findings of findings.tsv, like those of synthetic. All secrets in it are made up."""
+    rows = (line.split("\t") for line in Path(__file__).with_name("findings.tsv").read_text(encoding="utf-8").splitlines())
+    return [(c, left[-NEAR:], right[:NEAR], path, int(y)) for y, c, left, right, path in rows]
+
+
 def train(spark: SparkSession, labelled: list[tuple[str, str, str, str, int]] | None = None, seed: int = 42) -> RandomForestClassificationModel:
-    rows = [(features(c, left, right, path), float(y)) for c, left, right, path, y in labelled or synthetic()]
+    """A forest fitted on labelled findings, which must be of both kinds; by default on those made by rule and, WRITTEN
+    times, on those written by hand."""
+    labelled = synthetic() + WRITTEN * written() if labelled is None else labelled
+    if len({y for *_, y in labelled}) < 2:
+        raise ValueError("findings of both kinds are needed")
+    rows = [(features(c, left, right, path), float(y)) for c, left, right, path, y in labelled]
     df = spark.createDataFrame(rows, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(df)
 
 
 def proposed(text: str) -> list[tuple[int, int]]:
-    """Spans that can be secrets: what is assigned to a secret word, and runs that have a digit, mix case or begin as
+    """Spans that can be secrets: private keys, what is assigned to a secret word, and runs that have a digit, mix case or begin as
     known keys do. A run within an assigned value is one more span, as a value may be a link or another assignment."""
     spans, at = set(), 0
     while m := ASSIGNED.search(text, at):
         spans.add(m.span(m.lastindex))
         at = m.start(m.lastindex)
+    spans.update(m.span() for m in KEY_BLOCK.finditer(text))
     for m in CANDIDATE.finditer(text):
         c = m[0]
         if DIGIT.search(c) or (c != c.lower() and c != c.upper()) or PREFIX.match(c):
@@ -150,7 +172,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
     is_secret.
 
     Null and empty texts have none, a null path is an empty one; null ids and repeated rows give rows like others.
-    Candidates are what is assigned to a secret word, from 8 characters, and runs of 12 or more with a digit, mixed case
+    Candidates are private keys, what is assigned to a secret word, from 4 characters, and runs of 12 or more with a digit, mixed case
     or a known prefix. Other columns are not looked at; an empty table gives none.
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
