@@ -13,15 +13,24 @@ def exact(value: Column) -> Column:
     return value.cast("string").try_cast(EXACT)
 
 
-def half_even(value: Column, decimals: int | Column, most: int = 8) -> Column:
-    """Round half to even, as double. decimals may be a column of 0..most; null leaves the value as it is."""
-    d = exact(value)
+def once(c: Column, make) -> Column:
+    """make(c), with c worked out once however often it is used."""
+    return F.get(F.transform(F.array(c), make), F.lit(0))
+
+
+def half_even(value: Column, decimals: int | Column) -> Column:
+    """Round half to even, as double. decimals may be a column; null, and what the value has no digits for (over 18
+    decimals, or a value of 1e20 and more), leave the value as it is."""
     if isinstance(decimals, int):
-        return F.bround(d, decimals).cast("double")
-    out = F.when(decimals == 0, F.bround(d, 0).cast("double"))
-    for k in range(1, most + 1):
-        out = out.when(decimals == k, F.bround(d, k).cast("double"))
-    return out.otherwise(value)
+        return F.coalesce(F.bround(exact(value), decimals).cast("double"), value) if decimals <= 18 else value
+
+    def rounded(d: Column) -> Column:
+        out = F.when(decimals == 0, F.bround(d, 0).cast("double"))
+        for k in range(1, 19):
+            out = out.when(decimals == k, F.bround(d, k).cast("double"))
+        return out
+
+    return F.coalesce(F.when(decimals.isNotNull(), once(exact(value), rounded)), value)
 
 
 def half_up(value: Column, decimals: int) -> Column:
@@ -32,7 +41,12 @@ def half_up(value: Column, decimals: int) -> Column:
 
 def compare(value: Column, limit: Column, op: str, decimals: int | None = None) -> tuple[Column, Column]:
     """Whether value op limit holds, for op among <=, <, >=, >, == , and the deviation: positive is beyond the limit."""
-    v = value if decimals is None else half_even(value, decimals)
-    v, m = exact(v), exact(limit)
+    v, m = value if decimals is None else half_even(value, decimals), limit
+    # doubles are in the order of their shortest texts; only differences need the exact numbers
     holds = {"<=": v <= m, "<": v < m, ">=": v >= m, ">": v > m, "==": v == m}[op]
-    return holds, (v - m if op in ("<=", "<", "==") else m - v).cast("double")
+    return holds, difference(v, m) if op in ("<=", "<", "==") else difference(m, v)
+
+
+def difference(a: Column, b: Column) -> Column:
+    """a - b of the exact numbers, as double."""
+    return F.coalesce((exact(a) - exact(b)).cast("double"), a - b)

@@ -90,12 +90,13 @@ FAILED = ("不合格", "不符合", "开裂", "超标", "有裂纹", "超差", "
 
 def result(c: Column) -> Column:
     """PASS, FAIL or NOT_TESTED of a free text. Not tested goes before failed, and what is neither passes."""
-    t = F.upper(clean(c))
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))
+    # patterns on the text itself, so nothing is made of it first
+    any_of = lambda words: c.rlike("(?iu)" + "|".join(words))
+    alone = lambda pattern: c.rlike(f"(?iu)^{S}*(?:{pattern}){S}*$")
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
-        .when(has(NOT_TESTED) | t.rlike(r"^[-/\\_]+$") | t.rlike(r"^N/?A$") | (t == "NONE"), "NOT_TESTED")
-        .when(t.isin("FAIL", "NG", "NO") | has(FAILED), "FAIL")
+        .when(any_of(NOT_TESTED) | alone(r"[-/\\_]+|N/?A|NONE"), "NOT_TESTED")
+        .when(any_of(FAILED) | alone("FAIL|NG|NO"), "FAIL")
         .otherwise("PASS")
     )
 

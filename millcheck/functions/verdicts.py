@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millcheck.functions.rounding import exact, half_even
+from millcheck.functions.rounding import difference, half_even
 
 # Ranks, and the words of results, which differ by evaluator.
 LEVEL_RANK = {"MANDATORY": 4, "CONDITIONAL": 3, "OPTIONAL_AGREED": 2, "EXEMPT": 1}
@@ -47,15 +47,14 @@ def status(found: Column, ok: Column, level: Column, conditional: bool = False)
 
 def numeric_range(value: Column, lo: Column, hi: Column, level: Column, decimals: Column | None = None, lo_in: Column | None = None, hi_in: Column | None = None) -> Column:
     """struct(status, value, deviation, deviation_percent): lo is looked at first, hi only if lo holds."""
-    v = value if decimals is None else F.when(decimals.isNull(), value).otherwise(half_even(value, decimals))
-    d, a, b = exact(v), exact(lo), exact(hi)
+    v = value if decimals is None else half_even(value, decimals)
     lo_in = F.lit(True) if lo_in is None else F.coalesce(lo_in, F.lit(True))
     hi_in = F.lit(True) if hi_in is None else F.coalesce(hi_in, F.lit(True))
-    below = F.coalesce(F.when(lo_in, d < a).otherwise(d <= a), F.lit(False))
-    above = F.coalesce(F.when(hi_in, d > b).otherwise(d >= b), F.lit(False))
-    deviation = F.when(below, a - d).when(above, d - b).otherwise(F.lit(0)).cast("double")
+    below = F.coalesce((v < lo) | (~lo_in & (v == lo)), F.lit(False))
+    above = F.coalesce((v > hi) | (~hi_in & (v == hi)), F.lit(False))
+    deviation = F.when(below, difference(lo, v)).when(above, difference(v, hi)).otherwise(0.0)
     base = F.coalesce(F.nullif(hi, F.lit(0.0)), F.nullif(lo, F.lit(0.0)), F.lit(1.0))
-    percent = F.abs(half_even(F.try_divide(deviation, base) * 100, 2))
+    percent = F.when(below | above, F.abs(half_even(F.try_divide(deviation, base) * 100, 2))).otherwise(0.0)
     present = value.isNotNull()
     return F.struct(status(present, ~below & ~above, level, True).alias("status"), v.alias("value"), F.when(present, deviation).alias("deviation"), F.when(present, percent).alias("deviation_percent"))
 
@@ -69,7 +68,7 @@ def formula_bound(value: Column, lo: Column | None, hi: Column | None, level: Co
             r = half_even(bound, decimals)
             bounds.append(r)
             known = known & r.isNotNull()
-            ok = ok & ((exact(v) >= exact(r)) if op == ">=" else (exact(v) <= exact(r)))
+            ok = ok & (v >= r if op == ">=" else v <= r)
     bound = F.coalesce(*bounds) if bounds else F.lit(None).cast("double")
     return F.struct(status(value.isNotNull(), known & ok, level).alias("status"), F.when(value.isNotNull(), bound).alias("bound"))
 
@@ -101,7 +100,7 @@ def critical_value(values: Column, lo: Column, hi: Column) -> Column:
     low, high = F.array_min(values), F.array_max(values)
     nearest = F.array_min(F.transform(values, lambda v: F.struct(F.least(v - lo, hi - v).alias("d"), v.alias("v"))))
     value = F.when(lo.isNotNull() & hi.isNotNull(), nearest["v"]).when(lo.isNotNull(), low).when(hi.isNotNull(), high)
-    return F.struct(value.alias("value"), F.bround(exact(F.least(value - lo, hi - value)), 4).cast("double").alias("margin"))
+    return F.struct(value.alias("value"), half_even(F.least(value - lo, hi - value), 4).alias("margin"))
 
 
 def ocr_confidence(header: dict[str, Column], n_chemical: Column, mechanical: dict[str, Column], other: Column, n_items: Column, n_boxes: Column) -> Column:

@@ -48,12 +48,18 @@ def slot_names(key: Column, category: Column, sub: Column) -> Column:
     return F.array_distinct(F.concat(names, F.coalesce(more, none), F.coalesce(subs, none)))
 
 
+#: Before the name of a property: the slot of its number for formulas.
+NUMBER_OF = "\u0001"
+
+
 def slots(records: DataFrame) -> DataFrame:
     """cert_id, slot, and the record columns with rank_: a row per record and name, with '#num' and '#qual' names for
-    records that have a number or words."""
+    records that have a number or words, and the NUMBER_OF slot of those that have a number."""
     names = slot_names(F.col("property_key"), F.col("category"), F.col("sub_property"))
     kinds = F.array_compact(F.array(F.lit(""), F.when(F.col("value").isNotNull(), "#num"), F.when(F.col("text").isNotNull(), "#qual")))
     all_names = F.flatten(F.transform(names, lambda n: F.transform(kinds, lambda k: F.concat(n, k))))
+    number = F.when(F.col("value").isNotNull(), F.concat(F.lit(NUMBER_OF), "property_key"))
+    all_names = F.array_compact(F.concat(all_names, F.array(number)))
     return records.withColumn("rank_", rank(F.col("provenance"), PROVENANCE_RANK, 2)).withColumn("slot", F.explode(all_names))
 
 
@@ -103,6 +109,16 @@ def value_maps(records: DataFrame) -> DataFrame:
     return best.groupBy("cert_id").agg(F.map_from_entries(F.collect_list(F.struct("property_key", "v"))).alias("v"))
 
 
+def held_maps(held: DataFrame) -> DataFrame:
+    """cert_id, held_: a map of slot to record. At most the slots that the rules of a slice ask for come together."""
+    return held.groupBy("cert_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "record"))).alias("held_"))
+
+
+def first_held(names: Column) -> Column:
+    """The record of the first of the names that is a key of held_, null if none is."""
+    return F.get(F.filter(F.transform(names, lambda n: F.try_element_at("held_", n)), lambda r: r.isNotNull()), F.lit(0))
+
+
 def probe(pairs: DataFrame, held: DataFrame, names: str = "names") -> DataFrame:
     """For each row of pairs (cert_id, rule_id, and an array of slot names in order of preference): the first slot that
     is held, as `record`, null if none. Rows without a hit stay."""

@@ -3,7 +3,8 @@
 rules is a catalogue: spec_key, rule_id, pos, rule_type, category, property_key, sub_property, level, trigger, lo, hi,
 decimals, lo_inclusive, hi_inclusive, formula_lo, formula_hi, required_level, least_level, options
 array<struct<key, required_level, lo, hi, decimals>>, group_id, group_op, min_pass. Its distinct triggers and formulas
-are compiled on the driver; everything else is joins and aggregates by cert_id.
+are compiled on the driver. The records that rules ask for are settled by certificate and slot, with a partial aggregate
+before the shuffle, and come together as one map per certificate; everything after that is by cert_id and stays where it is.
 """
 
 from __future__ import annotations
@@ -45,22 +46,29 @@ def header_value(name: str) -> Column | None:
     return F.try_element_at("header", F.lit(name.rpartition(".")[2])) if name.startswith("ctx.header.") else None
 
 
-def formula_value(name: str) -> Column | None:
-    if name.startswith(("ctx.chemical.", "ctx.mechanical.")):
-        return F.try_element_at("v", F.lit(name.rpartition(".")[2]))
-    return header_value(name.replace("ctx.dimensions.", "ctx.header.dimensions."))
+def formula_value(used: set[str]):
+    """Looks names of formulas up in the certificate's map, and notes the slots of those that are numbers of records."""
 
+    def f(name: str) -> Column | None:
+        if name.startswith(("ctx.chemical.", "ctx.mechanical.")):
+            slot = ops.NUMBER_OF + name.rpartition(".")[2]
+            used.add(slot)
+            return F.try_element_at("held_", F.lit(slot))["value"]
+        return header_value(name.replace("ctx.dimensions.", "ctx.header.dimensions."))
 
-def by_text(column: str, found: list[str], make) -> Column:
+    return f
+
+
+def by_text(column: str, made: dict[str, Column]) -> Column:
     out = F.when(F.col(column).isNull(), F.lit(None))
-    for text in found:
-        out = out.when(F.col(column) == text, make(text))
+    for text, c in made.items():
+        out = out.when(F.col(column) == text, c)
     return out
 
 
-def bound(text: str) -> Column:
+def bound(text: str, used: set[str]) -> Column:
     try:
-        return compile_formula(text, formula_value)
+        return compile_formula(text, formula_value(used))
     except FormulaError:
         return F.lit(None).cast("double")
 
@@ -75,9 +83,13 @@ def slot_order() -> Column:
     return F.when(sub.isNull(), plain).otherwise(F.array(F.concat(both, kind), both, F.concat(sub, kind), sub))
 
 
-def audit(certs: DataFrame, records: DataFrame, rules: DataFrame) -> Audit:
-    """certs: cert_id, spec_key, header map<string,string>, dimensions map<string,double>. records: as slots() reads."""
+def audit(certs: DataFrame, records: DataFrame, rules: DataFrame, extras: DataFrame | None = None) -> Audit:
+    """certs: cert_id, spec_key, header map<string,string>, dimensions map<string,double>. records: as slots() reads.
+    extras: records that no rule asks for and that a reviewer has seen, with is_rejected; rejected ones fail."""
     triggers, lows, highs = texts(rules, "trigger", "formula_lo", "formula_hi")
+    used: set[str] = set()
+    lows, highs = ({t: bound(t, used) for t in x} for x in (lows, highs))
+    triggers = {t: trigger(t, header_value) for t in triggers}
     # one count decides for all tables made of the catalogue: none has more rows than its rules have names
     small = F.broadcast if rules.limit(ops.SMALL + 1).count() <= ops.SMALL else lambda df: df
     # a rule with options asks for each option, other rules for themselves; worked out on the catalogue alone
@@ -87,12 +99,13 @@ def audit(certs: DataFrame, records: DataFrame, rules: DataFrame) -> Audit:
     scale = F.array(F.concat_ws("_", "property_key", "option.key"), F.concat(F.lit("mech.hardness."), F.col("option.key")), F.col("option.key"))
     names = F.when(F.col("rule_type") == "or_choice_group", scale).when(F.col("rule_type") == "alternative_group", F.array(F.col("option.key"))).otherwise(slot_order())
     asked = asked.withColumn("rule_", F.col("rule_id")).withColumn("rule_id", F.concat_ws("\u0000", "rule_id", "option_at")).withColumn("names", names)
-    # only slots that some rule asks for are settled
-    wanted = small(asked.select(F.explode("names").alias("slot")).distinct())
-    held = ops.arbitrate(ops.slots(records).join(wanted, "slot", "left_semi"))
-    pairs = certs.join(small(asked), "spec_key").withColumn("triggered", F.coalesce(by_text("trigger", triggers, lambda t: trigger(t, header_value)), F.lit(True)))
-    x = ops.probe(pairs, held)
-    x = x.join(ops.value_maps(records), "cert_id", "left") if lows or highs else x.withColumn("v", F.lit(None).cast("map<string,double>"))
+    # only slots that some rule or formula asks for are settled
+    numbers = rules.sparkSession.createDataFrame([(n,) for n in sorted(used)], "slot string")
+    wanted = small(asked.select(F.explode("names").alias("slot")).union(numbers).distinct())
+    slotted = ops.slots(records).select("cert_id", "slot", "rank_", "pos", "value", "text", "level")
+    held = ops.held_maps(ops.arbitrate(slotted.join(wanted, "slot", "left_semi")))
+    x = certs.join(held, "cert_id", "left").join(small(asked), "spec_key").withColumn("triggered", F.coalesce(by_text("trigger", triggers), F.lit(True)))
+    x = x.withColumn("record", ops.first_held(F.col("names")))
     value, level = F.col("record.value"), F.col("level")
     found = F.col("record").isNotNull()
     words = F.concat_ws(" ", "record.text", "record.level")
@@ -100,7 +113,7 @@ def audit(certs: DataFrame, records: DataFrame, rules: DataFrame) -> Audit:
     # rounded once, in columns of their own: the verdicts use them many times
     x = x.withColumn("lo_", F.coalesce("option.lo", "lo")).withColumn("hi_", F.coalesce("option.hi", "hi"))
     rounded = verdicts.half_even(value, F.when(F.col("rule_type") == "dynamic_expression", F.coalesce(decimals, F.lit(3))).otherwise(decimals))
-    x = x.withColumn("rounded_", rounded).withColumn("low_", by_text("formula_lo", lows, bound).cast("double")).withColumn("high_", by_text("formula_hi", highs, bound).cast("double"))
+    x = x.withColumn("rounded_", rounded).withColumn("low_", by_text("formula_lo", lows).cast("double")).withColumn("high_", by_text("formula_hi", highs).cast("double"))
     d = F.coalesce("decimals", F.lit(3))
     x = x.withColumn("low_", verdicts.half_even(F.col("low_"), d)) if lows else x
     x = x.withColumn("high_", verdicts.half_even(F.col("high_"), d)) if highs else x
@@ -128,4 +141,5 @@ def audit(certs: DataFrame, records: DataFrame, rules: DataFrame) -> Audit:
     keys = F.concat(F.array("property_key"), F.coalesce(F.transform("options", lambda o: o["key"]), F.array().cast("array<string>")))
     looked_at = small(rules.select("spec_key", F.explode(keys).alias("property_key")).distinct())
     rest = records.join(certs.select("cert_id", "spec_key"), "cert_id").join(looked_at, ["spec_key", "property_key"], "left_anti")
-    return Audit(listed, groups, ops.summary(certs, listed), rest.select(*records.columns))
+    judged = listed if extras is None else listed.unionByName(ops.rejected_rows(extras), allowMissingColumns=True)
+    return Audit(listed, groups, ops.summary(certs, judged), rest.select(*records.columns))
