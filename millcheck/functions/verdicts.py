@@ -24,7 +24,7 @@ LEAST_LEVEL = ("(?i)不合格|FAIL|UNQUALIFIED|" + WORD.format("FALSE"), "(?i)
 ENUM = ("(?i)不合格|未达到|未通过|有腐蚀|有裂纹|有裂口|开裂|UNQUALIFIED|" + WORD.format("FAIL") + "|" + WORD.format("FALSE"), "(?i)合格|PASS|OK|QUALIFIED|无裂|NO_CRACK|NO_CORROSION|" + WORD.format("TRUE"))
 
 
-def rank(c: Column, ranks: dict[str, int], other: int) -> Column:
+def rank(c: Column, ranks: dict, other: int | None) -> Column:
     out = None
     for k, v in ranks.items():
         out = F.when(c == k, v) if out is None else out.when(c == k, v)

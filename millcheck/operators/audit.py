@@ -37,15 +37,13 @@ ALIASES = {
 }
 
 
-def slot_names(key: Column, category: Column, sub: Column) -> Column:
-    """All names under which a record can be looked up, before the suffixes by kind."""
-    names = F.array(key, F.concat_ws("_", category, key))
-    more = F.when(category == "chemical", F.array(F.concat(F.lit("chem.element."), key)))
-    for k, aliases in ALIASES.items():
-        more = more.when(key == k, F.array(*map(F.lit, aliases))) if more is not None else None
-    subs = F.when(sub.isNotNull(), F.array(F.concat_ws("_", key, sub), F.concat(F.lit("mech.hardness."), sub), sub))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(names, F.coalesce(more, none), F.coalesce(subs, none)))
+def slot_names(key: Column, category: Column, sub: Column) -> list[Column]:
+    """All names under which a record can be looked up, before the suffixes by kind; null where there is none."""
+    alias = lambda i: rank(key, {k: names[i] for k, names in ALIASES.items() if i < len(names)}, None)
+    return [
+        key, F.when(category.isNotNull(), F.concat_ws("_", category, key)), F.when(category == "chemical", F.concat(F.lit("chem.element."), key)), *(alias(i) for i in range(max(map(len, ALIASES.values())))),
+        F.concat(key, F.lit("_"), sub), F.concat(F.lit("mech.hardness."), sub), sub,
+    ]
 
 
 #: Before the name of a property: the slot of its number for formulas.
@@ -55,12 +53,15 @@ NUMBER_OF = "\u0001"
 def slots(records: DataFrame) -> DataFrame:
     """cert_id, slot, and the record columns with rank_: a row per record and name, with '#num' and '#qual' names for
     records that have a number or words, and the NUMBER_OF slot of those that have a number."""
-    names = slot_names(F.col("property_key"), F.col("category"), F.col("sub_property"))
-    kinds = F.array_compact(F.array(F.lit(""), F.when(F.col("value").isNotNull(), "#num"), F.when(F.col("text").isNotNull(), "#qual")))
-    all_names = F.flatten(F.transform(names, lambda n: F.transform(kinds, lambda k: F.concat(n, k))))
-    number = F.when(F.col("value").isNotNull(), F.concat(F.lit(NUMBER_OF), "property_key"))
-    all_names = F.array_compact(F.concat(all_names, F.array(number)))
-    return records.withColumn("rank_", rank(F.col("provenance"), PROVENANCE_RANK, 2)).withColumn("slot", F.explode(all_names))
+    key, category, sub = F.col("property_key"), F.col("category"), F.col("sub_property")
+    kinds = F.when(F.col("value").isNotNull(), "#num"), F.when(F.col("text").isNotNull(), "#qual")
+    number = F.when(F.col("value").isNotNull(), F.concat(F.lit(NUMBER_OF), key))
+    every = lambda names: F.array(number, *(x for n in names for x in (n, *(F.concat(n, k) for k in kinds))))
+    names = slot_names(key, category, sub)
+    # most records have two names, which differ; arrays are made without lambdas, which would not be compiled
+    plain = sub.isNull() & ~key.isin(*ALIASES) & ~F.coalesce(category == "chemical", F.lit(False))
+    all_names = F.when(plain, every(names[:2])).otherwise(F.array_distinct(every(names)))
+    return records.withColumn("rank_", rank(F.col("provenance"), PROVENANCE_RANK, 2)).withColumn("slot", F.explode(all_names)).where("slot is not null")
 
 
 def arbitrate(slotted: DataFrame, keys: tuple = ("cert_id", "slot")) -> DataFrame:
