@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, one machine can have a
+    new folder, as in tests; on a cluster executors would write to their own disks, so it is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millcheck.functions.rounding import exact
 from millcheck.functions.text import routing_key, standard_key, standards
 from millcheck.operators.audit import small
+from millcheck.operators.lineage import cut
 
 
 def route_keys(slices: DataFrame) -> DataFrame:
@@ -94,15 +97,17 @@ def degrade(names: DataFrame, candidates: DataFrame) -> DataFrame:
     return names.join(hit, "name_id", "left").select("name_id", "raw", F.col("m.property_key").alias("property_key"), F.col("m.confidence").alias("confidence"))
 
 
-def clause_tree(nodes: DataFrame, roots: str = "parent is null", deepest: int = 50) -> DataFrame:
+def clause_tree(nodes: DataFrame, roots: str = "parent is null") -> DataFrame:
     """Nodes (clause_id, parent, title, text, pos) in depth-first order with depth and path. One join per level of the
-    tree; nodes without an id or any words are left out, but not what is below them."""
-    step = F.lpad(F.col("pos").cast("string"), 6, "0")
+    tree, however deep; each level is written out. Nodes without an id or any words are left out, but not what is below
+    them. A step of a path is the position in ten digits, so paths sort in order."""
+    step = F.lpad(F.col("pos").cast("string"), 10, "0")
     level = nodes.where(roots).select("*", F.lit(0).alias("depth"), step.alias("path"))
     out = level
-    for depth in range(1, deepest):
+    for depth in count(1):
         up = level.select(F.col("clause_id").alias("up_"), F.col("path").alias("path_"))
         level = nodes.join(up, nodes["parent"] == up["up_"]).select(*nodes.columns, F.lit(depth).alias("depth"), F.concat_ws("/", "path_", step).alias("path"))
+        level = cut(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)

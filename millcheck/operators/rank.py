@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millcheck.operators.audit import small
-
 
 def bare(c: Column, marks: str = r"[\s\-_]") -> Column:
     return F.regexp_replace(F.upper(c), marks, "")
@@ -42,12 +40,15 @@ def token_score(raw: Column, names: Column) -> Column:
 TELLING, REQUIRED = ("TI", "MO", "NB", "CU"), ("TI", "MO", "NB")
 
 
-def chemistry_scores(measured: DataFrame, rules: DataFrame) -> DataFrame:
-    """cert_id, slice_id, chem: how well the measured elements (cert_id, element, value) fit the limits of each slice
-    (slice_id, element, lo, hi), 0 to 1. A slice without limits and a certificate with under two elements have .5."""
+def chemistry_scores(measured: DataFrame, rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """cert_id, slice_id, chem: how well the measured elements (cert_id, element, value) of a certificate fit the limits
+    (slice_id, element, lo, hi) of each slice that it is asked for (asked: cert_id, slice_id), 0 to 1. A slice without
+    limits is scored by the elements alone; a certificate with under two elements has .5."""
     limits = rules.groupBy("slice_id").agg(F.map_from_entries(F.collect_list(F.struct(F.upper("element"), F.struct("lo", "hi")))).alias("limits"))
     values = measured.groupBy("cert_id").agg(F.map_from_entries(F.collect_list(F.struct(F.upper("element"), "value"))).alias("values"))
-    x = values.crossJoin(small(limits))
+    empty = lambda t: F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{t}>"))
+    x = asked.join(values, "cert_id", "left").join(limits, "slice_id", "left")
+    x = x.withColumn("values", F.coalesce("values", empty("double"))).withColumn("limits", F.coalesce("limits", empty("struct<lo:double,hi:double>")))
 
     def points(e, v):
         lim = F.try_element_at("limits", e)
@@ -56,28 +57,30 @@ def chemistry_scores(measured: DataFrame, rules: DataFrame) -> DataFrame:
 
     total = F.aggregate(F.map_entries("values"), F.lit(0.0), lambda s, e: s + points(e["key"], e["value"]))
     lacking = F.size(F.filter(F.map_keys("limits"), lambda e: e.isin(*REQUIRED) & (F.coalesce(F.try_element_at("limits", e)["lo"], F.lit(0.0)) > 0.05) & F.try_element_at("values", e).isNull()))
-    score = F.greatest(F.lit(0.0), total - 0.5 * lacking) / F.size("values")
+    score = F.try_divide(F.greatest(F.lit(0.0), total - 0.5 * lacking), F.size("values"))
     return x.select("cert_id", "slice_id", F.when(F.size("values") < 2, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).alias("chem"), (F.size("values") >= 2).alias("has_chem"))
 
 
 def recommend(asked: DataFrame, slices: DataFrame, chemistry: DataFrame | None = None, most: int = 3) -> DataFrame:
-    """The best grades of each asked (cert_id, raw): rank_, grade, score, percent, recommended.
+    """The best grades of each asked (cert_id, raw, standard_ids): rank_, grade, score, percent, recommended.
 
-    slices: slice_id, standard_id, grade, names, pos. Chemistry, where there are two elements, counts .6 and the name
-    .4; a grade of every standard gets .05 more, to .99 at most. One row per grade, its best slice. Distinct texts are
-    scored against the catalogue, so the product is of distinct names and slices, never of certificates.
+    slices: slice_id, standard_id, grade, names, pos. Only slices of the standards that are asked for count. Chemistry,
+    where there are two elements, counts .6 and the name .4; a grade of every one of several standards asked for gets .05
+    more, to .99 at most. One row per grade, its best slice. Distinct texts and sets of standards are scored against the
+    slices of these standards, which the join finds by standard, so the product is never of certificates.
     """
-    n = slices.select("standard_id").distinct().count()
-    shared = slices.groupBy(F.upper(F.trim("grade")).alias("g_")).agg((F.countDistinct("standard_id") >= n).alias("shared"))
-    s = slices.withColumn("g_", F.upper(F.trim("grade"))).join(shared, "g_")
-    named = asked.select("raw").distinct().crossJoin(small(s)).select("raw", "slice_id", "grade", "g_", "pos", "shared", token_score(F.col("raw"), F.col("names")).alias("token"))
-    x = asked.join(named, "raw")
+    asked = asked.withColumn("standard_ids", F.array_sort(F.array_distinct(F.filter("standard_ids", lambda s: (F.trim(s) != "") & (s != "UNKNOWN")))))
+    said = asked.select("raw", "standard_ids").distinct().withColumn("standard_id", F.explode("standard_ids"))
+    found = said.join(slices.withColumn("g_", F.upper(F.trim("grade"))), "standard_id")
+    shared = found.groupBy("raw", "standard_ids", "g_").agg((F.countDistinct("standard_id") >= F.size("standard_ids")).alias("shared"))
+    named = found.join(shared, ["raw", "standard_ids", "g_"]).select("raw", "standard_ids", "slice_id", "grade", "g_", "pos", "shared", token_score(F.col("raw"), F.col("names")).alias("token"))
+    x = asked.join(named, ["raw", "standard_ids"])
     if chemistry is not None:
         x = x.join(chemistry, ["cert_id", "slice_id"], "left")
     else:
         x = x.withColumn("chem", F.lit(0.5)).withColumn("has_chem", F.lit(False))
     score = F.when(F.coalesce("has_chem", F.lit(False)), 0.6 * F.col("chem") + 0.4 * F.col("token")).otherwise(F.col("token"))
-    score = F.when(F.col("shared") & F.lit(n > 1), F.least(F.lit(0.99), score + 0.05)).otherwise(score)
+    score = F.when(F.col("shared") & (F.size("standard_ids") > 1), F.least(F.lit(0.99), score + 0.05)).otherwise(score)
     x = x.withColumn("score", F.round(score, 6))
     best = Window.partitionBy("cert_id", "g_").orderBy(F.desc("score"), "pos")
     top = Window.partitionBy("cert_id").orderBy(F.desc("score"), "pos")

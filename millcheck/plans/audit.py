@@ -104,7 +104,8 @@ def audit(certs: DataFrame, records: DataFrame, rules: DataFrame, extras: DataFr
     wanted = small(asked.select(F.explode("names").alias("slot")).union(numbers).distinct())
     slotted = ops.slots(records).select("cert_id", "slot", "rank_", "pos", "value", "text", "level")
     held = ops.held_maps(ops.arbitrate(slotted.join(wanted, "slot", "left_semi")))
-    x = certs.join(held, "cert_id", "left").join(small(asked), "spec_key").withColumn("triggered", F.coalesce(by_text("trigger", triggers), F.lit(True)))
+    # by a merge join: the maps grow with the certificates, and everything after stays where it puts them
+    x = certs.join(held.hint("merge"), "cert_id", "left").join(small(asked), "spec_key").withColumn("triggered", F.coalesce(by_text("trigger", triggers), F.lit(True)))
     x = x.withColumn("record", ops.first_held(F.col("names")))
     value, level = F.col("record.value"), F.col("level")
     found = F.col("record").isNotNull()

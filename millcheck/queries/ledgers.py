@@ -132,7 +132,11 @@ def q_unpivot_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.unpivot(["cert_id", "pos"], ["l_quantity", "l_discount", "l_tax"], "property_key", "value").select("cert_id", "pos", "property_key", (F.col("value") + 0.0).alias("value"))
 
 
-@query(None)
+GATED = """e AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events), g AS (SELECT *, CASE WHEN k % 10 = 0 THEN 'UNKNOWN_STANDARD' WHEN k % 7 = 0 THEN 'UNKNOWN_GRADE' WHEN k % 5 = 0 THEN 'LOW_CONFIDENCE' END AS gate FROM e),
+told AS (SELECT *, CASE WHEN event_type = 'error' THEN 'error' WHEN gate IS NOT NULL THEN 'hitl_interrupt' WHEN event_type = 'view' THEN 'tier1_ready' WHEN event_type = 'click' THEN 'tier2_patch' WHEN event_type = 'purchase' THEN 'complete' END AS kind FROM g)"""
+
+
+@query(f"WITH {GATED} SELECT kind, coalesce(gate, '-') AS gate, count(*) AS n FROM told WHERE kind IS NOT NULL GROUP BY 1, 2")
 def q_stream_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millcheck.streaming.progressive import replay
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millcheck.functions.verdicts import EDDY_RANK
@@ -55,9 +55,9 @@ s AS (SELECT *, CASE WHEN t = 1 THEN 'technical_agreement' WHEN t < 4 THEN 'indu
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    types = p.select("p_type").distinct().orderBy("p_type").limit(100).toPandas()["p_type"].tolist()
-    t = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(types, 1) for x in (n, i))), F.col("p_type"))
-    g = p.groupBy("p_brand", "p_type").agg(F.min("p_size").cast("double").alias("lo"), F.max("p_retailprice").alias("hi")).withColumn("t", t)
+    # a row per distinct type, whose order is dense
+    types = p.select("p_type").distinct().withColumn("t", F.row_number().over(Window.orderBy("p_type")))
+    g = p.groupBy("p_brand", "p_type").agg(F.min("p_size").cast("double").alias("lo"), F.max("p_retailprice").alias("hi")).join(small(types), "p_type")
     category = F.when(F.col("t") == 1, "technical_agreement").when(F.col("t") < 4, "industry_standard").otherwise("national_standard")
     return g.select(
         F.col("p_brand").alias("property_key"), F.lit(None).cast("string").alias("sub_property"), F.col("p_type").alias("standard_id"), category.alias("category"), F.when(F.col("t") == 1, 1).when(F.col("t") < 4, 2).otherwise(4).alias("priority"), F.col("t").alias("pos"),
@@ -93,20 +93,35 @@ def q_overlay_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.kind_of_overlay(s)
 
 
-ASKED = [(1, "brand 11"), (2, "BR-45X"), (3, "B_23 (old)"), (4, "zz"), (5, "Brand#5")]
-
-
-@query("""WITH a(cert_id, raw) AS (VALUES (1, 'BRAND11'), (2, 'BR45X'), (3, 'B23(OLD)'), (4, 'ZZ'), (5, 'BRAND#5')), s AS (SELECT p_brand AS grade, min(p_partkey) AS pos, upper(p_brand) AS k1, 'BR' || substr(p_brand, 7) AS k2, 'B' || substr(p_brand, 7) AS k3 FROM part GROUP BY p_brand),
-k AS (SELECT cert_id, raw, grade, pos, unnest([k1, k2, k3]) AS k FROM a, s),
-p AS (SELECT *, contains(raw, k) OR contains(k, raw) AS held, list_sum([CASE WHEN substr(raw, i, 1) = substr(k, i, 1) AND i <= length(raw) AND i <= length(k) THEN 1 ELSE 0 END FOR i IN range(1, 20)]) / greatest(length(raw), length(k)) AS alike FROM k),
-t AS (SELECT cert_id, grade, pos, CASE WHEN bool_or(held) THEN 0.95 ELSE greatest(0.1, max(alike), CASE WHEN bool_or((cert_id = 1 AND contains(k, 'BRAND')) OR (cert_id = 2 AND FALSE) OR (cert_id = 5 AND contains(k, 'BRAND#5'))) THEN 0.9 WHEN bool_or((cert_id = 2 AND contains(k, '45X')) OR (cert_id = 3 AND contains(k, 'OLD'))) THEN 0.8 ELSE 0 END) END::DOUBLE AS score FROM p GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY cert_id ORDER BY round(score, 6) DESC, pos) AS rank_ FROM t)
-SELECT cert_id, rank_::INT AS rank_, grade, round(score, 6) AS score, greatest(50, least(99, floor(round(score, 6) * 100 + 0.5)))::BIGINT AS percent FROM r WHERE rank_ <= 3""")
+#: Names asked for: each part is a certificate whose grade is its brand in one of six spellings and which declares one or two standards.
+ASKED = "CASE p_partkey % 6 WHEN 0 THEN 'brand ' || n WHEN 1 THEN 'BR-' || n || 'X' WHEN 2 THEN 'B_' || n || ' (old)' WHEN 3 THEN 'zz' || p_size WHEN 4 THEN 'Brand#' || n || '-' || p_size || 'H' ELSE 'steel ' || p_size END"
+
+
+@query(f"""WITH p AS (SELECT *, substr(p_brand, 7) AS n FROM part), a AS (SELECT p_partkey AS cert_id, {ASKED} AS raw, CASE p_partkey % 4 WHEN 0 THEN ['S1', 'S2'] WHEN 1 THEN ['S1'] WHEN 2 THEN ['S2', 'S3'] ELSE ['S3', 'S9'] END AS ids FROM p),
+s AS (SELECT 'S' || (1 + (pos % 3)) AS standard_id, grade, pos, k FROM (SELECT p_brand AS grade, min(p_partkey) AS pos, [upper(p_brand), 'BR' || substr(p_brand, 7), 'B' || substr(p_brand, 7)] AS k FROM part GROUP BY p_brand) UNION ALL
+ SELECT 'S' || (1 + ((min(p_partkey) + 1) % 3)), p_brand, 1000000 + min(p_partkey), ['X' || substr(p_brand, 7), upper(p_brand)] FROM part GROUP BY p_brand),
+d AS (SELECT DISTINCT raw, ids FROM a), f AS (SELECT raw, ids, standard_id, grade, pos, k FROM (SELECT raw, ids, unnest(ids) AS standard_id FROM d) JOIN s USING (standard_id)),
+sh AS (SELECT raw, ids, grade, count(DISTINCT standard_id) >= len(ids) AND len(ids) > 1 AS shared FROM f GROUP BY 1, 2, 3),
+w AS (SELECT raw, list_filter(regexp_split_to_array(regexp_replace(upper(raw), '[()\[\]]', ' ', 'g'), '[\s\-_/]+'), lambda x: x <> '') AS parts FROM (SELECT DISTINCT raw FROM d)),
+tk AS (SELECT raw, list_distinct(list_concat(parts, list_transform(parts, lambda x: regexp_extract(x, '\d+')), list_transform(parts, lambda x: regexp_extract(x, '\d+[A-Z]+')))) AS tokens FROM w),
+e AS (SELECT f.*, regexp_replace(upper(raw), '[\s\-_]', '', 'g') AS r, unnest(k) AS key, tokens FROM f JOIN tk USING (raw)),
+m AS (SELECT *, contains(r, key) OR contains(key, r) AS held, len(list_filter(tokens, lambda t: length(t) >= 4 AND contains(key, t))) > 0 AS t4, len(list_filter(tokens, lambda t: length(t) >= 3 AND contains(key, t))) > 0 AS t3,
+ list_sum([CASE WHEN i <= length(r) AND i <= length(key) AND substr(r, i, 1) = substr(key, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, 30)]) / greatest(length(r), length(key)) AS alike FROM e),
+t AS (SELECT raw, ids, grade, pos, CASE WHEN bool_or(held) THEN 0.95 ELSE greatest(CASE WHEN bool_or(t4) THEN 0.9 WHEN bool_or(t3) THEN 0.8 ELSE 0.1 END, max(alike)) END::DOUBLE AS token FROM m GROUP BY 1, 2, 3, 4),
+z AS (SELECT t.*, round(CASE WHEN shared THEN least(0.99, token + 0.05) ELSE token END, 6) AS score FROM t JOIN sh USING (raw, ids, grade)), g AS (SELECT raw, ids, grade, max(score) AS score, arg_min(pos, {{'s': -score, 'p': pos}}) AS pos FROM z GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY raw, ids ORDER BY score DESC, pos) AS rank_ FROM g)
+SELECT cert_id, rank_::INT AS rank_, grade, score, greatest(50, least(99, floor(score * 100 + 0.5)))::BIGINT AS percent FROM a JOIN r USING (raw, ids) WHERE rank_ <= 3""")
 def q_candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = brands(spark, sf_dir)
-    slices = b.select(F.col("spec_key").alias("slice_id"), "standard_id", F.col("primary_grade").alias("grade"), F.concat(F.array("primary_grade", "unified_code"), "aliases").alias("names"), "pos")
-    asked = spark.createDataFrame([(i, r) for i, r in ASKED], "cert_id int, raw string")
-    return rank.recommend(asked, slices).select("cert_id", "rank_", "grade", "score", "percent")
+    p = table(spark, sf_dir, "part")
+    n = F.substring("p_brand", 7, 10)
+    one = p.groupBy("p_brand").agg(F.min("p_partkey").alias("first"))
+    standard = lambda shift: F.concat(F.lit("S"), 1 + (F.col("first") + shift) % 3)
+    slices = one.select(F.concat(F.lit("a"), "p_brand").alias("slice_id"), standard(0).alias("standard_id"), F.col("p_brand").alias("grade"), F.array(F.col("p_brand"), F.concat(F.lit("BR"), n), F.concat(F.lit("B-"), n)).alias("names"), F.col("first").alias("pos"))
+    slices = slices.union(one.select(F.concat(F.lit("b"), "p_brand"), standard(1), "p_brand", F.array(F.concat(F.lit("X"), n), F.col("p_brand")), 1000000 + F.col("first")))
+    raw = F.expr(ASKED.replace(" n ", " substr(p_brand, 7) "))
+    k = F.col("p_partkey") % 4
+    ids = F.when(k == 0, F.array(F.lit("S1"), F.lit("S2"))).when(k == 1, F.array(F.lit("S1"), F.lit("UNKNOWN"))).when(k == 2, F.array(F.lit("S2"), F.lit("S3"), F.lit(" "))).otherwise(F.array(F.lit("S3"), F.lit("S9")))
+    return rank.recommend(p.select(F.col("p_partkey").alias("cert_id"), raw.alias("raw"), ids.alias("standard_ids")), slices).select("cert_id", "rank_", "grade", "score", "percent")
 
 
 @query("""WITH v AS (SELECT o_orderkey AS cert_id, ['TI', 'MO', 'C'][1 + i] AS e, ((o_custkey + i * 7) % 20) / 100 AS x FROM orders, (SELECT unnest(range(3)) AS i)), l(slice_id, e, lo, hi) AS (VALUES ('a', 'TI', 0.06, 0.10), ('a', 'C', NULL, 0.08), ('b', 'C', 0.02, 0.20), ('b', 'NB', 0.06, 1.0)),
@@ -117,7 +132,8 @@ def q_candidate_chemistry(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cert_id"), "o_custkey", F.explode(elements).alias("x"))
     v = v.select("cert_id", F.col("x.e").alias("element"), (((F.col("o_custkey") + F.col("x.i") * 7) % 20) / 100).alias("value"))
     limits = spark.createDataFrame([("a", "TI", 0.06, 0.10), ("a", "C", None, 0.08), ("b", "C", 0.02, 0.20), ("b", "NB", 0.06, 1.0)], "slice_id string, element string, lo double, hi double")
-    return rank.chemistry_scores(v, limits).select("cert_id", "slice_id", F.round("chem", 6).alias("chem"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cert_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("slice_id"))
+    return rank.chemistry_scores(v, limits, asked).select("cert_id", "slice_id", F.round("chem", 6).alias("chem"))
 
 
 @query("""SELECT grade, code, CASE WHEN upper(code) = 'PART 12' OR upper(grade) = 'PART 12' THEN 100 WHEN replace(replace(upper(grade), ' ', ''), '_', '') = 'PART12' OR replace(upper(code), '-', '') = 'PART12' THEN 92 WHEN starts_with(upper(code), 'PART 12') THEN 90 WHEN starts_with(upper(grade), 'PART 12') THEN 85 WHEN contains(upper(code), 'PART 12') THEN 80 WHEN contains(upper(grade), 'PART 12') THEN 75
@@ -128,7 +144,7 @@ def q_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.fuzzy_search(pool, "part 12").select("grade", "code", "score")
 
 
-@query("""WITH RECURSIVE t AS (SELECT 'R' || r_regionkey AS clause_id, r_name AS title, 0 AS depth, lpad(r_regionkey::VARCHAR, 6, '0') AS path FROM region UNION ALL SELECT 'N' || n_nationkey, n_name, 1, t.path || '/' || lpad(n_nationkey::VARCHAR, 6, '0') FROM nation JOIN t ON t.clause_id = 'R' || n_regionkey) SELECT clause_id, title, depth, path FROM t""")
+@query("""WITH RECURSIVE t AS (SELECT 'R' || r_regionkey AS clause_id, r_name AS title, 0 AS depth, lpad(r_regionkey::VARCHAR, 10, '0') AS path FROM region UNION ALL SELECT 'N' || n_nationkey, n_name, 1, t.path || '/' || lpad(n_nationkey::VARCHAR, 10, '0') FROM nation JOIN t ON t.clause_id = 'R' || n_regionkey) SELECT clause_id, title, depth, path FROM t""")
 def q_clause_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     r = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("clause_id"), none.alias("parent"), F.col("r_name").alias("title"), none.alias("text"), F.col("r_regionkey").alias("pos"))
@@ -154,8 +170,6 @@ def q_bbox_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT name_id, raw, CASE WHEN contains(raw, 'economy') THEN 'p_two' WHEN contains(raw, 'standard') THEN 'p_three' END AS property_key, CASE WHEN contains(raw, 'economy') OR contains(raw, 'standard') THEN 0.88::DOUBLE END AS confidence FROM (SELECT row_number() OVER (ORDER BY lower(p_type))::INT AS name_id, lower(p_type) AS raw FROM (SELECT DISTINCT p_type FROM part))""")
 def q_degrade_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     names = table(spark, sf_dir, "part").select(F.lower("p_type").alias("raw")).distinct().withColumn("name_id", F.row_number().over(Window.orderBy("raw")))
     candidates = spark.createDataFrame([(1, "surface_roughness", "ab"), (2, "p_two", "economy"), (3, "p_three", "standard")], "pos int, property_key string, display_name string")
     return lookup.degrade(names, candidates)

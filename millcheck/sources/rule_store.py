@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millcheck.functions.keys import SYMBOLS
 from millcheck.functions.text import json_body
 from millcheck.operators.audit import small
+from millcheck.operators.lineage import cut
 
 ATOMIC = (
     "rule_id string, clause_ref string, conformance_level string, selection struct<category:string,data_element_id:string>, applicability array<struct<field:string,operator:string,value:string>>, "
@@ -112,18 +113,19 @@ def evaluation_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def clauses(spark: SparkSession, path: str, deepest: int = 6) -> DataFrame:
+def clauses(spark: SparkSession, path: str) -> DataFrame:
     """Clause trees of files as nodes: clause_id, parent, title, text, pos. Children are kept as JSON text a level at a
-    time, to a stated depth."""
+    time, each written out, until none has any."""
     node = "clause_id:string,title:string,text:string,children:string"
     level = spark.read.option("wholetext", True).text(path).select(F.lit(None).cast("string").alias("parent"), F.posexplode(F.from_json("value", f"array<struct<{node}>>")).alias("pos", "n"))
     out = None
-    for _ in range(deepest):
-        rows = level.select("parent", "pos", "n.*")
+    while True:
+        rows = cut(level.select("parent", "pos", "n.*"))
+        if out is not None and rows.isEmpty():
+            return out
         flat = rows.drop("children")
         out = flat if out is None else out.unionByName(flat)
         level = rows.where("children is not null and children <> '[]'").select(F.col("clause_id").alias("parent"), F.posexplode(F.from_json("children", f"array<struct<{node}>>")).alias("pos", "n"))
-    return out
 
 
 def answers(texts: DataFrame, column: str, schema: str) -> DataFrame:
@@ -137,6 +139,17 @@ def write_ledger(sessions: DataFrame, path: str, pages: str = "pages") -> None:
     sessions.withColumn(pages, images).withColumn("day", F.to_date("saved_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
+def read_ledger(spark: SparkSession, path: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """Sessions of a ledger, all or those saved from one day to another, of which only these days' files are read."""
+    x = spark.read.parquet(path)
+    return x.where(F.col("day").between(*days)) if days else x
+
+
+def without_sessions(ledger: DataFrame, gone: DataFrame) -> DataFrame:
+    """The ledger without the sessions of gone (session_id)."""
+    return ledger.join(gone.select("session_id").distinct(), "session_id", "left_anti")
+
+
 def logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Log events of JSON lines, as a table or a stream, with ts."""
     reader = (spark.readStream if stream else spark.read).schema(LOG)
@@ -158,14 +171,6 @@ def missing_from_cache(files: DataFrame, valid: DataFrame) -> DataFrame:
     return files.join(valid.select("md5").distinct(), "md5", "left_anti")
 
 
-def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, md5, length of files that are admitted; contents are hashed and not kept."""
-    from millcheck.operators.ledger import admitted
-
-    f = spark.read.format("binaryFile").load(path)
-    return f.where(admitted(F.col("path"))).select("path", F.md5("content").alias("md5"), "length")
-
-
 def overview(slices: DataFrame) -> DataFrame:
     """Slices and rules per standard."""
     return slices.groupBy("standard_id").agg(F.countDistinct("spec_key").alias("n_slices"), F.countDistinct("rule_id").alias("n_rules"))

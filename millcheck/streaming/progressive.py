@@ -7,6 +7,8 @@ process.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,9 @@ def event_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def replay(spark: SparkSession, path: str, name: str = "progressive") -> DataFrame:
-    """Counts by what listeners were told, from the events read as a stream until its end."""
+def replay(spark: SparkSession, path: str) -> DataFrame:
+    """Counts by what listeners were told, from the events read as a stream until its end. Each run has a name of its own."""
+    name = f"progressive_{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     folder, _, file = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{folder}/{file[:-8]}*")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from millcheck.operators import adapter, audit, ledger, lookup, overlay, rank
@@ -90,8 +91,8 @@ def test_tolerance(spark):
 
 def test_recommend_and_fuzzy(spark):
     slices = spark.createDataFrame([("a", "GB", "06Cr19Ni10", ["SUS304", "S30408"], 0), ("b", "GB", "06Cr18Ni11Ti", ["SUS321"], 1), ("c", "NB", "06Cr19Ni10", ["S30408"], 2)], "slice_id string, standard_id string, grade string, names array<string>, pos int")
-    chem = rank.chemistry_scores(spark.createDataFrame([("x", "C", 0.05), ("x", "TI", 0.01)], "cert_id string, element string, value double"), spark.createDataFrame([("a", "C", None, 0.08), ("b", "TI", 0.3, 0.7)], "slice_id string, element string, lo double, hi double"))
-    got = rank.recommend(spark.createDataFrame([("x", "SUS 304-SPECIALX")], "cert_id string, raw string"), slices, chem).orderBy("rank_").collect()
+    chem = rank.chemistry_scores(spark.createDataFrame([("x", "C", 0.05), ("x", "TI", 0.01)], "cert_id string, element string, value double"), spark.createDataFrame([("a", "C", None, 0.08), ("b", "TI", 0.3, 0.7)], "slice_id string, element string, lo double, hi double"), spark.createDataFrame([("x", i) for i in "abc"], "cert_id string, slice_id string"))
+    got = rank.recommend(spark.createDataFrame([("x", "SUS 304-SPECIALX", ["GB", "NB"])], "cert_id string, raw string, standard_ids array<string>"), slices, chem).orderBy("rank_").collect()
     assert got[0].grade == "06Cr19Ni10" and got[0].recommended and len({r.grade for r in got}) == len(got) == 2
     pool = spark.createDataFrame([("TP316L", "S31603", ["SUS316L"], ""), ("TP304", "S30408", [], "316 like")], "grade string, code string, aliases array<string>, shown string")
     assert [(r.grade, r.score) for r in rank.fuzzy_search(pool, "316").collect()] == [("TP316L", 80), ("TP304", 70)]
@@ -114,3 +115,24 @@ def test_adapter(spark):
     assert tags == {"抗拉强度": (False, "tensile_strength"), "note": (True, None)}
     e = adapter.set_value(b, spark.createDataFrame([("b1", "chem_C", "0.02")], "batch_id string, field string, value string")).first()
     assert e.chemical[0].value == "0.02" and e.mechanical["tensile_rm"] == "520 MPa"
+
+
+def test_deep_clauses_and_large_numbers(spark):
+    from millcheck.functions import rounding
+
+    n = 60
+    nodes = spark.createDataFrame([(str(i), str(i - 1) if i else None, f"t{i}", None, 2_000_000 + i) for i in range(n)], "clause_id string, parent string, title string, text string, pos int")
+    tree = lookup.clause_tree(nodes).collect()
+    assert len(tree) == n and max(r.depth for r in tree) == n - 1 and [r.clause_id for r in sorted(tree, key=lambda r: r.path)] == [str(i) for i in range(n)]
+    row = spark.range(1).select(rounding.half_even(F.lit(0.12345678905), F.lit(10)).alias("fine"), rounding.half_even(F.lit(1e22), 2).alias("large"), rounding.half_even(F.lit(1e22), F.lit(2)).alias("large2"), rounding.compare(F.lit(2e22), F.lit(1e22), "<=")[0].alias("holds")).first()
+    assert (row.fine, row.large, row.large2, row.holds) == (0.123456789, 1e22, 1e22, False)
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from millcheck.operators import lineage
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        lineage.shared_dir(fake)

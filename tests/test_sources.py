@@ -61,6 +61,6 @@ def test_gates_and_corrections(spark):
 
 def test_stream_matches_batch(spark):
     path = "/root/testdata/sf0.001/events.parquet"
-    got = {(r.kind, r.gate): r.n for r in progressive.replay(spark, path, "t1").collect()}
+    got = {(r.kind, r.gate): r.n for r in progressive.replay(spark, path).collect()}
     want = progressive.told(progressive.event_rows(spark.read.parquet(path))).groupBy("kind", F.coalesce("gate", F.lit("-")).alias("gate")).count().collect()
     assert got == {(r.kind, r.gate): r["count"] for r in want}
