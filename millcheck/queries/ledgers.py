@@ -76,11 +76,12 @@ def q_log_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.last_n(ledger.log_filter(logs(spark, sf_dir), None, "click"), 200, "ts", "event_id").select("event_id", "ts")
 
 
-@query("""SELECT md5, tier, id FROM (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY tier, id DESC) AS n FROM (SELECT md5(text) AS md5, 1 AS tier, doc_id AS id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT md5(text), 2, doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT md5(html), 3, page_id FROM pages)) WHERE n = 1""")
+@query("""SELECT md5, tier, id FROM (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY tier, id DESC) AS n FROM (SELECT md5(text) AS md5, 1 AS tier, doc_id AS id FROM documents WHERE lang = 'en' UNION ALL SELECT md5(text), 2, doc_id FROM documents WHERE lang <> 'en' UNION ALL SELECT md5(html), 3, page_id FROM pages)) WHERE n = 1""")
 def q_doc_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.md5("text").alias("md5"), F.col("doc_id").alias("parsed_at"))
+    d = table(spark, sf_dir, "documents")
+    of = lambda x: x.select(F.md5("text").alias("md5"), F.col("doc_id").alias("parsed_at"))
     p = table(spark, sf_dir, "pages").select(F.md5("html").alias("md5"), F.col("page_id").alias("parsed_at"))
-    x = ledger.cached_documents(d.where("parsed_at % 2 = 0"), d.where("parsed_at % 3 = 0"), p)
+    x = ledger.cached_documents(of(d.where("lang = 'en'")), of(d.where("lang <> 'en'")), p)
     return x.select("md5", "tier", F.col("parsed_at").alias("id"))
 
 

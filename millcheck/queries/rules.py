@@ -158,13 +158,13 @@ def q_clause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.where(lookup.contains_any(["text"], "THAT") | lookup.contains_any(["text"], "ción")).select("item_id", lookup.contains_any(["text"], "that").alias("hit"))
 
 
-@query("""WITH f AS (SELECT doc_id, i AS field_id, ['the', 'de', 'thehe'][i] AS q FROM documents, (SELECT unnest([1, 2, 3]) AS i)), w AS (SELECT doc_id, unnest(string_split(substr(text, 1, 200), ' ')) AS str, generate_subscripts(string_split(substr(text, 1, 200), ' '), 1) - 1 AS tok FROM documents),
+@query("""WITH f AS (SELECT doc_id, i AS field_id, ['the', 'de', 'thehe'][i] AS q FROM documents, (SELECT unnest([1, 2, 3]) AS i)), w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS str, generate_subscripts(string_split(text, ' '), 1) - 1 AS tok FROM documents),
 m AS (SELECT f.doc_id, field_id, tok, (1 + (tok % 2))::INT AS page, CASE WHEN trim(str) = q AND tok % 2 = 0 THEN 1 WHEN length(str) >= 2 AND (contains(q, str) OR contains(str, q)) AND tok % 2 = 0 THEN 2 WHEN trim(str) = q THEN 3 WHEN length(str) >= 2 AND (contains(q, str) OR contains(str, q)) THEN 4 END AS g FROM f JOIN w USING (doc_id)),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field_id ORDER BY g, tok) AS n FROM m WHERE g IS NOT NULL) SELECT doc_id, field_id, tok::INT AS token_at, page, least(100.0, tok * 1.5)::DOUBLE AS x FROM b WHERE n = 1""")
 def q_bbox_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     fields = d.select("doc_id", F.posexplode(F.array(*map(F.lit, ("the", "de", "thehe")))).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("field_id"), "text", F.lit(1).alias("page"))
-    tokens = d.select("doc_id", F.posexplode(F.split(F.substring("text", 1, 200), " ")).alias("at", "str")).select("doc_id", "at", "str", (1 + F.col("at") % 2).alias("page"), (F.col("at") * 1.5).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("w"), F.lit(1.0).alias("h"))
+    tokens = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "str")).select("doc_id", "at", "str", (1 + F.col("at") % 2).alias("page"), (F.col("at") * 1.5).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("w"), F.lit(1.0).alias("h"))
     return lookup.locate(fields, tokens).select("doc_id", "field_id", F.col("at").alias("token_at"), "page", "x")
 
 

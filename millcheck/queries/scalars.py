@@ -38,11 +38,11 @@ def q_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*LINE, made("5 * (q + 2) - max(q, 10)").alias("a"), made("p / (q - 1)").alias("b"), made("sqrt(d - 0.05)").alias("c"))
 
 
-@query(r"""SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(list_transform(string_split_regex(substr(text, 1, 300), '[、,;，；\n]+'), lambda x: regexp_replace(x, '^[\s　\x{A0}]+|[\s　\x{A0}]+$', '', 'g')), lambda x: x <> ''),
+@query(r"""SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(list_transform(string_split_regex(text, '[、,;，；\n]+'), lambda x: regexp_replace(x, '^[\s　\x{A0}]+|[\s　\x{A0}]+$', '', 'g')), lambda x: x <> ''),
  lambda x: regexp_replace(x, '^([A-Za-z]+(?:/[A-Za-z]+)?)[\s　\x{A0}]*([A-Za-z]?[0-9].*)$', '\1 \2')))) AS names, upper(regexp_replace(source, '[\s\-_/\\]', '', 'g')) AS source_key FROM documents""")
 def q_parse_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_sort(text.standards(F.substring("text", 1, 300))).alias("names"), text.standard_key(F.col("source")).alias("source_key"))
+    return d.select("doc_id", F.array_sort(text.standards(F.col("text"))).alias("names"), text.standard_key(F.col("source")).alias("source_key"))
 
 
 @query("""SELECT p_partkey, upper(regexp_replace(p_brand, '[\\s\\-_/\\\\]', '', 'g')) AS brand_key, upper(regexp_replace(p_brand, '[\\s\\-_/\\\\]', '', 'g')) = 'BRAND#11' AS same FROM part""")

@@ -107,16 +107,16 @@ def q_clause_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("clause_id", "parent", "title", depth.alias("n_below"))
 
 
-@query("""SELECT o_orderkey AS session_id, CASE WHEN o_custkey % 2 = 0 THEN 'asset:/' || o_orderkey || '/0' ELSE 'text' END AS page, o_orderdate::DATE::VARCHAR AS day FROM orders WHERE o_orderdate::DATE BETWEEN '1995-01-01' AND '1995-12-31' AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
+@query("""SELECT o_orderkey AS session_id, CASE WHEN o_custkey % 2 = 0 THEN 'asset:/' || o_orderkey || '/0' ELSE 'text' END AS page, date_trunc('month', o_orderdate)::DATE::VARCHAR AS day, year(o_orderdate) = 1995 AS in_1995 FROM orders WHERE o_orderstatus <> 'P'""")
 def q_ledger_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger is written, a year of it read, sessions deleted."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= '1994-12-01' and o_orderdate < '1996-02-01'")
+    """A ledger of all orders is written by the first days of months, read whole and for one year; sessions are deleted."""
+    o = table(spark, sf_dir, "orders").withColumn("saved_at", F.date_trunc("month", "o_orderdate"))
     path = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     page = F.when(F.col("o_custkey") % 2 == 0, "data:image/png;base64,AAAA").otherwise("text")
-    # by month here, so that a small table does not become a file per day and task
-    rule_store.write_ledger(o.select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("saved_at"), F.array(page).alias("pages")).repartition(1), path)
-    left = rule_store.without_sessions(rule_store.read_ledger(spark, path, ("1995-01-01", "1995-12-31")), o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("session_id")))
-    return left.select("session_id", F.col("pages")[0].alias("page"), F.col("day").cast("string").alias("day"))
+    rule_store.write_ledger(o.select(F.col("o_orderkey").alias("session_id"), "saved_at", F.array(page).alias("pages")).repartition("saved_at"), path)
+    left = rule_store.without_sessions(rule_store.read_ledger(spark, path), o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("session_id")))
+    year = rule_store.read_ledger(spark, path, ("1995-01-01", "1995-12-31")).select("session_id", F.lit(True).alias("in_1995"))
+    return left.join(year, "session_id", "left").select("session_id", F.col("pages")[0].alias("page"), F.col("day").cast("string").alias("day"), F.coalesce("in_1995", F.lit(False)).alias("in_1995"))
 
 
 @query("SELECT event_type AS tag, count(*) AS n, max(ts::TIMESTAMP)::VARCHAR AS last, sum(value)::DECIMAL(18,2)::DOUBLE AS total FROM events GROUP BY 1")
