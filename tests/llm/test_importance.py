@@ -51,3 +51,13 @@ def test_edges(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert im.resample(make([]), none).count() == 0
     assert im.resample(make([(1, "a"), (2, "b")]), none).where("kept").count() == 1
+
+
+def test_the_noise_decides_near_the_border(spark):
+    """The sample is not the top by weight, but nearly so, and toxic text of low weight stays out."""
+    d = "/root/testdata/sf0.01"
+    rows = im.resample(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).select("log_weight", "kept").collect()
+    k = sum(r.kept for r in rows)
+    border = sorted((r.log_weight for r in rows), reverse=True)[k - 1]
+    swapped = sum(r.kept and r.log_weight < border for r in rows)
+    assert 0 < swapped < 0.05 * k
