@@ -90,8 +90,13 @@ FAILED = ("不合格", "不符合", "开裂", "超标", "有裂纹", "超差", "
 
 def result(c: Column) -> Column:
     """PASS, FAIL or NOT_TESTED of a free text. Not tested goes before failed, and what is neither passes."""
-    # patterns on the text itself, so nothing is made of it first
-    any_of = lambda words: c.rlike("(?iu)" + "|".join(words))
+    # searches in the text itself, so nothing is made of it first; a pattern only for words that have cases
+    def any_of(words: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | (F.contains(c, F.lit(w)) if w.upper() == w.lower() else c.rlike(f"(?iu){w}"))
+        return out
+
     alone = lambda pattern: c.rlike(f"(?iu)^{S}*(?:{pattern}){S}*$")
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
