@@ -97,7 +97,7 @@ def q_overlay_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = "CASE p_partkey % 6 WHEN 0 THEN 'brand ' || n WHEN 1 THEN 'BR-' || n || 'X' WHEN 2 THEN 'B_' || n || ' (old)' WHEN 3 THEN 'zz' || p_size WHEN 4 THEN 'Brand#' || n || '-' || p_size || 'H' ELSE 'steel ' || p_size END"
 
 
-@query(f"""WITH p AS (SELECT *, substr(p_brand, 7) AS n FROM part), a AS (SELECT p_partkey AS cert_id, {ASKED} AS raw, CASE p_partkey % 4 WHEN 0 THEN ['S1', 'S2'] WHEN 1 THEN ['S1'] WHEN 2 THEN ['S2', 'S3'] ELSE ['S3', 'S9'] END AS ids FROM p),
+@query(rf"""WITH p AS (SELECT *, substr(p_brand, 7) AS n FROM part), a AS (SELECT p_partkey AS cert_id, {ASKED} AS raw, CASE p_partkey % 4 WHEN 0 THEN ['S1', 'S2'] WHEN 1 THEN ['S1'] WHEN 2 THEN ['S2', 'S3'] ELSE ['S3', 'S9'] END AS ids FROM p),
 s AS (SELECT 'S' || (1 + (pos % 3)) AS standard_id, grade, pos, k FROM (SELECT p_brand AS grade, min(p_partkey) AS pos, [upper(p_brand), 'BR' || substr(p_brand, 7), 'B' || substr(p_brand, 7)] AS k FROM part GROUP BY p_brand) UNION ALL
  SELECT 'S' || (1 + ((min(p_partkey) + 1) % 3)), p_brand, 1000000 + min(p_partkey), ['X' || substr(p_brand, 7), upper(p_brand)] FROM part GROUP BY p_brand),
 d AS (SELECT DISTINCT raw, ids FROM a), f AS (SELECT raw, ids, standard_id, grade, pos, k FROM (SELECT raw, ids, unnest(ids) AS standard_id FROM d) JOIN s USING (standard_id)),

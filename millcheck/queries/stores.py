@@ -28,7 +28,9 @@ def stored(df: DataFrame, *by: str) -> str:
     return path
 
 
-STANDARD = F.concat(F.lit("M"), F.col("p_partkey") % 5)
+def standard() -> Column:
+    """Five standards for parts."""
+    return F.concat(F.lit("M"), F.col("p_partkey") % 5)
 
 
 def rules_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def rules_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     requirement = F.struct(nth(k, "<=", ">=", "between", "==").alias("operator"), F.when(k % 4 == 2, F.concat(F.lit("[1, "), price, F.lit("]"))).otherwise(price).alias("value"), F.when(k % 5 == 0, 1).alias("rounding_decimals"))
     selection = F.struct(nth(k, "chemical", "mechanical", None).alias("category"), nth(k, "chem.element.Ti", "mech.hardness.HV", "test.flattening").alias("data_element_id"))
     rule = F.struct(F.format_string("R%08d", "p_partkey").alias("rule_id"), nth(k, "MANDATORY", "OPTIONAL").alias("conformance_level"), selection.alias("selection"), requirement.alias("requirement"))
-    files = p.groupBy(STANDARD.alias("standard")).agg(F.to_json(F.array_sort(F.collect_list(rule), lambda a, b: F.when(a["rule_id"] < b["rule_id"], -1).otherwise(1))).alias("value"))
+    files = p.groupBy(standard().alias("standard")).agg(F.to_json(F.array_sort(F.collect_list(rule), lambda a, b: F.when(a["rule_id"] < b["rule_id"], -1).otherwise(1))).alias("value"))
     return rule_store.atomic_rules(spark, f"{stored(files, 'standard')}/*/*.txt")
 
 
@@ -47,7 +49,7 @@ SELECT standard_id, p_brand AS spec_key, rule_id, pos, ['<=', '>=', 'between', '
 def q_rule_store_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and grade index of files, joined; ids of the index that no rule has are dropped."""
     p = table(spark, sf_dir, "part").where("p_size % 2 = 0")
-    ids = p.groupBy(STANDARD.alias("standard"), "p_brand").agg(F.concat(F.collect_list(F.format_string("R%08d", "p_partkey")), F.array(F.lit("gone"))).alias("ids"))
+    ids = p.groupBy(standard().alias("standard"), "p_brand").agg(F.concat(F.collect_list(F.format_string("R%08d", "p_partkey")), F.array(F.lit("gone"))).alias("ids"))
     files = ids.groupBy("standard").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "ids")))).alias("value"))
     index = rule_store.grade_index(spark, f"{stored(files, 'standard')}/*/*.txt")
     return rule_store.slices_of(rules_of_parts(spark, sf_dir), index).select("standard_id", "spec_key", "rule_id", "pos", F.col("requirement.operator").alias("operator"))
@@ -64,12 +66,12 @@ SELECT standard_id, 'repeated id' AS problem, rule_id FROM r GROUP BY 1, rule_id
 def q_rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     selection, requirement = F.struct(F.when(k % 7 != 0, "x").alias("data_element_id")), F.struct(F.lit("<=").alias("operator"))
-    return rule_store.validate(table(spark, sf_dir, "part").select(STANDARD.alias("standard_id"), F.when(k % 11 != 0, F.concat(F.lit("R"), "p_size")).alias("rule_id"), selection.alias("selection"), requirement.alias("requirement")))
+    return rule_store.validate(table(spark, sf_dir, "part").select(standard().alias("standard_id"), F.when(k % 11 != 0, F.concat(F.lit("R"), "p_size")).alias("rule_id"), selection.alias("selection"), requirement.alias("requirement")))
 
 
 @query("SELECT 'M' || (p_partkey % 5) AS standard_id, count(DISTINCT p_brand) AS n_slices, count(DISTINCT p_size) AS n_rules FROM part GROUP BY 1")
 def q_standards_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_store.overview(table(spark, sf_dir, "part").select(STANDARD.alias("standard_id"), F.col("p_brand").alias("spec_key"), F.col("p_size").alias("rule_id")))
+    return rule_store.overview(table(spark, sf_dir, "part").select(standard().alias("standard_id"), F.col("p_brand").alias("spec_key"), F.col("p_size").alias("rule_id")))
 
 
 @query("""SELECT 'N' || n_regionkey AS standard_id, n_name AS title, 'folder' AS origin FROM nation WHERE n_nationkey % 3 = 0 UNION ALL
@@ -84,7 +86,7 @@ def q_modular_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT 'standard=M' || (p_partkey % 5) AS standard_id, p_brand AS spec_key, CASE WHEN p_brand < 'Brand#3' THEN 'duplex' END AS structure_type, 'B-' || substr(p_brand, 7) AS alias FROM part")
 def q_legacy_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.col("p_brand").alias("spec_key"), F.when(F.col("p_brand") < "Brand#3", "duplex").alias("structure_type"), F.array(F.regexp_replace("p_brand", "Brand#", "B-")).alias("aliases"), F.array(F.struct(F.lit(1).alias("a"))).alias("evaluation_rules"))
-    files = table(spark, sf_dir, "part").groupBy(STANDARD.alias("standard")).agg(F.to_json(F.collect_set(one)).alias("value"))
+    files = table(spark, sf_dir, "part").groupBy(standard().alias("standard")).agg(F.to_json(F.collect_set(one)).alias("value"))
     return rule_store.legacy_slices(spark, f"{stored(files, 'standard')}/*/*.txt").select("standard_id", "spec_key", "structure_type", F.col("aliases")[0].alias("alias"))
 
 
