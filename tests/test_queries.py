@@ -47,3 +47,12 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-W", "error", "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
