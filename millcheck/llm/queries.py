@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millcheck.llm import decontaminate, html_extract, importance, line_dedup, mixing, quality_rules, secrets, simhash, substring_dedup, warc
+from millcheck.llm import decontaminate, hamerly, html_extract, importance, line_dedup, mixing, quality_rules, secrets, simhash, substring_dedup, token_align, warc
 from millcheck.llm.common import scratch, table
 
 
@@ -57,6 +57,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hamerly.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -93,5 +102,13 @@ y AS (SELECT d.*, shard_size, words, sum(size) OVER (PARTITION BY d.source, d.sh
 SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (words // shard_size * size + greatest(least(words - words // shard_size * shard_size - before, size), 0)) END::BIGINT AS taken FROM y"""
 
 
+NEAREST = "SELECT r, min([d, c]) AS near FROM (SELECT k.r, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM k, c{0} c) GROUP BY r"
+MEANS = """SELECT o.c, coalesce(n.v, o.v) AS v FROM c{0} o LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (SELECT near[2] AS c, i, sum(x) AS s, count(*) AS n FROM a{0} JOIN (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k) USING (r) GROUP BY ALL) GROUP BY c) n USING (c)"""
+OP11 = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < {hamerly.LIMIT // 256})) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM k) ORDER BY h NULLS LAST, v LIMIT 40),
+{", ".join(f"a{i} AS MATERIALIZED ({NEAREST.format(i)}), c{i + 1} AS MATERIALIZED ({MEANS.format(i)})" for i in range(5))}, a5 AS MATERIALIZED ({NEAREST.format(5)})
+SELECT vec_id, near[2]::INT AS cluster, near[1] AS distance, (sum(near[1]) OVER (PARTITION BY near[2]))::BIGINT AS cluster_inertia, (sum(near[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c5.v, ',')) AS centroid_sha256 FROM a5 JOIN k USING (r) JOIN c5 ON c5.c = near[2]"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op3_quality_rules": OP3, "op7_mixing": OP7}
+    return {"op2_warc": OP2, "op3_quality_rules": OP3, "op7_mixing": OP7, "op11_centroids": OP11}
