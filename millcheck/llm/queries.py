@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millcheck.llm import decontaminate, hamerly, html_extract, importance, line_dedup, mixing, quality_rules, secrets, simhash, substring_dedup, token_align, warc
+from millcheck.llm import bloom_lm, decontaminate, hamerly, html_extract, importance, line_dedup, mixing, quality_rules, secrets, simhash, substring_dedup, token_align, warc
 from millcheck.llm.common import scratch, table
 
 
@@ -66,6 +66,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
