@@ -2,18 +2,20 @@
 
 A text is cut where a lone space stands between two characters that are not white space: neither tokenizer has a token
 across such a place, so stretches are encoded and aligned one by one, and each distinct one once per batch of documents.
-DuckDB aligns a batch inside its task: token interval tables of both sides on one axis of bytes, semi-joins for the ends
-that both share, window sums of these for the groups, ASOF joins for the tokens that overlap and for the stretch of each
-group. A batch writes its documents as lists of stretches, and its distinct id pairs with the number of documents; Spark
-merges these counts and sends each batch those of its own pairs. No document's links are ever written out.
+DuckDB aligns a batch's new stretches inside its task: token interval tables of both sides on one axis of bytes, semi-joins
+for the ends that both share, window sums of these for the groups, ASOF joins for the tokens that overlap and for the
+stretch of each group. A batch writes its documents as lists of stretches, and its distinct id pairs with the number of
+documents; Spark merges these counts and sends each batch those of its own pairs. No document's links are ever written out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -28,8 +30,10 @@ from millcheck.llm.common import scratch
 #: Where the vocabulary files are; the driver reads them, tasks get their contents, some 2 MB.
 TOKENIZERS = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: A batch ends with the text that brings it to so many characters.
-BATCH_CHARS = 8_000_000
+#: Fixed value: how byte-level vocabularies split a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: New stretches are aligned together when documents with so many characters have come; a batch ends at so many distinct ones.
+PART_CHARS, MOST_STRETCHES = 4_000_000, 400_000
 ODD = re.compile(r"\s | \s|^ | $|^$")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -48,83 +52,107 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoders:
-    """Both tokenizers and the bytes of their tokens."""
+    """Both tokenizers and the bytes of their tokens.
+
+    Where the file's merges come in the order of their ids, as in the usual vocabulary, the ids are ranks and tiktoken merges
+    by them, which gives the same tokens in a quarter of the time; else the file's own library encodes."""
 
     def __init__(self, json_a: str, model_b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(json_a)
-        self.a.encode_special_tokens = True  # the strings of special tokens are plain text
+        model, back = json.loads(json_a)["model"], byte_alphabet()
+        vocabulary = {i: bytes(map(back.__getitem__, t)) for t, i in model["vocab"].items() if all(c in back for c in t)}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ranked = all(model["vocab"].get("".join(m)) == 256 + i for i, m in enumerate(merges))
+        if ranked:
+            ranks = {t: i for i, t in vocabulary.items() if i < 256 + len(merges)}
+            self.encode_a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            own = Tokenizer.from_str(json_a)
+            own.encode_special_tokens = True  # the strings of special tokens are plain text
+            self.encode_a = lambda t: own.encode(t, add_special_tokens=False).ids
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
-        back = byte_alphabet()
-        self.bytes_a = {i: bytes(map(back.__getitem__, t)) if all(c in back for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
-        self.bytes_b = {}
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
-            self.bytes_b[i] = bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        spelt = {i: bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        self.bytes_a, self.bytes_b = table_of(vocabulary), table_of(spelt)
 
     def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for i in range(0, len(parts), 1000) for e in self.a.encode_batch([" " + p for p in parts[i : i + 1000]], add_special_tokens=False)]
-        return a, self.b.encode(parts, num_threads=1) if parts else []
+        return [self.encode_a(" " + p) for p in parts], self.b.encode(parts, num_threads=1) if parts else []
 
     def whole(self, part: str, a: list[int], b: list[int]) -> bool:
         """Both sides spell the stretch."""
         raw = b" " + part.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+        return b"".join(self.bytes_a[a]) == raw and b"".join(self.bytes_b[b]) == raw
+
+
+def table_of(spelt: dict[int, bytes]) -> np.ndarray:
+    out = np.full(max(spelt) + 1, b"", dtype=object)
+    for i, t in spelt.items():
+        out[i] = t
+    return out
 
 
 ALIGN = """
 CREATE OR REPLACE TEMP TABLE cuts AS SELECT stop FROM ta SEMI JOIN tb USING (stop);
 CREATE OR REPLACE TEMP TABLE a AS SELECT start, stop, id, (coalesce(sum(cut) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS g FROM (SELECT *, (stop IN (SELECT stop FROM cuts))::INT AS cut FROM ta);
 CREATE OR REPLACE TEMP TABLE b AS SELECT start, stop, id, (coalesce(sum(cut) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS g FROM (SELECT *, (stop IN (SELECT stop FROM cuts))::INT AS cut FROM tb);
-CREATE OR REPLACE TEMP TABLE cut_groups AS SELECT g, part, ids_a, ids_b, n_a, n_b FROM (SELECT g, min(start) AS start, count(*) AS n_a, string_agg(id::VARCHAR, ',' ORDER BY start) AS ids_a FROM a GROUP BY g) ga
-  JOIN (SELECT g, count(*) AS n_b, string_agg(id::VARCHAR, ',' ORDER BY start) AS ids_b FROM b GROUP BY g) gb USING (g) ASOF JOIN parts p ON ga.start >= p.start;
+CREATE OR REPLACE TEMP TABLE cut_groups AS SELECT g, part, n_a, n_b FROM (SELECT g, min(start) AS start, count(*) AS n_a FROM a GROUP BY g) ga JOIN (SELECT g, count(*) AS n_b FROM b GROUP BY g) gb USING (g) ASOF JOIN parts p ON ga.start >= p.start;
 CREATE OR REPLACE TEMP TABLE links AS SELECT part, a, b, sum(n)::BIGINT AS times FROM (SELECT g, a.id AS a, b.id AS b, a.n * b.n AS n FROM (SELECT g, id, count(*) AS n FROM a GROUP BY ALL) a JOIN (SELECT g, id, count(*) AS n FROM b GROUP BY ALL) b USING (g)) JOIN cut_groups USING (g) GROUP BY ALL;
-CREATE OR REPLACE TEMP TABLE pairs AS SELECT a, b, (row_number() OVER (ORDER BY a, b) - 1)::INT AS pair FROM (SELECT DISTINCT a, b FROM links);
-CREATE OR REPLACE TEMP TABLE both_cover AS SELECT g, a, b, sum(least(stop_a, stop_b) - greatest(start_a, start_b))::BIGINT AS bytes FROM (
+CREATE OR REPLACE TEMP TABLE both_cover AS SELECT part, a, b, sum(least(stop_a, stop_b) - greatest(start_a, start_b))::BIGINT AS bytes FROM (
   SELECT a.g, a.id AS a, b.id AS b, a.start AS start_a, a.stop AS stop_a, b.start AS start_b, b.stop AS stop_b FROM a ASOF JOIN b ON a.start >= b.start
-  UNION ALL SELECT a.g, a.id, b.id, a.start, a.stop, b.start, b.stop FROM b ASOF JOIN a ON b.start >= a.start WHERE b.start > a.start) GROUP BY ALL"""
+  UNION ALL SELECT a.g, a.id, b.id, a.start, a.stop, b.start, b.stop FROM b ASOF JOIN a ON b.start >= a.start WHERE b.start > a.start) JOIN cut_groups USING (g) GROUP BY ALL"""
 
 
 class Aligned:
-    """The alignment of distinct stretches: text and counts by stretch, links as (part, pair, times, bytes) by part, and the pairs.
-
-    times counts the token pairs that share a group, bytes those bytes that both tokens cover."""
+    """The alignment of distinct stretches: text and counts by stretch, and links (part, pair, times, bytes) by part. A pair is
+    a's id times 2^32 plus b's; times counts the token pairs that share a group, bytes those bytes that both tokens cover."""
 
     def __init__(self, encoders: Encoders, parts: list[str]):
         a, b = encoders.encode(parts)
-        self.ok = np.array([encoders.whole(*x) for x in zip(parts, a, b)], dtype=bool)
+        spell = lambda ids, table: b"".join(table[flat(ids)])
+        raw = "".join([" " + p for p in parts]).encode()
+        self.ok = np.ones(len(parts), dtype=bool)
+        if spell(a, encoders.bytes_a) != raw or spell(b, encoders.bytes_b) != raw or any(not x for x in chain(a, b)):
+            self.ok = np.array([encoders.whole(*x) for x in zip(parts, a, b)], dtype=bool)
         good = np.flatnonzero(self.ok)
         con = duckdb.connect(config={"threads": 1})
+        for name, ids, spelt in (("ta", a, encoders.bytes_a), ("tb", b, encoders.bytes_b)):
+            tokens = flat([ids[i] for i in good])
+            stop = np.fromiter(map(len, spelt[tokens]), dtype=np.int64, count=len(tokens)).cumsum()
+            con.register(name, pa.table({"id": tokens, "start": np.concatenate([[0], stop[:-1]]).astype(np.int64)[: len(tokens)], "stop": stop}))
         ends = np.cumsum([0, *(len(parts[i].encode()) + 1 for i in good)])
-        tables = {"parts": pa.table({"part": good, "start": ends[:-1]})}
-        for name, ids, size in (("ta", a, encoders.bytes_a), ("tb", b, encoders.bytes_b)):
-            flat = np.array([t for i in good for t in ids[i]], dtype=np.int32)
-            stop = np.cumsum([len(size[t]) for t in flat.tolist()], dtype=np.int64)
-            tables[name] = pa.table({"id": flat, "start": np.concatenate([[0], stop[:-1]]).astype(np.int64)[: len(flat)], "stop": stop})
-        for name, t in tables.items():
-            con.register(name, t)
+        con.register("parts", pa.table({"part": good, "start": ends[:-1]}))
         con.execute(ALIGN)
         n = len(parts)
-        self.text, self.counts = [""] * n, {c: np.zeros(n, dtype=np.int64) for c in COUNTS}
-        per = con.sql("SELECT part, string_agg(ids_a || '|' || ids_b, ';' ORDER BY g) AS text, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, count(*) AS n_groups, sum(n_a * n_b)::BIGINT AS n_links FROM cut_groups GROUP BY part").fetchnumpy()
-        for i, t in zip(per["part"].tolist(), per["text"]):
-            self.text[i] = t
+        self.counts = {c: np.zeros(n, dtype=np.int64) for c in COUNTS}
+        per = con.sql("SELECT part, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, count(*) AS n_groups, sum(n_a * n_b)::BIGINT AS n_links FROM cut_groups GROUP BY part").fetchnumpy()
         for c in COUNTS:
             self.counts[c][per["part"]] = per[c]
-        links = con.sql("SELECT part, pair, times, coalesce(bytes, 0) AS bytes FROM links JOIN pairs USING (a, b) LEFT JOIN (SELECT part, a, b, sum(bytes)::BIGINT AS bytes FROM both_cover JOIN cut_groups USING (g) GROUP BY ALL) USING (part, a, b) ORDER BY part, pair").fetchnumpy()
+        self.text = self.written(con, n)
+        links = con.sql("SELECT part, (a::BIGINT << 32) + b AS pair, times, coalesce(bytes, 0) AS bytes FROM links LEFT JOIN both_cover USING (part, a, b) ORDER BY part").fetchnumpy()
         self.part, self.pair, self.times, self.bytes = (np.asarray(links[c]).astype(np.int64) for c in ("part", "pair", "times", "bytes"))
-        self.first = np.searchsorted(self.part, np.arange(n + 1))
-        pairs = con.sql("SELECT a, b FROM pairs ORDER BY pair").fetchnumpy()
-        self.a, self.b = np.asarray(pairs["a"]).astype(np.int32), np.asarray(pairs["b"]).astype(np.int32)
         con.close()
 
-    def pairs_of(self, parts: np.ndarray) -> np.ndarray:
-        """The distinct pairs of some distinct stretches."""
-        found = np.zeros(0, dtype=np.int64) if not len(parts) else self.pair[np.concatenate([np.arange(self.first[p], self.first[p + 1]) for p in parts])] if len(parts) < 8 else self.pair[ranges(self.first[parts], self.first[parts + 1])]
-        return np.unique(found)
+    @staticmethod
+    def written(con: duckdb.DuckDBPyConnection, n: int) -> list[str]:
+        """Each stretch's groups as text: ids of one side joined by commas, sides by a bar, groups by semicolons."""
+        t = con.sql("SELECT part, g, side, id FROM (SELECT g, 0 AS side, start, id FROM a UNION ALL SELECT g, 1, start, id FROM b) JOIN cut_groups USING (g) ORDER BY g, side, start").fetchnumpy()
+        part, g, side, ids = (np.asarray(t[c]).astype(np.int64) for c in ("part", "g", "side", "id"))
+        if not len(ids):
+            return [""] * n
+        after = np.zeros(len(ids), dtype=np.int64)  # 0 nothing, 1 comma, 2 bar, 3 semicolon
+        same = part[1:] == part[:-1]
+        after[:-1] = np.where(~same, 0, np.where(g[1:] != g[:-1], 3, np.where(side[1:] != side[:-1], 2, 1)))
+        said = [str(i) + ("", ",", "|", ";")[k] for i, k in zip(ids.tolist(), after.tolist())]
+        first = np.searchsorted(part, np.arange(n + 1)).tolist()
+        return ["".join(said[i:j]) for i, j in zip(first, first[1:])]
+
+
+def flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int32)
 
 
 def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -133,35 +161,62 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.repeat(stop - n.cumsum(), n) + np.arange(n.sum())
 
 
-#: Columns of a batch's own row: its links by stretch, its pairs, in how many of its documents they are, how often, and their shared bytes.
-OWN = {"link_part": pa.int32(), "link_pair": pa.int32(), "link_times": pa.int64(), "a": pa.int32(), "b": pa.int32(), "docs": pa.int64(), "times": pa.int64(), "bytes": pa.int64()}
-
-
-def batch_rows(encoders: Encoders, batch: int, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-    """A row per document and one for the batch."""
-    places: dict[str, int] = {}
-    lists = [np.array([places.setdefault(p, len(places)) for p in stretches(t)] if t else [], dtype=np.int32) for t in texts]
-    al = Aligned(encoders, list(places))
-    lists = [x if al.ok[x].all() else x[:0] for x in lists]
-    docs, times, shared = (np.zeros(len(al.a), dtype=np.int64) for _ in range(3))
-    occurs = np.zeros(len(al.ok), dtype=np.int64)
-    for x in lists:
-        parts, n = np.unique(x, return_counts=True)
-        occurs[parts] += n
-        docs[al.pairs_of(parts)] += 1
-    np.add.at(times, al.pair, al.times * occurs[al.part])
-    np.add.at(shared, al.pair, al.bytes * occurs[al.part])
-    n = len(texts)
-    own = {"link_part": al.part, "link_pair": al.pair, "link_times": al.times, "a": al.a, "b": al.b, "docs": docs, "times": times, "bytes": shared}
-    columns = {"batch": pa.array([batch] * (n + 1), pa.int64()), "id": pa.concat_arrays([ids, pa.nulls(1, ids.type)])}
-    columns |= {c: pa.array([*(int(al.counts[c][x].sum()) for x in lists), None], pa.int64()) for c in COUNTS}
-    digests = [hashlib.sha256(";".join([al.text[p] for p in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in lists]
-    columns |= {"groups_sha256": pa.array([*digests, None], pa.string()), "parts": pa.array([*lists, None], pa.list_(pa.int32()))}
-    columns |= {c: pa.array([None] * n + [own[c]], pa.list_(t)) for c, t in OWN.items()}
-    return pa.RecordBatch.from_pydict(columns)
-
-
-def batches(docs: DataFrame, path: str, id_col: str, text_col: str, tokenizers: str, batch_chars: int) -> DataFrame:
+#: Columns of the rows that are no documents: links of some stretches, and a batch's pairs with the number of its documents that
+#: hold them, how often they are linked, and the bytes that both tokens cover.
+LINKS = {"link_part": pa.int32(), "link_pair": pa.int64(), "link_times": pa.int64()}
+PAIRS = {"pair": pa.int64(), "docs": pa.int64(), "times": pa.int64(), "bytes": pa.int64()}
+
+
+class Batch:
+    """The distinct stretches of a batch's documents so far, with what is known of each."""
+
+    def __init__(self, encoders: Encoders, number: int, kind: pa.DataType):
+        self.encoders, self.number, self.kind, self.places = encoders, number, kind, {}
+        self.ok, self.text, self.counts = np.zeros(0, dtype=bool), [], {c: np.zeros(0, dtype=np.int64) for c in COUNTS}
+        self.links = {c: np.zeros(0, dtype=np.int64) for c in ("part", "pair", "times", "bytes")}
+        self.first, self.occurs, self.held = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+
+    def add(self, ids: list[pa.Array], texts: list[str | None]) -> pa.RecordBatch:
+        """A row per document, and one with the links of the stretches that are new."""
+        known, places = len(self.places), self.places
+        lists = [np.array([places.setdefault(p, len(places)) for p in stretches(t)] if t else [], dtype=np.int32) for t in texts]
+        new = Aligned(self.encoders, list(places)[known:])
+        self.ok, self.text = np.concatenate([self.ok, new.ok]), self.text + new.text
+        self.counts = {c: np.concatenate([self.counts[c], new.counts[c]]) for c in COUNTS}
+        self.links = {c: np.concatenate([x, getattr(new, c) + (known if c == "part" else 0)]) for c, x in self.links.items()}
+        self.first = np.searchsorted(self.links["part"], np.arange(len(places) + 1))
+        self.occurs = np.concatenate([self.occurs, np.zeros(len(places) - known, dtype=np.int64)])
+        lists = [x if self.ok[x].all() else x[:0] for x in lists]
+        pair, held = self.links["pair"], []
+        for x in lists:
+            parts, n = np.unique(x, return_counts=True)
+            self.occurs[parts] += n
+            held.append(np.unique(pair[ranges(self.first[parts], self.first[parts + 1])]))
+        self.held.append(np.unique(np.concatenate(held), return_counts=True))
+        text = self.text
+        columns = {"id": ids, **{c: [int(self.counts[c][x].sum()) for x in lists] for c in COUNTS}, "parts": lists}
+        columns["groups_sha256"] = [hashlib.sha256(";".join([text[p] for p in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in lists]
+        return self.rows(len(texts), columns, {"link_part": new.part + known, "link_pair": new.pair, "link_times": new.times})
+
+    def close(self) -> pa.RecordBatch:
+        """The row of the batch's pairs."""
+        pair, at = np.unique(np.concatenate([p for p, _ in self.held]), return_inverse=True)
+        docs, times, shared = (np.zeros(len(pair), dtype=np.int64) for _ in range(3))
+        np.add.at(docs, at, np.concatenate([n for _, n in self.held]))
+        used = self.occurs[self.links["part"]] > 0
+        place, occurs = np.searchsorted(pair, self.links["pair"][used]), self.occurs[self.links["part"][used]]
+        np.add.at(times, place, self.links["times"][used] * occurs)
+        np.add.at(shared, place, self.links["bytes"][used] * occurs)
+        return self.rows(0, {}, {"pair": pair, "docs": docs, "times": times, "bytes": shared})
+
+    def rows(self, n: int, documents: dict, own: dict) -> pa.RecordBatch:
+        columns = {"batch": pa.array([self.number] * (n + 1), pa.int64()), "id": pa.concat_arrays([*documents.get("id", []), pa.nulls(1, self.kind)])}
+        for c, t in {**dict.fromkeys(COUNTS, pa.int64()), "groups_sha256": pa.string(), "parts": pa.list_(pa.int32())}.items():
+            columns[c] = pa.array([*documents.get(c, []), None], t)
+        return pa.RecordBatch.from_pydict(columns | {c: pa.array([None] * n + [own.get(c)], pa.list_(t)) for c, t in {**LINKS, **PAIRS}.items()})
+
+
+def batches(docs: DataFrame, path: str, id_col: str, text_col: str, tokenizers: str, part_chars: int, most_stretches: int) -> DataFrame:
     """Writes the rows of all batches and reads them again. A batch is numbered by its partition and its place in it."""
     with open(os.path.join(tokenizers, FILE_A), encoding="utf-8") as f, open(os.path.join(tokenizers, FILE_B), "rb") as g:
         vocabularies = f.read(), g.read()
@@ -169,83 +224,88 @@ def batches(docs: DataFrame, path: str, id_col: str, text_col: str, tokenizers:
     kind = to_arrow_type(rows.schema["id"].dataType)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders, number = None, TaskContext.get().partitionId() << 32
+        encoders, number, batch = None, TaskContext.get().partitionId() << 32, None
         ids, texts, chars = [], [], 0
-        for r in source:
-            for i, t in enumerate(r["text"]):
+        for r, i, last in numbered(source):
+            if not last:
                 ids.append(r["id"].slice(i, 1).cast(kind))
-                texts.append(t.as_py())
+                texts.append(r["text"][i].as_py())
                 chars += len(texts[-1] or "")
-                if chars >= batch_chars:
-                    encoders = encoders or Encoders(*vocabularies)
-                    yield batch_rows(encoders, number, pa.concat_arrays(ids), texts)
-                    ids, texts, chars, number = [], [], 0, number + 1
-        if texts:
-            yield batch_rows(encoders or Encoders(*vocabularies), number, pa.concat_arrays(ids), texts)
+            if texts and (last or chars >= part_chars):
+                encoders = encoders or Encoders(*vocabularies)
+                batch = batch or Batch(encoders, number, kind)
+                yield batch.add(ids, texts)
+                ids, texts, chars = [], [], 0
+            if batch and (last or len(batch.places) >= most_stretches):
+                yield batch.close()
+                batch, number = None, number + 1
 
     kinds = {pa.int32(): "int", pa.int64(): "long"}
-    schema = f"batch long, id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, parts array<int>, " + ", ".join(f"{c} array<{kinds[t]}>" for c, t in OWN.items())
+    schema = f"batch long, id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, parts array<int>, " + ", ".join(f"{c} array<{kinds[t]}>" for c, t in {**LINKS, **PAIRS}.items())
     rows.mapInArrow(run, schema).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def exploded(rows: DataFrame) -> DataFrame:
-    """batch, place, a, b, docs, times, bytes: the pairs of each batch."""
-    return rows.where("a is not null").select("batch", F.posexplode(F.arrays_zip("a", "b", "docs", "times", "bytes")).alias("place", "p")).select("batch", "place", "p.*")
-
-
-def corpus_counts(rows: DataFrame) -> DataFrame:
-    """a, b, docs (how many documents hold the pair linked), times (links), bytes (that both tokens cover)."""
-    return exploded(rows).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("docs", "times", "bytes")))
-
-
-def translations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """The table from A's ids to B's: a, b, docs, times, bytes, best (its docs are the most of a's pairs)."""
-    counts = corpus_counts(batches(docs, scratch(docs.sparkSession, "tokens"), id_col, text_col, tokenizers, batch_chars))
-    return with_best(written(counts))
+def numbered(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, int, bool]]:
+    """All rows as (batch, row, False), then one (None, 0, True)."""
+    for r in source:
+        for i in range(r.num_rows):
+            yield r, i, False
+    yield None, 0, True
 
 
-def written(counts: DataFrame) -> DataFrame:
-    path = scratch(counts.sparkSession, "pairs")
-    counts.write.parquet(path)
-    return counts.sparkSession.read.parquet(path)
+def exploded(rows: DataFrame) -> DataFrame:
+    """batch, pair, docs, times, bytes: the pairs of each batch."""
+    return rows.where("pair is not null").select("batch", F.explode(F.arrays_zip("pair", "docs", "times", "bytes")).alias("p")).select("batch", "p.*")
 
 
-def with_best(counts: DataFrame) -> DataFrame:
+def corpus_counts(rows: DataFrame) -> DataFrame:
+    """a, b, docs (how many documents hold the pair linked), times (links), bytes (that both tokens cover), best (docs are the
+    most of a's pairs), as a table of its own."""
+    path = scratch(rows.sparkSession, "pairs")
+    exploded(rows).groupBy("pair").agg(*(F.sum(c).alias(c) for c in ("docs", "times", "bytes"))).withColumn("a", F.shiftright("pair", 32).cast("int")).write.parquet(path)
+    counts = rows.sparkSession.read.parquet(path)
     # a row per id of A's vocabulary at most
     most = counts.groupBy("a").agg(F.max("docs").alias("most"))
-    return counts.join(F.broadcast(most), "a").select("a", "b", "docs", "times", "bytes", (F.col("docs") == F.col("most")).alias("best"))
+    b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return counts.join(F.broadcast(most), "a").select("a", b.alias("b"), "docs", "times", "bytes", (F.col("docs") == F.col("most")).alias("best"), "pair")
+
+
+def translations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, part_chars: int = PART_CHARS, most_stretches: int = MOST_STRETCHES) -> DataFrame:
+    """The table from A's ids to B's: a, b, docs, times, bytes, best, as corpus_counts() says."""
+    return corpus_counts(batches(docs, scratch(docs.sparkSession, "tokens"), id_col, text_col, tokenizers, part_chars, most_stretches)).drop("pair")
 
 
-def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, part_chars: int = PART_CHARS, most_stretches: int = MOST_STRETCHES) -> DataFrame:
     """A row per document: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Null and empty texts, and texts that the tokens of a side do not spell (as those with U+2581), have no tokens: zeros and
     an empty groups_sha256. Repeated rows and null ids are documents each; other columns are not looked at; an empty table
-    gives an empty result. A very long text is a batch of its own; memory follows its distinct stretches.
+    gives an empty result. Memory follows a batch's distinct stretches, and those of a very long text.
     """
-    rows = batches(docs, scratch(docs.sparkSession, "tokens"), id_col, text_col, tokenizers, batch_chars)
-    counts = with_best(written(corpus_counts(rows)))
-    own = exploded(rows).select("batch", "place", "a", "b").join(counts.select("a", "b", "docs", "best"), ["a", "b"]).select(F.col("batch").alias("of"), "place", "docs", "best")
+    rows = batches(docs, scratch(docs.sparkSession, "tokens"), id_col, text_col, tokenizers, part_chars, most_stretches)
+    own = exploded(rows).select("batch", "pair").join(corpus_counts(rows).select("pair", "docs", "best"), "pair").select(F.col("batch").alias("of"), "pair", "docs", "best")
     kind = rows.schema["id"].dataType
     arrow = to_arrow_type(kind)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         """The documents of a batch, with sums over what its stretches link."""
-        is_doc = left["parts"].is_valid()
-        docs_, batch = left.filter(is_doc), left.filter(left["a"].is_valid())
-        link = {c: np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in batch[c] if x.is_valid] or [np.zeros(0, dtype=np.int64)]).astype(np.int64) for c in ("link_part", "link_pair", "link_times")}
-        place = right["place"].to_numpy()
-        docs_of, best_of = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
-        docs_of[place], best_of[place] = right["docs"].to_numpy(), right["best"].to_numpy(zero_copy_only=False)
-        lists = [np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.int64) for x in docs_["parts"]]
-        n = max([0, *(int(x.max()) + 1 for x in lists if len(x)), *(link["link_part"].max(initial=-1) + 1,)])
+        documents, linked = left.filter(left["parts"].is_valid()), left.filter(left["link_part"].is_valid())
+        part, pair, times = (np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in linked[c]] or [np.zeros(0)]).astype(np.int64) for c in LINKS)
+        order = np.argsort(right["pair"].to_numpy())
+        pairs, docs_of, best_of = (right[c].to_numpy()[order].astype(np.int64) for c in ("pair", "docs", "best"))
+        # stretches of texts that count for nothing have pairs without a count; no list below has them
+        place = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
+        known = pairs[place] == pair if len(pairs) else np.zeros(len(pair), dtype=bool)
+        part, place, times = part[known], place[known], times[known]
+        lists = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in documents["parts"]]
+        n = max([int(part.max(initial=-1)) + 1, *(int(x.max()) + 1 for x in lists if len(x))])
         total, best = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        np.add.at(total, link["link_part"], link["link_times"] * docs_of[link["link_pair"]])
-        np.add.at(best, link["link_part"], link["link_times"] * best_of[link["link_pair"]])
-        out = {"id": docs_["id"].cast(arrow)} | {c: docs_[c] for c in COUNTS} | {"n_best": [int(best[x].sum()) for x in lists], "count_sum": [int(total[x].sum()) for x in lists], "groups_sha256": docs_["groups_sha256"]}
+        np.add.at(total, part, times * docs_of[place])
+        np.add.at(best, part, times * best_of[place])
+        out = {"id": documents["id"].cast(arrow)} | {c: documents[c] for c in COUNTS} | {"n_best": [int(best[x].sum()) for x in lists], "count_sum": [int(total[x].sum()) for x in lists], "groups_sha256": documents["groups_sha256"]}
         return pa.table(out, schema=pa.schema([("id", arrow), *((c, pa.int64()) for c in (*COUNTS, "n_best", "count_sum")), ("groups_sha256", pa.string())]))
 
-    left = rows.select("batch", "id", *COUNTS, "groups_sha256", "parts", "a", "link_part", "link_pair", "link_times")
+    left = rows.where("pair is null").select("batch", "id", *COUNTS, "groups_sha256", "parts", *LINKS)
     schema = f"id {kind.simpleString()}, " + ", ".join(f"{c} long" for c in (*COUNTS, "n_best", "count_sum")) + ", groups_sha256 string"
     return left.groupBy("batch").cogroup(own.groupBy("of")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)

@@ -72,14 +72,14 @@ def test_stretches_are_encoded_like_whole_texts():
             assert [i for p in parts for i in B.encode(p)] == B.encode(t), t
 
 
-@pytest.mark.parametrize("chars", [10, 4_000, 10**9])
-def test_as_brute_force(spark, make, chars):
+@pytest.mark.parametrize(("chars", "most"), [(10, 1), (500, 60), (10**9, 10**9)])
+def test_as_brute_force(spark, make, chars, most):
     """Whatever the batches."""
     r = random.Random(1)
     say = ["tokenization", "of", "the", "whole", "Text,", "café", "你好", "x1y2", "unbelievably", "naïveté", "(a|b)", "zzzzzz"]
     rows = [(i, " ".join(r.choice(say) + r.choice(["", "", "s", "\n", "-1"]) for _ in range(r.randrange(1, 60)))) for i in range(40)]
     rows += [(100 + i, t) for i, t in enumerate(ODD)] + [(3, rows[3][1]), (None, "null id"), (None, None)]
-    assert got(ta.align(make(rows).repartition(3), batch_chars=chars)) == brute(rows)
+    assert got(ta.align(make(rows).repartition(3), part_chars=chars, most_stretches=most)) == brute(rows)
 
 
 def test_test_tables(spark):
