@@ -2,7 +2,8 @@
 
 A count c is kept as its level, 1 + floor(log(c) to BASE): the filter holds a gram with each number up to its level, and a
 reader asks for 1, 2, ... until one is missing. Probabilities come from these levels: each order's estimate is smoothed
-towards the next lower one by MU pseudo counts, P(w|h) = (c(hw) + MU P(w|h')) / (c(h) + MU), unigrams towards all words alike.
+towards the next lower one by MU pseudo counts, P(w|h) = (c(hw) + MU P(w|h')) / (c(h) + MU), unigrams towards all words alike. Unigram counts are the exact
+ones that the base score needs anyway; the filter has the longer grams.
 
 The filter is built in slices by hash, each by one task from the counts that batches of documents have added up before, so
 that its size follows the text and no slice's does. Slices go to the workers in groups of PASS_BYTES at most, whatever their
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ MU = 200.0
 #: Each entry has BITS bits of the filter and sets PROBES of them, all in one block of 512.
 BITS, PROBES = 10, 5
 #: A batch ends with the text that brings it to so many characters; a slice has the grams of about so many bytes of text.
-BATCH_CHARS, SLICE_BYTES = 8_000_000, 8_000_000
+BATCH_CHARS, SLICE_BYTES = 16_000_000, 8_000_000
 #: The most bytes of the filter that the driver and a worker hold at a time.
 PASS_BYTES = 128_000_000
 #: Documents whose crc32 of the id, modulo FOLDS, is HELD_OUT are not learnt from.
@@ -58,14 +60,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A slice's keys differ in their lower bits; so many of them are kept, as five bytes.
+LOW = np.uint64((1 << 40) - 1)
+
+
 def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
     """Ascends with the key."""
     return ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Five bytes for each key and one for its count; greater counts take several entries."""
+    times = (counts + 254) // 255
+    last = counts - 255 * (times - 1)
+    n = np.full(int(times.sum()), 255, dtype=np.uint8)
+    n[times.cumsum() - 1] = last
+    return np.repeat(keys, times).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), n.tobytes()
+
+
+def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((len(counts), 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel(), np.frombuffer(counts, dtype=np.uint8).astype(np.int64)
+
+
+def shrunk(tokens: np.ndarray) -> bytes:
+    """Places of words, the small ones the frequent ones: by planes of bytes, of which most are zero."""
+    return zstandard.compress(np.asarray(tokens, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def grown(tokens: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(tokens), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def bits_of(keys: np.ndarray, levels: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The block of each entry, among the blocks of its slice, and PROBES places of 9 bits each in it."""
-    h = mix(keys + levels.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    h = mix((keys & LOW) + levels.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     return ((h >> np.uint64(32)) * blocks >> np.uint64(32)).astype(np.int64), mix(h + np.uint64(1))
 
 
@@ -101,7 +131,7 @@ class Filter:
 
 def built(keys: np.ndarray, counts: np.ndarray, bits: int = BITS) -> bytes:
     """The bits of a slice. Counts of equal keys are added up."""
-    keys, at = np.unique(keys, return_inverse=True)
+    keys, at = np.unique(keys & LOW, return_inverse=True)
     total = np.zeros(len(keys), dtype=np.int64)
     np.add.at(total, at, counts)
     levels = level(total)
@@ -136,31 +166,29 @@ class Text:
             self.keys.append(mix(mix(before) * np.uint64(3) + x))
 
     def grams(self, chosen: np.ndarray) -> np.ndarray:
-        """The keys of all grams of the chosen documents."""
+        """The keys of all grams of two tokens and more of the chosen documents."""
         of = np.repeat(chosen, self.length)
-        return np.concatenate([self.words[self.token[of]], *(k[of & (self.at >= n)] for n, k in enumerate(self.keys))])
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *(k[of & (self.at >= n)] for n, k in enumerate(self.keys))])
 
     def levels(self, bloom: Filter) -> np.ndarray:
-        """The levels of all grams: a row per order. Each distinct gram is looked up once."""
-        rows = [bloom.levels(self.words)[self.token]]
+        """The levels of all grams: a row per order from two. Each distinct gram is looked up once."""
+        rows = np.zeros((len(self.keys), len(self.token)), dtype=np.uint8)
         for n, k in enumerate(self.keys):
             keys, at = np.unique(k, return_inverse=True)
-            rows.append(np.where(self.at >= n, bloom.levels(keys)[at], 0).astype(np.uint8))
-        return np.stack(rows)
-
-    def log10(self, levels: np.ndarray, tokens: int, words: int, texts: int) -> np.ndarray:
-        """Each document's score from the levels found."""
-        levels = levels.copy()
-        c = COUNT[levels[0]]
-        p = (c + 1) / (tokens + words + 1)
-        for n in range(1, len(levels)):
-            levels[n][levels[n - 1] == 0] = 0  # what its end has no count of has none
+            rows[n] = np.where(self.at >= n, bloom.levels(keys)[at], 0)
+        return rows
+
+    def log10(self, c: np.ndarray, levels: np.ndarray, tokens: int, words: int, texts: int) -> np.ndarray:
+        """Each document's score from its tokens' counts and the levels found."""
+        p, there = (c + 1) / (tokens + words + 1), c > 0
+        for n, found in enumerate(levels):
             history = np.zeros(len(c))
             history[1:] = c[:-1]
-            if n == 1:
+            if n == 0:
                 history[self.start] = texts
-            history[self.at < n - 1] = 0
-            c = np.minimum(COUNT[levels[n]], history)
+            history[self.at < n] = 0
+            found = np.where(there, found, 0)  # what its end has no count of has none
+            c, there = np.minimum(COUNT[found], history), found > 0
             p = (c + MU * p) / (history + MU)
         return np.add.reduceat(np.log10(p), self.start)
 
@@ -176,11 +204,12 @@ def batch_rows(batch: int, ids: pa.Array, held: list[bool], texts: list[str | No
     of, first = np.unique(slice_of(keys, slices), return_index=True)
     cuts = [*first.tolist(), len(keys)]
     d, s = len(texts), len(of)
-    strings, longs, ints = pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())
+    grams = [packed(keys[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+    strings, longs = pa.list_(pa.string()), pa.list_(pa.int64())
     return pa.RecordBatch.from_pydict({
-        "batch": pa.array([batch] * (d + 1 + s), pa.int64()), "id": pa.concat_arrays([ids, pa.nulls(1 + s, ids.type)]), "held_out": pa.array([*held] + [None] * (1 + s), pa.bool_()), "tokens": pa.array([*lists] + [None] * (1 + s), ints),
-        "found": pa.nulls(d + 1 + s, pa.binary()), "words": pa.array([None] * d + [words] + [None] * s, strings), "counts": pa.array([None] * d + [counts] + [None] * s, longs), "slice": pa.array([None] * (d + 1) + of.tolist(), pa.int32()),
-        "keys": pa.array([None] * (d + 1) + [keys[a:b].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), "n": pa.array([None] * (d + 1) + [n[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+        "batch": pa.array([batch] * (d + 1 + s), pa.int64()), "id": pa.concat_arrays([ids, pa.nulls(1 + s, ids.type)]), "held_out": pa.array([*held] + [None] * (1 + s), pa.bool_()), "tokens": pa.array([shrunk(x) for x in lists] + [None] * (1 + s), pa.binary()),
+        "n_tokens": pa.array([len(x) + 1 for x in lists] + [None] * (1 + s), pa.int64()), "found": pa.nulls(d + 1 + s, pa.binary()), "words": pa.array([None] * d + [words] + [None] * s, strings), "counts": pa.array([None] * d + [counts] + [None] * s, longs), "slice": pa.array([None] * (d + 1) + of.tolist(), pa.int32()),
+        "keys": pa.array([None] * (d + 1) + [k for k, _ in grams], pa.binary()), "n": pa.array([None] * (d + 1) + [c for _, c in grams], pa.binary()),
     })
 
 
@@ -204,7 +233,7 @@ def batches(docs: DataFrame, id_col: str, text_col: str, slices: int, order: int
             yield batch_rows(number, pa.concat_arrays(ids), held, texts, slices, order)
 
     path = scratch(docs.sparkSession, "grams")
-    rows.mapInArrow(run, f"batch long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, tokens array<int>, found binary, words array<string>, counts array<long>, slice int, keys binary, n binary").write.parquet(path)
+    rows.mapInArrow(run, f"batch long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, tokens binary, n_tokens long, found binary, words array<string>, counts array<long>, slice int, keys binary, n binary").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -212,7 +241,7 @@ def filters(rows: DataFrame, bits: int = BITS) -> DataFrame:
     """slice, bytes, bits: the slices that have grams. A slice's partial counts are of SLICE_BYTES of text, wherever it comes from."""
 
     def build(table: pa.Table) -> pa.Table:
-        keys, n = (np.frombuffer(b"".join(x.as_py() for x in table[c]), dtype=t) for c, t in (("keys", "<u8"), ("n", "<i4")))
+        keys, n = unpacked(*(b"".join(x.as_py() for x in table[c]) for c in ("keys", "n")))
         made = built(keys, n, bits)
         return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "bytes": pa.array([len(made)], pa.int64()), "bits": pa.array([made], pa.binary())})
 
@@ -236,11 +265,11 @@ def groups_of(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
 def documents_of(table: pa.Table, order: int) -> tuple[pa.Table, Text, np.ndarray]:
     """The documents of a batch, their tokens, and the levels found so far."""
     docs, own = table.filter(table["tokens"].is_valid()), table.filter(table["words"].is_valid())
-    text = Text(own["words"][0].as_py(), [x.values.to_numpy(zero_copy_only=False) for x in docs["tokens"]], order)
-    found = np.zeros((order, len(text.token)), dtype=np.uint8)
+    text = Text(own["words"][0].as_py(), [grown(x.as_py()) for x in docs["tokens"]], order)
+    found = np.zeros((order - 1, len(text.token)), dtype=np.uint8)
     for s, n, x in zip(text.start, text.length, docs["found"]):
         if x.is_valid:
-            found[:, s : s + n] = np.frombuffer(x.as_py(), dtype=np.uint8).reshape(order, n)
+            found[:, s : s + n] = np.frombuffer(x.as_py(), dtype=np.uint8).reshape(order - 1, n)
     return docs, text, found
 
 
@@ -275,7 +304,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     slices = max(1, -(-size // slice_bytes))
     rows = batches(docs, id_col, text_col, slices, order, batch_chars)
-    learnt = rows.where("tokens is not null and not held_out").agg(F.count("*"), F.sum(F.size("tokens") + 1)).first()
+    learnt = rows.where("tokens is not null and not held_out").agg(F.count("*"), F.sum("n_tokens")).first()
     n_texts, n_tokens = learnt[0], int(learnt[1] or 0)
     words = rows.where("words is not null").select("batch", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("batch", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     path = scratch(spark, "words")
@@ -305,7 +334,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         c = total[text.token]
         base = np.add.reduceat(np.log10((c + 1) / (n_tokens + n_words + 1)), text.start)
         out = {"id": docs_["id"].cast(arrow), "held_out": docs_["held_out"], "n_tokens": text.length, "n_known": np.add.reduceat((c > 0).astype(np.int64), text.start), "train_tokens": np.full(len(text.length), n_tokens)}
-        return pa.table(out | {"base_score": base, "score": text.log10(found, n_tokens, n_words, n_texts)})
+        return pa.table(out | {"base_score": base, "score": text.log10(c, found, n_tokens, n_words, n_texts)})
 
     schema = f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return state.groupBy("batch").cogroup(own.groupBy("of")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
