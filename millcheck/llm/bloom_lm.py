@@ -8,7 +8,7 @@ ones that the base score needs anyway; the filter has the longer grams.
 The filter is built in slices by hash, each by one task from the counts that batches of documents have added up before, so
 that its size follows the text and no slice's does. Slices go to the workers in groups of PASS_BYTES at most, whatever their
 number: the levels found with one group stay with the documents while the next is asked, so scores do not depend on the
-groups. Exact unigram counts, for the base score, are joined to each batch's own words.
+groups. Words go by the same slices: one task adds a slice's words up over all batches and sends each batch the counts of its own.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def built(keys: np.ndarray, counts: np.ndarray, bits: int = BITS) -> bytes:
 class Text:
     """The tokens of some documents in one row, each document's closed by an end."""
 
-    def __init__(self, vocabulary: list[str], lists: list[np.ndarray], order: int):
+    def __init__(self, vocabulary: np.ndarray, lists: list[np.ndarray], order: int):
         hashes = np.array([END, *(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in vocabulary[1:])], dtype=np.uint64)
         self.length = np.array([len(x) + 1 for x in lists], dtype=np.int64)
         self.start = self.length.cumsum() - self.length
@@ -194,22 +194,22 @@ class Text:
 
 
 def batch_rows(batch: int, ids: pa.Array, held: list[bool], texts: list[str | None], slices: int, order: int) -> pa.RecordBatch:
-    """A row per document, one for the batch's words, and one for each slice of the filter that it has grams of."""
+    """A row per document, and one for each slice that the batch has words or grams of."""
     places: dict[bytes, int] = {b"": 0}
     lists = [np.array([places.setdefault(w, len(places)) for w in (t or "").encode("utf-8", "surrogatepass").lower().split()], dtype=np.int32) for t in texts]
-    words = [w.decode("utf-8", "surrogatepass") for w in places]
+    words = np.array([w.decode("utf-8", "surrogatepass") for w in places], dtype=object)
     text, learnt = Text(words, lists, order), ~np.array(held, dtype=bool)
-    counts = np.bincount(text.token[np.repeat(learnt, text.length)], minlength=len(words)).astype(np.int64)
+    counts = np.bincount(text.token[np.repeat(learnt, text.length)], minlength=len(words))
     keys, n = np.unique(text.grams(learnt), return_counts=True)
-    of, first = np.unique(slice_of(keys, slices), return_index=True)
-    cuts = [*first.tolist(), len(keys)]
-    d, s = len(texts), len(of)
-    grams = [packed(keys[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
-    strings, longs = pa.list_(pa.string()), pa.list_(pa.int64())
+    ends = np.searchsorted(slice_of(keys, slices), np.arange(slices + 1)).tolist()
+    order_of = np.argsort(of := slice_of(text.words, slices), kind="stable")
+    word_ends = np.searchsorted(of[order_of], np.arange(slices + 1)).tolist()
+    own = [(s, *packed(keys[a:b], n[a:b]), order_of[c:d]) for s, a, b, c, d in zip(range(slices), ends, ends[1:], word_ends, word_ends[1:]) if a < b or c < d]
+    d, null = len(texts), [None] * len(own)
     return pa.RecordBatch.from_pydict({
-        "batch": pa.array([batch] * (d + 1 + s), pa.int64()), "id": pa.concat_arrays([ids, pa.nulls(1 + s, ids.type)]), "held_out": pa.array([*held] + [None] * (1 + s), pa.bool_()), "tokens": pa.array([shrunk(x) for x in lists] + [None] * (1 + s), pa.binary()),
-        "n_tokens": pa.array([len(x) + 1 for x in lists] + [None] * (1 + s), pa.int64()), "found": pa.nulls(d + 1 + s, pa.binary()), "words": pa.array([None] * d + [words] + [None] * s, strings), "counts": pa.array([None] * d + [counts] + [None] * s, longs), "slice": pa.array([None] * (d + 1) + of.tolist(), pa.int32()),
-        "keys": pa.array([None] * (d + 1) + [k for k, _ in grams], pa.binary()), "n": pa.array([None] * (d + 1) + [c for _, c in grams], pa.binary()),
+        "batch": pa.array([batch] * (d + len(own)), pa.int64()), "id": pa.concat_arrays([ids, pa.nulls(len(own), ids.type)]), "held_out": pa.array([*held, *null], pa.bool_()), "tokens": pa.array([*map(shrunk, lists), *null], pa.binary()),
+        "n_tokens": pa.array([*(len(x) + 1 for x in lists), *null], pa.int64()), "slice": pa.array([None] * d + [x[0] for x in own], pa.int32()), "keys": pa.array([None] * d + [x[1] for x in own], pa.binary()), "n": pa.array([None] * d + [x[2] for x in own], pa.binary()),
+        "words": pa.array([None] * d + [words[x[3]] for x in own], pa.list_(pa.string())), "places": pa.array([None] * d + [shrunk(x[3]) for x in own], pa.binary()), "counts": pa.array([None] * d + [shrunk(counts[x[3]]) for x in own], pa.binary()),
     })
 
 
@@ -233,7 +233,7 @@ def batches(docs: DataFrame, id_col: str, text_col: str, slices: int, order: int
             yield batch_rows(number, pa.concat_arrays(ids), held, texts, slices, order)
 
     path = scratch(docs.sparkSession, "grams")
-    rows.mapInArrow(run, f"batch long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, tokens binary, n_tokens long, found binary, words array<string>, counts array<long>, slice int, keys binary, n binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, f"batch long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, tokens binary, n_tokens long, slice int, keys binary, n binary, words array<string>, places binary, counts binary").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -250,6 +250,26 @@ def filters(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """batch, words, places, totals (how often each is in the texts learnt from) and, in one row of each slice, n_words (how many
+    of its words are there at all)."""
+
+    def add(table: pa.Table) -> pa.Table:
+        totals: dict[str, int] = {}
+        lists, counts = [x.as_py() for x in table["words"]], [grown(x.as_py()).tolist() for x in table["counts"]]
+        for words, n in zip(lists, counts):
+            for w, k in zip(words, n):
+                totals[w] = totals.get(w, 0) + k
+        said = [np.array([totals[w] for w in words], dtype="<u8") for words in lists]
+        known = [sum(k > 0 for k in totals.values())] + [0] * (len(lists) - 1)
+        return pa.table({"batch": table["batch"], "words": table["words"], "places": table["places"], "totals": pa.array([zstandard.compress(x.tobytes(), 1) for x in said], pa.binary()), "n_words": pa.array(known, pa.int64())})
+
+    path = scratch(rows.sparkSession, "words")
+    by_slice = rows.where("slice is not null").select("batch", "slice", "words", "places", "counts").groupBy("slice")
+    by_slice.applyInArrow(add, "batch long, words array<string>, places binary, totals binary, n_words long").write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def groups_of(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
     """Slices in groups of most bytes at most, or one slice."""
     out, room = [[]], most
@@ -262,15 +282,18 @@ def groups_of(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
     return out
 
 
-def documents_of(table: pa.Table, order: int) -> tuple[pa.Table, Text, np.ndarray]:
-    """The documents of a batch, their tokens, and the levels found so far."""
-    docs, own = table.filter(table["tokens"].is_valid()), table.filter(table["words"].is_valid())
-    text = Text(own["words"][0].as_py(), [grown(x.as_py()) for x in docs["tokens"]], order)
+def documents_of(docs: pa.Table, own: pa.Table, order: int) -> tuple[Text, np.ndarray, np.ndarray]:
+    """The tokens of a batch's documents, their counts, and the levels found so far."""
+    places = np.concatenate([grown(x.as_py()) for x in own["places"]]).astype(np.int64)
+    words, totals = np.empty(len(places), dtype=object), np.zeros(len(places))
+    words[places] = [w for x in own["words"] for w in x.as_py()]
+    totals[places] = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), dtype="<u8") for x in own["totals"]])
+    text = Text(words, [grown(x.as_py()) for x in docs["tokens"]], order)
     found = np.zeros((order - 1, len(text.token)), dtype=np.uint8)
     for s, n, x in zip(text.start, text.length, docs["found"]):
         if x.is_valid:
             found[:, s : s + n] = np.frombuffer(x.as_py(), dtype=np.uint8).reshape(order - 1, n)
-    return docs, text, found
+    return text, totals[text.token], found
 
 
 def sent(bits: DataFrame, slices: int, group: list[int]) -> Broadcast:
@@ -279,15 +302,14 @@ def sent(bits: DataFrame, slices: int, group: list[int]) -> Broadcast:
     return bits.sparkSession.sparkContext.broadcast(Filter(slices, [(r.slice, bytes(r.bits)) for r in here]))
 
 
-def asking(bloom: Broadcast, order: int) -> Callable[[pa.Table], pa.Table]:
+def asking(bloom: Broadcast, order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Adds the levels found in a group of slices to a batch's documents."""
 
-    def ask(table: pa.Table) -> pa.Table:
-        docs, text, found = documents_of(table, order)
+    def ask(docs: pa.Table, own: pa.Table) -> pa.Table:
+        text, _, found = documents_of(docs, own, order)
         found = np.maximum(found, text.levels(bloom.value))
-        said = pa.array([found[:, s : s + n].tobytes() for s, n in zip(text.start, text.length)] + [None], pa.binary())
-        both = pa.concat_tables([docs, table.filter(table["words"].is_valid())])
-        return both.set_column(both.schema.get_field_index("found"), "found", said)
+        said = pa.array([found[:, s : s + n].tobytes() for s, n in zip(text.start, text.length)], pa.binary())
+        return docs.set_column(docs.schema.get_field_index("found"), "found", said)
 
     return ask
 
@@ -306,35 +328,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     rows = batches(docs, id_col, text_col, slices, order, batch_chars)
     learnt = rows.where("tokens is not null and not held_out").agg(F.count("*"), F.sum("n_tokens")).first()
     n_texts, n_tokens = learnt[0], int(learnt[1] or 0)
-    words = rows.where("words is not null").select("batch", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("batch", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    path = scratch(spark, "words")
-    words.where("n > 0").groupBy("word").agg(F.sum("n").alias("total")).write.parquet(path)
-    counts = spark.read.parquet(path)
-    n_words = counts.count()
-    own = words.select(F.col("batch").alias("of"), "place", "word").join(counts, "word", "left").select("of", "place", F.coalesce("total", F.lit(0)).alias("total"))
+    words = word_counts(rows)
+    n_words = words.agg(F.sum("n_words")).first()[0] or 0
+    own = words.select(F.col("batch").alias("of"), "words", "places", "totals").groupBy("of")
 
     bits = filters(rows, bits_per_entry)
     groups = groups_of([(r.slice, r.bytes) for r in bits.select("slice", "bytes").collect()], pass_bytes)
-    state = rows.where("slice is null").select("batch", "id", "held_out", "tokens", "found", "words")
+    state = rows.where("slice is null").select("batch", "id", "held_out", "tokens", F.lit(None).cast("binary").alias("found"))
     for g in groups[:-1]:
         bloom = sent(bits, slices, g)
         path = scratch(spark, "levels")
-        state.groupBy("batch").applyInArrow(asking(bloom, order), state.schema).write.parquet(path)
+        state.groupBy("batch").cogroup(own).applyInArrow(asking(bloom, order), state.schema).write.parquet(path)
         bloom.destroy()
         state = spark.read.parquet(path)
     bloom = sent(bits, slices, groups[-1])
     kind = rows.schema["id"].dataType
     arrow = to_arrow_type(kind)
 
-    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        docs_, text, found = documents_of(table, order)
+    def finish(docs: pa.Table, own: pa.Table) -> pa.Table:
+        text, c, found = documents_of(docs, own, order)
         found = np.maximum(found, text.levels(bloom.value))
-        total = np.zeros(len(text.words), dtype=np.int64)
-        total[answers["place"].to_numpy()] = answers["total"].to_numpy()
-        c = total[text.token]
         base = np.add.reduceat(np.log10((c + 1) / (n_tokens + n_words + 1)), text.start)
-        out = {"id": docs_["id"].cast(arrow), "held_out": docs_["held_out"], "n_tokens": text.length, "n_known": np.add.reduceat((c > 0).astype(np.int64), text.start), "train_tokens": np.full(len(text.length), n_tokens)}
+        out = {"id": docs["id"].cast(arrow), "held_out": docs["held_out"], "n_tokens": text.length, "n_known": np.add.reduceat((c > 0).astype(np.int64), text.start), "train_tokens": np.full(len(text.length), n_tokens)}
         return pa.table(out | {"base_score": base, "score": text.log10(c, found, n_tokens, n_words, n_texts)})
 
     schema = f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return state.groupBy("batch").cogroup(own.groupBy("of")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
+    return state.groupBy("batch").cogroup(own).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
