@@ -2,8 +2,8 @@
 
 rules is a catalogue: spec_key, rule_id, pos, rule_type, category, property_key, sub_property, level, trigger, lo, hi,
 decimals, lo_inclusive, hi_inclusive, formula_lo, formula_hi, required_level, least_level, options
-array<struct<key, required_level, lo, hi, decimals>>, group_id, group_op, min_pass. Its distinct triggers and formulas
-are compiled on the driver. The records that rules ask for are settled by certificate and slot, with a partial aggregate
+array<struct<key, required_level, lo, hi, decimals>>, group_id, group_op, min_pass, adjustments array<struct<when, min_offset,
+max_offset>>, which may be left out. Its triggers, formulas and offsets are data of the plan (functions.programs). The records that rules ask for are settled by certificate and slot, with a partial aggregate
 before the shuffle, and come together as one map per certificate; everything after that is by cert_id and stays where it is.
 """
 
@@ -14,13 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millcheck.functions import verdicts
-from millcheck.functions.formula import FormulaError, compile_formula, trigger
+from millcheck.functions import programs, verdicts
 from millcheck.operators import audit as ops
 
 SCHEMA = (
     "spec_key string, rule_id string, pos int, rule_type string, category string, property_key string, sub_property string, level string, trigger string, lo double, hi double, decimals int, lo_inclusive boolean, hi_inclusive boolean, "
-    "formula_lo string, formula_hi string, required_level string, least_level double, options array<struct<key:string,required_level:string,lo:double,hi:double,decimals:int>>, group_id string, group_op string, min_pass int"
+    "formula_lo string, formula_hi string, required_level string, least_level double, options array<struct<key:string,required_level:string,lo:double,hi:double,decimals:int>>, group_id string, group_op string, min_pass int, adjustments array<struct<when:string,min_offset:double,max_offset:double>>"
 )
 
 
@@ -32,45 +31,11 @@ class Audit:
     unmatched: DataFrame
 
 
-def texts(rules: DataFrame, *columns: str) -> list[list[str]]:
-    """Distinct texts of columns of the catalogue, on the driver."""
-    row = rules.agg(*(F.array_sort(F.collect_set(c)) for c in columns)).first()
-    return [list(x) for x in row]
-
-
-def header_value(name: str) -> Column | None:
-    """ctx.header.x, ctx.header.dimensions.x, and S, D, L for wall, diameter and length."""
-    short = {"S": "wall_thickness_mm", "D": "outer_diameter_mm", "L": "length_mm"}
-    if name in short or name.startswith("ctx.header.dimensions."):
-        return F.try_element_at("dimensions", F.lit(short.get(name, name.rpartition(".")[2])))
-    return F.try_element_at("header", F.lit(name.rpartition(".")[2])) if name.startswith("ctx.header.") else None
-
-
-def formula_value(used: set[str]):
-    """Looks names of formulas up in the certificate's map, and notes the slots of those that are numbers of records."""
-
-    def f(name: str) -> Column | None:
-        if name.startswith(("ctx.chemical.", "ctx.mechanical.")):
-            slot = ops.NUMBER_OF + name.rpartition(".")[2]
-            used.add(slot)
-            return F.try_element_at("held_", F.lit(slot))["value"]
-        return header_value(name.replace("ctx.dimensions.", "ctx.header.dimensions."))
-
-    return f
-
-
-def by_text(column: str, made: dict[str, Column]) -> Column:
-    out = F.when(F.col(column).isNull(), F.lit(None))
-    for text, c in made.items():
-        out = out.when(F.col(column) == text, c)
-    return out
-
-
-def bound(text: str, used: set[str]) -> Column:
-    try:
-        return compile_formula(text, formula_value(used))
-    except FormulaError:
-        return F.lit(None).cast("double")
+def value_of(source: Column, name: Column) -> Column:
+    """A name of a formula, looked up in the certificate and the records that it holds."""
+    record = F.try_element_at("held_", F.concat(F.lit(ops.NUMBER_OF), name))["value"]
+    header = F.try_element_at("header", name).try_cast("double")
+    return F.when(source == "record", record).when(source == "dimension", F.try_element_at("dimensions", name)).when(source == "header", header)
 
 
 def slot_order() -> Column:
@@ -86,10 +51,10 @@ def slot_order() -> Column:
 def audit(certs: DataFrame, records: DataFrame, rules: DataFrame, extras: DataFrame | None = None) -> Audit:
     """certs: cert_id, spec_key, header map<string,string>, dimensions map<string,double>. records: as slots() reads.
     extras: records that no rule asks for and that a reviewer has seen, with is_rejected; rejected ones fail."""
-    triggers, lows, highs = texts(rules, "trigger", "formula_lo", "formula_hi")
-    used: set[str] = set()
-    lows, highs = ({t: bound(t, used) for t in x} for x in (lows, highs))
-    triggers = {t: trigger(t, header_value) for t in triggers}
+    if "adjustments" not in rules.columns:
+        rules = rules.withColumn("adjustments", F.lit(None).cast("array<struct<when:string,min_offset:double,max_offset:double>>"))
+    made = {"low_steps": programs.compiled(F.col("formula_lo")), "high_steps": programs.compiled(F.col("formula_hi")), "terms": programs.conditions(F.col("trigger")), "moved": programs.moved(F.col("adjustments"))}
+    rules = rules.withColumns(made)
     # one count decides for all tables made of the catalogue: none has more rows than its rules have names
     small = F.broadcast if rules.limit(ops.SMALL + 1).count() <= ops.SMALL else lambda df: df
     # a rule with options asks for each option, other rules for themselves; worked out on the catalogue alone
@@ -100,24 +65,25 @@ def audit(certs: DataFrame, records: DataFrame, rules: DataFrame, extras: DataFr
     names = F.when(F.col("rule_type") == "or_choice_group", scale).when(F.col("rule_type") == "alternative_group", F.array(F.col("option.key"))).otherwise(slot_order())
     asked = asked.withColumn("rule_", F.col("rule_id")).withColumn("rule_id", F.concat_ws("\u0000", "rule_id", "option_at")).withColumn("names", names)
     # only slots that some rule or formula asks for are settled
-    numbers = rules.sparkSession.createDataFrame([(n,) for n in sorted(used)], "slot string")
+    steps = F.concat(F.coalesce("low_steps", F.array().cast(programs.STEPS)), F.coalesce("high_steps", F.array().cast(programs.STEPS)))
+    numbers = rules.select(F.explode(F.filter(steps, lambda s: s["source"] == "record")).alias("s")).select(F.concat(F.lit(ops.NUMBER_OF), "s.name").alias("slot"))
     wanted = small(asked.select(F.explode("names").alias("slot")).union(numbers).distinct())
     slotted = ops.slots(records).select("cert_id", "slot", "rank_", "pos", "value", "text", "level")
     held = ops.held_maps(ops.arbitrate(slotted.join(wanted, "slot", "left_semi")))
     # by a merge join: the maps grow with the certificates, and everything after stays where it puts them
-    x = certs.join(held.hint("merge"), "cert_id", "left").join(small(asked), "spec_key").withColumn("triggered", F.coalesce(by_text("trigger", triggers), F.lit(True)))
+    x = certs.join(held.hint("merge"), "cert_id", "left").join(small(asked), "spec_key").withColumn("triggered", programs.holds(F.col("terms"), F.col("header"), F.col("dimensions")))
     x = x.withColumn("record", ops.first_held(F.col("names")))
     value, level = F.col("record.value"), F.col("level")
     found = F.col("record").isNotNull()
     words = F.concat_ws(" ", "record.text", "record.level")
     decimals = F.when(F.col("rule_type") == "or_choice_group", F.coalesce("option.decimals", F.lit(0))).otherwise(F.col("decimals"))
     # rounded once, in columns of their own: the verdicts use them many times
-    x = x.withColumn("lo_", F.coalesce("option.lo", "lo")).withColumn("hi_", F.coalesce("option.hi", "hi"))
+    limit = lambda c: F.when(F.col("rule_type") == "numeric_range", programs.move(F.col(c), F.col("moved"), "min_offset" if c == "lo" else "max_offset", F.col("header"))).otherwise(F.coalesce(f"option.{c}", c))
+    x = x.withColumn("lo_", limit("lo")).withColumn("hi_", limit("hi"))
     rounded = verdicts.half_even(value, F.when(F.col("rule_type") == "dynamic_expression", F.coalesce(decimals, F.lit(3))).otherwise(decimals))
-    x = x.withColumn("rounded_", rounded).withColumn("low_", by_text("formula_lo", lows).cast("double")).withColumn("high_", by_text("formula_hi", highs).cast("double"))
+    x = x.withColumn("rounded_", rounded).withColumn("low_", programs.evaluate(F.col("low_steps"), value_of)).withColumn("high_", programs.evaluate(F.col("high_steps"), value_of))
     d = F.coalesce("decimals", F.lit(3))
-    x = x.withColumn("low_", verdicts.half_even(F.col("low_"), d)) if lows else x
-    x = x.withColumn("high_", verdicts.half_even(F.col("high_"), d)) if highs else x
+    x = x.withColumn("low_", verdicts.half_even(F.col("low_"), d)).withColumn("high_", verdicts.half_even(F.col("high_"), d))
     ranged = verdicts.numeric_range(F.col("rounded_"), F.col("lo_"), F.col("hi_"), level, None, F.col("lo_inclusive"), F.col("hi_inclusive"))
     inside = (F.col("formula_lo").isNull() | F.coalesce(F.col("rounded_") >= F.col("low_"), F.lit(False))) & (F.col("formula_hi").isNull() | F.coalesce(F.col("rounded_") <= F.col("high_"), F.lit(False)))
     claimed = F.col("record.level")

@@ -44,5 +44,5 @@ def rules(spark: SparkSession) -> DataFrame:
             base | dict(rule_id=f"{spec}-6", pos=6, rule_type="numeric_range", property_key="ferrite_content", level="OPTIONAL_AGREED", lo=1.0, group_id="g1", group_op="OR", min_pass=1),
             base | dict(rule_id=f"{spec}-7", pos=7, rule_type="exemption", property_key="intergranular_corrosion", level="EXEMPT"),
         ]
-    names = [c.strip().split(" ")[0] for c in SCHEMA.replace("array<struct<key:string,required_level:string,lo:double,hi:double,decimals:int>>", "x").split(",")]
+    names = spark.createDataFrame([], SCHEMA).columns
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in made], SCHEMA)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millcheck.functions import programs, verdicts
 from millcheck.functions.verdicts import EDDY_RANK
 from millcheck.operators import lookup, overlay, rank
 from millcheck.operators.audit import small
@@ -173,3 +174,30 @@ def q_degrade_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.lower("p_type").alias("raw")).distinct().withColumn("name_id", F.row_number().over(Window.orderBy("raw")))
     candidates = spark.createDataFrame([(1, "surface_roughness", "ab"), (2, "p_two", "economy"), (3, "p_three", "standard")], "pos int, property_key string, display_name string")
     return lookup.degrade(names, candidates)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_size::DOUBLE * (l_quantity + p_retailprice) - greatest(l_quantity, p_size::DOUBLE / 2) AS bound, l_extendedprice >= p_size::DOUBLE * (l_quantity + p_retailprice) - greatest(l_quantity, p_size::DOUBLE / 2) AS inside
+FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def q_formula_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formula of its own for each part, compiled where the parts are and worked out for each line."""
+    size = F.col("p_size").cast("string")
+    texts = F.concat(size, F.lit(" * (ctx.mechanical.quantity + S) - max(ctx.mechanical.quantity, "), size, F.lit(" / 2)"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", programs.compiled(texts).alias("steps"))
+    x = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    value = programs.evaluate(F.col("steps"), lambda source, name: F.when(source == "record", F.col("l_quantity")).when(source == "dimension", F.col("p_retailprice")))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value.alias("bound"), "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "bound", (F.col("l_extendedprice") >= F.col("bound")).alias("inside"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p FROM orders), q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS v, s, p FROM lineitem JOIN a ON o_orderkey = l_orderkey),
+b AS (SELECT *, 3.0::DOUBLE + CASE WHEN s <> 'O' THEN 2 ELSE 0 END AS lo, 40.0::DOUBLE + CASE WHEN s = 'F' THEN 6 ELSE 0 END + CASE WHEN p <> '1-URGENT' THEN -4 ELSE 0 END AS hi FROM q)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lo, hi, CASE WHEN v < lo OR v > hi THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN v < lo THEN lo - v WHEN v > hi THEN v - hi ELSE 0 END::DOUBLE AS deviation FROM b""")
+def q_bound_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits moved by what the certificate says, in the order in which the rule lists its offsets."""
+    a = [("ctx.header.status == 'F'", None, 6.0), ("ctx.header.status != 'O'", 2.0, None), ("ctx.header.priority != '1-URGENT'", None, -4.0), ("ctx.header.status > 3", 50.0, 50.0), ("ctx.header.none == 'x'", 9.0, 9.0)]
+    rule = spark.createDataFrame([(a,)], "a array<struct<when:string,min_offset:double,max_offset:double>>").select(programs.moved(F.col("a")).alias("moved"))
+    header = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", header.alias("header")).crossJoin(F.broadcast(rule))
+    o = o.select("o_orderkey", programs.move(F.lit(3.0), F.col("moved"), "min_offset", F.col("header")).alias("lo"), programs.move(F.lit(40.0), F.col("moved"), "max_offset", F.col("header")).alias("hi"))
+    x = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    v = verdicts.numeric_range(F.col("l_quantity"), F.col("lo"), F.col("hi"), F.lit("MANDATORY"))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "lo", "hi", v["status"].alias("status"), v["deviation"].alias("deviation"))
