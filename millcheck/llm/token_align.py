@@ -20,6 +20,8 @@ from itertools import chain
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +34,35 @@ TOKENIZERS = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Fixed value: how byte-level vocabularies split a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: New stretches are aligned together when documents with so many characters have come; a batch ends at so many distinct ones.
-PART_CHARS, MOST_STRETCHES = 4_000_000, 400_000
-ODD = re.compile(r"\s | \s|^ | $|^$")
+#: Documents are read in parts of so many characters; a batch ends at so many distinct stretches, which are aligned so many at a time.
+PART_CHARS, MOST_STRETCHES, TOGETHER = 4_000_000, 400_000, 30_000
+#: Texts that do not simply fall apart at their spaces. All white space of Python's is in the class.
+ODD = r"[\s\pZ\x0b\x1c-\x1f\x{85}] | [\s\pZ\x0b\x1c-\x1f\x{85}]|^ | $|^$"
 CUT = re.compile(r"(?<=\S)(?= \S)")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def stretches(text: str) -> list[str]:
     """The stretches of a space and the text, each without the space it begins with."""
-    return text.split(" ") if not ODD.search(text) else [s[1:] for s in CUT.split(" " + text)]
+    return [s[1:] for s in CUT.split(" " + text)]
+
+
+def listed(texts: pa.Array, places: dict[str, int]) -> list[np.ndarray]:
+    """Each text as the places of its stretches, none for null and empty ones; new stretches get the next places."""
+    texts = texts.fill_null("")
+    odd = pc.match_substring_regex(texts, ODD)
+    split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+    coded = split.flatten().dictionary_encode()
+    # what odd texts leave behind is one empty stretch each, which is not theirs
+    used = np.unique(coded.indices.to_numpy()[np.repeat(~odd.to_numpy(zero_copy_only=False), np.diff(split.offsets.to_numpy()))])
+    at = np.zeros(len(coded.dictionary), dtype=np.int32)
+    at[used] = [places.setdefault(p, len(places)) for p in coded.dictionary.take(pa.array(used)).to_pylist()]
+    codes, ends = at[coded.indices.to_numpy()], split.offsets.to_numpy() - split.offsets[0].as_py()
+    lists = [codes[i:j] for i, j in zip(ends, ends[1:])]
+    for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+        text = texts[i].as_py()
+        lists[i] = np.array([places.setdefault(p, len(places)) for p in stretches(text)] if text else [], dtype=np.int32)
+    return lists
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -106,6 +127,10 @@ CREATE OR REPLACE TEMP TABLE both_cover AS SELECT part, a, b, sum(least(stop_a,
   UNION ALL SELECT a.g, a.id, b.id, a.start, a.stop, b.start, b.stop FROM b ASOF JOIN a ON b.start >= a.start WHERE b.start > a.start) JOIN cut_groups USING (g) GROUP BY ALL"""
 
 
+#: Each id with what may follow it.
+DECIMAL = np.array([[f"{i}{mark}" for i in range(1 << 16)] for mark in ("", ",", "|", ";")], dtype=object)
+
+
 class Aligned:
     """The alignment of distinct stretches: text and counts by stretch, and links (part, pair, times, bytes) by part. A pair is
     a's id times 2^32 plus b's; times counts the token pairs that share a group, bytes those bytes that both tokens cover."""
@@ -146,7 +171,7 @@ class Aligned:
         after = np.zeros(len(ids), dtype=np.int64)  # 0 nothing, 1 comma, 2 bar, 3 semicolon
         same = part[1:] == part[:-1]
         after[:-1] = np.where(~same, 0, np.where(g[1:] != g[:-1], 3, np.where(side[1:] != side[:-1], 2, 1)))
-        said = [str(i) + ("", ",", "|", ";")[k] for i, k in zip(ids.tolist(), after.tolist())]
+        said = DECIMAL[after, ids].tolist()
         first = np.searchsorted(part, np.arange(n + 1)).tolist()
         return ["".join(said[i:j]) for i, j in zip(first, first[1:])]
 
@@ -161,59 +186,76 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.repeat(stop - n.cumsum(), n) + np.arange(n.sum())
 
 
-#: Columns of the rows that are no documents: links of some stretches, and a batch's pairs with the number of its documents that
-#: hold them, how often they are linked, and the bytes that both tokens cover.
-LINKS = {"link_part": pa.int32(), "link_pair": pa.int64(), "link_times": pa.int64()}
-PAIRS = {"pair": pa.int64(), "docs": pa.int64(), "times": pa.int64(), "bytes": pa.int64()}
+def shrunk(numbers: np.ndarray) -> bytes:
+    """Numbers under 2^32, mostly small: by planes of bytes, of which most are zero."""
+    return zstandard.compress(np.asarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def grown(numbers: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(numbers), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+#: Columns of the rows that are no documents. Links of some stretches, in order: how many each has, the place of each one's pair
+#: among the batch's, and how often. A batch's pairs: in how many of its documents they are linked, how often, and the bytes that
+#: both tokens cover.
+LINKS = {"first_part": pa.int64(), "link_counts": pa.binary(), "link_place": pa.binary(), "link_times": pa.list_(pa.int64())}
+PAIRS = {c: pa.list_(pa.int64()) for c in ("pair", "docs", "times", "bytes")}
+KINDS = {pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
 
 
 class Batch:
     """The distinct stretches of a batch's documents so far, with what is known of each."""
 
-    def __init__(self, encoders: Encoders, number: int, kind: pa.DataType):
-        self.encoders, self.number, self.kind, self.places = encoders, number, kind, {}
-        self.ok, self.text, self.counts = np.zeros(0, dtype=bool), [], {c: np.zeros(0, dtype=np.int64) for c in COUNTS}
-        self.links = {c: np.zeros(0, dtype=np.int64) for c in ("part", "pair", "times", "bytes")}
-        self.first, self.occurs, self.held = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), []
-
-    def add(self, ids: list[pa.Array], texts: list[str | None]) -> pa.RecordBatch:
-        """A row per document, and one with the links of the stretches that are new."""
-        known, places = len(self.places), self.places
-        lists = [np.array([places.setdefault(p, len(places)) for p in stretches(t)] if t else [], dtype=np.int32) for t in texts]
-        new = Aligned(self.encoders, list(places)[known:])
-        self.ok, self.text = np.concatenate([self.ok, new.ok]), self.text + new.text
-        self.counts = {c: np.concatenate([self.counts[c], new.counts[c]]) for c in COUNTS}
-        self.links = {c: np.concatenate([x, getattr(new, c) + (known if c == "part" else 0)]) for c, x in self.links.items()}
-        self.first = np.searchsorted(self.links["part"], np.arange(len(places) + 1))
-        self.occurs = np.concatenate([self.occurs, np.zeros(len(places) - known, dtype=np.int64)])
+    def __init__(self, encoders: Encoders, number: int):
+        self.encoders, self.number, self.places, self.pairs = encoders, number, {}, {}
+        self.ok, self.text, self.counts = np.zeros(0, dtype=bool), [], np.zeros((len(COUNTS), 0), dtype=np.int64)
+        self.part, self.place, self.times, self.bytes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.occurs, self.docs = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def learn(self) -> Iterator[dict]:
+        """Aligns the stretches that are new; the links of some of them at a time."""
+        parts = list(self.places)[len(self.text) :]
+        for i in range(0, len(parts), TOGETHER):
+            first, new = len(self.text), Aligned(self.encoders, parts[i : i + TOGETHER])
+            pairs, at = np.unique(new.pair, return_inverse=True)
+            place = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in pairs.tolist()], dtype=np.int32)[at]
+            self.ok, self.text, self.counts = np.concatenate([self.ok, new.ok]), self.text + new.text, np.concatenate([self.counts, np.stack([new.counts[c] for c in COUNTS])], axis=1)
+            self.part, self.place = np.concatenate([self.part, (new.part + first).astype(np.int32)]), np.concatenate([self.place, place])
+            self.times, self.bytes = np.concatenate([self.times, new.times]), np.concatenate([self.bytes, new.bytes])
+            yield {"first_part": first, "link_counts": shrunk(np.bincount(new.part, minlength=len(new.text))), "link_place": shrunk(place), "link_times": new.times}
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        """A row per document, and those with the links of new stretches."""
+        lists = listed(texts, self.places)
+        own = list(self.learn())
         lists = [x if self.ok[x].all() else x[:0] for x in lists]
-        pair, held = self.links["pair"], []
+        self.occurs = np.concatenate([self.occurs, np.zeros(len(self.text) - len(self.occurs), dtype=np.int64)])
+        self.docs = np.concatenate([self.docs, np.zeros(len(self.pairs) - len(self.docs), dtype=np.int64)])
+        first = np.searchsorted(self.part, np.arange(len(self.text) + 1))
         for x in lists:
             parts, n = np.unique(x, return_counts=True)
             self.occurs[parts] += n
-            held.append(np.unique(pair[ranges(self.first[parts], self.first[parts + 1])]))
-        self.held.append(np.unique(np.concatenate(held), return_counts=True))
+            self.docs[np.unique(self.place[ranges(first[parts], first[parts + 1])])] += 1
         text = self.text
-        columns = {"id": ids, **{c: [int(self.counts[c][x].sum()) for x in lists] for c in COUNTS}, "parts": lists}
+        counts = [self.counts[:, x].sum(axis=1).tolist() for x in lists]
+        columns = {"id": ids, **{c: [n[k] for n in counts] for k, c in enumerate(COUNTS)}, "parts": [shrunk(x) for x in lists]}
         columns["groups_sha256"] = [hashlib.sha256(";".join([text[p] for p in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in lists]
-        return self.rows(len(texts), columns, {"link_part": new.part + known, "link_pair": new.pair, "link_times": new.times})
+        return self.rows(columns, own, ids.type)
 
-    def close(self) -> pa.RecordBatch:
+    def close(self, kind: pa.DataType) -> pa.RecordBatch:
         """The row of the batch's pairs."""
-        pair, at = np.unique(np.concatenate([p for p, _ in self.held]), return_inverse=True)
-        docs, times, shared = (np.zeros(len(pair), dtype=np.int64) for _ in range(3))
-        np.add.at(docs, at, np.concatenate([n for _, n in self.held]))
-        used = self.occurs[self.links["part"]] > 0
-        place, occurs = np.searchsorted(pair, self.links["pair"][used]), self.occurs[self.links["part"][used]]
-        np.add.at(times, place, self.links["times"][used] * occurs)
-        np.add.at(shared, place, self.links["bytes"][used] * occurs)
-        return self.rows(0, {}, {"pair": pair, "docs": docs, "times": times, "bytes": shared})
-
-    def rows(self, n: int, documents: dict, own: dict) -> pa.RecordBatch:
-        columns = {"batch": pa.array([self.number] * (n + 1), pa.int64()), "id": pa.concat_arrays([*documents.get("id", []), pa.nulls(1, self.kind)])}
-        for c, t in {**dict.fromkeys(COUNTS, pa.int64()), "groups_sha256": pa.string(), "parts": pa.list_(pa.int32())}.items():
-            columns[c] = pa.array([*documents.get(c, []), None], t)
-        return pa.RecordBatch.from_pydict(columns | {c: pa.array([None] * n + [own.get(c)], pa.list_(t)) for c, t in {**LINKS, **PAIRS}.items()})
+        times, shared = np.zeros(len(self.pairs), dtype=np.int64), np.zeros(len(self.pairs), dtype=np.int64)
+        np.add.at(times, self.place, self.times * self.occurs[self.part])
+        np.add.at(shared, self.place, self.bytes * self.occurs[self.part])
+        held = {c: x for c, x in (("pair", list(self.pairs)), ("docs", self.docs), ("times", times), ("bytes", shared))}
+        return self.rows({"id": pa.nulls(0, kind)}, [held], kind)
+
+    def rows(self, documents: dict, own: list[dict], kind: pa.DataType) -> pa.RecordBatch:
+        d, n = len(documents["id"]), len(own)
+        columns = {"batch": pa.array([self.number] * (d + n), pa.int64()), "id": pa.concat_arrays([documents["id"], pa.nulls(n, kind)])}
+        for c, t in {**dict.fromkeys(COUNTS, pa.int64()), "groups_sha256": pa.string(), "parts": pa.binary()}.items():
+            columns[c] = pa.array([*documents.get(c, []), *[None] * n], t)
+        return pa.RecordBatch.from_pydict(columns | {c: pa.array([None] * d + [x.get(c) for x in own], t) for c, t in {**LINKS, **PAIRS}.items()})
 
 
 def batches(docs: DataFrame, path: str, id_col: str, text_col: str, tokenizers: str, part_chars: int, most_stretches: int) -> DataFrame:
@@ -225,33 +267,29 @@ def batches(docs: DataFrame, path: str, id_col: str, text_col: str, tokenizers:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders, number, batch = None, TaskContext.get().partitionId() << 32, None
-        ids, texts, chars = [], [], 0
-        for r, i, last in numbered(source):
-            if not last:
-                ids.append(r["id"].slice(i, 1).cast(kind))
-                texts.append(r["text"][i].as_py())
-                chars += len(texts[-1] or "")
-            if texts and (last or chars >= part_chars):
-                encoders = encoders or Encoders(*vocabularies)
-                batch = batch or Batch(encoders, number, kind)
-                yield batch.add(ids, texts)
-                ids, texts, chars = [], [], 0
-            if batch and (last or len(batch.places) >= most_stretches):
-                yield batch.close()
+        for ids, texts in in_parts(source, part_chars):
+            encoders = encoders or Encoders(*vocabularies)
+            batch = batch or Batch(encoders, number)
+            yield batch.add(ids.cast(kind), texts)
+            if len(batch.places) >= most_stretches:
+                yield batch.close(kind)
                 batch, number = None, number + 1
+        if batch:
+            yield batch.close(kind)
 
-    kinds = {pa.int32(): "int", pa.int64(): "long"}
-    schema = f"batch long, id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, parts array<int>, " + ", ".join(f"{c} array<{kinds[t]}>" for c, t in {**LINKS, **PAIRS}.items())
-    rows.mapInArrow(run, schema).write.parquet(path)
+    schema = f"batch long, id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, parts binary, " + ", ".join(f"{c} {KINDS[t]}" for c, t in {**LINKS, **PAIRS}.items())
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def numbered(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, int, bool]]:
-    """All rows as (batch, row, False), then one (None, 0, True)."""
+def in_parts(source: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts, some rows at a time: a part ends with the text that brings it to so many characters."""
     for r in source:
-        for i in range(r.num_rows):
-            yield r, i, False
-    yield None, 0, True
+        size, i = pc.utf8_length(r["text"].fill_null("")).to_numpy().astype(np.int64), 0
+        while i < len(size):
+            n = int(np.searchsorted(size[i:].cumsum(), chars)) + 1
+            yield r["id"].slice(i, n), r["text"].slice(i, n)
+            i += n
 
 
 def exploded(rows: DataFrame) -> DataFrame:
@@ -290,22 +328,23 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         """The documents of a batch, with sums over what its stretches link."""
-        documents, linked = left.filter(left["parts"].is_valid()), left.filter(left["link_part"].is_valid())
-        part, pair, times = (np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in linked[c]] or [np.zeros(0)]).astype(np.int64) for c in LINKS)
-        order = np.argsort(right["pair"].to_numpy())
-        pairs, docs_of, best_of = (right[c].to_numpy()[order].astype(np.int64) for c in ("pair", "docs", "best"))
-        # stretches of texts that count for nothing have pairs without a count; no list below has them
-        place = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
-        known = pairs[place] == pair if len(pairs) else np.zeros(len(pair), dtype=bool)
-        part, place, times = part[known], place[known], times[known]
-        lists = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in documents["parts"]]
-        n = max([int(part.max(initial=-1)) + 1, *(int(x.max()) + 1 for x in lists if len(x))])
+        documents, linked, paired = (left.filter(left[c].is_valid()) for c in ("parts", "first_part", "pair"))
+        pair = paired["pair"].combine_chunks().flatten().to_numpy()
+        docs_of, best_of = np.zeros(len(pair), dtype=np.int64), np.zeros(len(pair), dtype=np.int64)
+        order = np.argsort(pair)
+        at = order[np.searchsorted(pair[order], right["pair"].to_numpy())]
+        docs_of[at], best_of[at] = right["docs"].to_numpy(), right["best"].to_numpy()
+        lists = [grown(x.as_py()) for x in documents["parts"]]
+        sizes = {first: grown(x.as_py()) for first, x in zip(linked["first_part"].to_pylist(), linked["link_counts"])}
+        n = max([0, *(first + len(x) for first, x in sizes.items())])
         total, best = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        np.add.at(total, part, times * docs_of[place])
-        np.add.at(best, part, times * best_of[place])
+        for first, place, times in zip(linked["first_part"].to_pylist(), linked["link_place"], linked["link_times"]):
+            part, place, times = first + np.repeat(np.arange(len(sizes[first])), sizes[first]), grown(place.as_py()), times.values.to_numpy()
+            np.add.at(total, part, times * docs_of[place])
+            np.add.at(best, part, times * best_of[place])
         out = {"id": documents["id"].cast(arrow)} | {c: documents[c] for c in COUNTS} | {"n_best": [int(best[x].sum()) for x in lists], "count_sum": [int(total[x].sum()) for x in lists], "groups_sha256": documents["groups_sha256"]}
         return pa.table(out, schema=pa.schema([("id", arrow), *((c, pa.int64()) for c in (*COUNTS, "n_best", "count_sum")), ("groups_sha256", pa.string())]))
 
-    left = rows.where("pair is null").select("batch", "id", *COUNTS, "groups_sha256", "parts", *LINKS)
+    left = rows.select("batch", "id", *COUNTS, "groups_sha256", "parts", *LINKS, "pair")
     schema = f"id {kind.simpleString()}, " + ", ".join(f"{c} long" for c in (*COUNTS, "n_best", "count_sum")) + ", groups_sha256 string"
     return left.groupBy("batch").cogroup(own.groupBy("of")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
