@@ -1,4 +1,4 @@
-"""Queries of the stateful streams. Their SQL works the same rows out from all events at once."""
+"""Queries of the stateful streams, versioned tables and the log sink. Their SQL works the same rows out from all rows at once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millcheck.operators.lineage import shared_dir
 from millcheck.queries import query
-from millcheck.streaming import progressive, threads
+from millcheck.sources.versions import Versions, refresh
+from millcheck.streaming import log_sink, progressive, threads
 
 #: Events of the tables as the audit's, with the run a thread is in when each comes.
 EVENTS = """k AS (SELECT event_id, ts, user_id::VARCHAR || '::b' || (user_id % 3) AS thread, (json_extract_string(props, '$.k'))::INT AS k, event_type, floor(epoch_us(ts) // 1000000 / 432000)::BIGINT AS r FROM events),
@@ -41,3 +42,58 @@ def q_stream_freed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.select("event_id", "ts", "stage", progressive.gate().alias("gate"), progressive.thread_key("session_id", "batch_id", F.lit(None).cast("string")).alias("thread"))
     stops, corrections = threads.of_all(e, "stage = 'deterministic_eval' and gate is not null"), threads.of_all(e, "stage = 'correction'")
     return threads.to_table(threads.freed(stops, corrections, "2 days"), f"{shared_dir(spark)}/freed-{uuid.uuid4().hex}")
+
+
+LEDGER = """o AS (SELECT o_orderkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'PASS' WHEN 'O' THEN 'FAIL' ELSE 'HITL' END AS verdict, date_trunc('month', o_orderdate)::DATE AS day FROM orders),
+l AS (SELECT session_id, CASE WHEN session_id % 10 = 0 THEN 'WAIVED' ELSE verdict END AS verdict, CASE WHEN session_id % 10 = 0 THEN DATE '1999-01-01' ELSE day END AS day FROM o WHERE verdict <> 'HITL' OR session_id % 10 = 0)"""
+
+
+def increments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[DataFrame]]:
+    """All orders as sessions by month, and in three parts."""
+    verdict = F.when(F.col("o_orderstatus") == "F", "PASS").when(F.col("o_orderstatus") == "O", "FAIL").otherwise("HITL")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("session_id"), verdict.alias("verdict"), F.trunc("o_orderdate", "month").alias("day"))
+    return o, [o.where(f"session_id % 3 = {i}").repartition("day") for i in range(3)]
+
+
+@query(f"WITH {LEDGER} SELECT session_id, verdict, day::VARCHAR AS day, session_id % 3 = 0 AND session_id IN (SELECT session_id FROM o) AS in_first FROM l")
+def q_ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three appends, a deletion and a replacement; the first version can still be read."""
+    o, parts = increments(spark, sf_dir)
+    ledger = Versions(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", "session_id long, verdict string, day date")
+    for p in parts:
+        ledger.append(p)
+    ledger.change(o.where("verdict = 'HITL'"), "session_id")
+    again = o.where("session_id % 10 = 0").select("session_id", F.lit("WAIVED").alias("verdict"), F.lit("1999-01-01").cast("date").alias("day"))
+    ledger.change(again, "session_id", again)
+    first = ledger.read(1).select("session_id", F.lit(True).alias("in_first"))
+    return ledger.read().join(first, "session_id", "left").select("session_id", "verdict", F.col("day").cast("string").alias("day"), F.coalesce("in_first", F.lit(False)).alias("in_first"))
+
+
+@query(f"WITH {LEDGER} SELECT day::VARCHAR AS day, count(*) AS total, count(*) FILTER (verdict IN ('PASS', 'WAIVED')) AS passed, count(*) FILTER (verdict = 'FAIL') AS failed FROM l GROUP BY 1")
+def q_rollup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rollup by day kept up to date after each change of the ledger; every time only the changed days are worked out."""
+    o, parts = increments(spark, sf_dir)
+    path = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
+    ledger = Versions(spark, f"{path}/ledger", "session_id long, verdict string, day date")
+    kept = Versions(spark, f"{path}/rollup", "day date, total long, passed long, failed long, source_version long")
+    partial = lambda x: x.groupBy("day").agg(F.count("*").alias("total"), F.count(F.when(F.col("verdict").isin("PASS", "WAIVED"), 1)).alias("passed"), F.count(F.when(F.col("verdict") == "FAIL", 1)).alias("failed"))
+    for p in parts:
+        ledger.append(p)
+        refresh(ledger, kept, partial)
+    ledger.change(o.where("verdict = 'HITL'"), "session_id")
+    refresh(ledger, kept, partial)
+    again = o.where("session_id % 10 = 0").select("session_id", F.lit("WAIVED").alias("verdict"), F.lit("1999-01-01").cast("date").alias("day"))
+    ledger.change(again, "session_id", again)
+    refresh(ledger, kept, partial)
+    return kept.read().select(F.col("day").cast("string").alias("day"), "total", "passed", "failed")
+
+
+@query("SELECT event_id, event_type AS tag, (SELECT count(*) FROM events) AS n_lines FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def q_log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events kept as log lines from a stream; the newest thousand, and how many there are in all."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    file = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(file).schema).option("pathGlobFilter", "*.parquet").parquet(f"{file[:-8]}*").select("event_id", F.col("event_type").alias("tag"), "ts")
+    log_sink.sink(stream, path, ("ts", "event_id"))
+    n = log_sink.lines(spark, path).agg(F.count("*").alias("n_lines"))
+    return log_sink.recent(spark, path, log_sink.RING, "ts", "event_id").crossJoin(F.broadcast(n)).select("event_id", "tag", "n_lines")
