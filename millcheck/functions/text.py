@@ -89,7 +89,8 @@ FAILED = ("不合格", "不符合", "开裂", "超标", "有裂纹", "超差", "
 
 
 def result(c: Column) -> Column:
-    """PASS, FAIL or NOT_TESTED of a free text. Not tested goes before failed, and what is neither passes."""
+    """PASS, FAIL or NOT_TESTED of a free text. Not tested goes before failed, what is neither passes, and an empty cell is not
+    tested."""
     # searches in the text itself, so nothing is made of it first; a pattern only for words that have cases
     def any_of(words: tuple[str, ...]) -> Column:
         out = F.lit(False)
@@ -97,18 +98,28 @@ def result(c: Column) -> Column:
             out = out | (F.contains(c, F.lit(w)) if w.upper() == w.lower() else c.rlike(f"(?iu){w}"))
         return out
 
-    alone = lambda pattern: c.rlike(f"(?iu)^{S}*(?:{pattern}){S}*$")
+    alone = lambda pattern: c.rlike(rf"(?iu)\A{S}*(?:{pattern}){S}*\z")
     return (
-        F.when(c.isNull(), F.lit(None).cast("string"))
+        F.when(c.isNull() | alone(""), "NOT_TESTED")
         .when(any_of(NOT_TESTED) | alone(r"[-/\\_]+|N/?A|NONE"), "NOT_TESTED")
         .when(any_of(FAILED) | alone("FAIL|NG|NO"), "FAIL")
         .otherwise("PASS")
     )
 
 
+#: A test level or method, what stands before it, and what after it; methods that have another name.
+LEVEL = r"(?i)(?:\A|[\s\u3000\u00a0(（,，])(E[1-4]H?|U[1-4]|METHOD_[A-E]|[A-E]法)(?:\z|[\s\u3000\u00a0)）,，\u4e00-\u9fa5])"
+METHODS = {"E法": "Method_E", "A法": "Method_A"}
+
+
 def level(c: Column) -> Column:
-    """The test level that a text claims, null for none."""
-    return F.nullif(F.regexp_extract(F.upper(c), r"(E[1-4]H?|U[1-4]|METHOD_[A-E]|[A-E]法)", 1), F.lit(""))
+    """The test level or method that a text claims, null for none. It stands for itself: between the ends of the text, white
+    space, brackets and commas, or before a Chinese character."""
+    found = F.upper(F.regexp_extract(c, LEVEL, 1))
+    out = F.when(found == "", F.lit(None).cast("string"))
+    for method, name in METHODS.items():
+        out = out.when(found == method, name)
+    return out.otherwise(found)
 
 
 def dimensions(c: Column) -> Column:

@@ -35,21 +35,61 @@ def resolve_grades(certs: DataFrame, slices: DataFrame) -> DataFrame:
 
 
 def resolve_standards(asked: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """asked (key_id, raw) with the catalogue's ids of all standards that raw names, null unless every one is found."""
-    known = catalogue.select("standard_id", standard_key(F.col("standard_id")).alias("k")).groupBy("k").agg(F.min("standard_id").alias("standard_id"))
-    parts = asked.select("key_id", F.posexplode(standards(F.col("raw"))).alias("at", "name")).withColumn("k", standard_key(F.col("name")))
-    g = parts.join(small(known), "k", "left").groupBy("key_id").agg(F.count("*").alias("n"), F.count("standard_id").alias("n_found"), F.array_sort(F.collect_list(F.struct("at", "standard_id"))).alias("s"))
+    """asked (key_id, raw) with the catalogue's ids of all standards that raw names, null unless every one is found. A name is
+    looked up among ids, then among the catalogue's aliases (an array, which may be left out), then both without its dots."""
+    aliases = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in catalogue.columns else F.array().cast("array<string>")
+    named = catalogue.select("standard_id", F.posexplode(F.concat(F.array("standard_id"), aliases)).alias("pos", "name"))
+    rank = F.struct((F.col("pos") > 0).cast("int").alias("r"), F.col("standard_id").alias("id"))
+    known = named.select(standard_key(F.col("name")).alias("k"), rank.alias("hit")).groupBy("k").agg(F.min("hit").alias("hit"))
+    parts = asked.select("key_id", F.posexplode(standards(F.col("raw"))).alias("at", "name"))
+    key = standard_key(F.col("name"))
+    tries = parts.select("key_id", "at", F.posexplode(F.array(key, F.regexp_replace(key, r"\.", ""))).alias("attempt", "k"))
+    one = tries.join(small(known), "k", "left").groupBy("key_id", "at").agg(F.min_by("hit.id", F.when(F.col("hit").isNotNull(), F.struct("attempt", "hit.r"))).alias("standard_id"))
+    g = one.groupBy("key_id").agg(F.count("*").alias("n"), F.count("standard_id").alias("n_found"), F.array_sort(F.collect_list(F.struct("at", "standard_id"))).alias("s"))
     ids = F.when(F.col("n") == F.col("n_found"), F.transform("s", lambda x: x["standard_id"]))
     return g.select("key_id", F.col("n").alias("n_named"), "n_found", ids.alias("standard_ids"))
 
 
+#: Widths of steps are sorted into levels of bins, the finest of which is a 2^LEVELS-th of all sizes.
+LEVELS = 16
+
+
+def binned(x: Column, least: float, width: Column) -> Column:
+    """The bin of a size at a level of bins of a width; what has no size or lies outside is in the outermost bins."""
+    return F.greatest(F.lit(0), F.floor((F.coalesce(x, F.lit(least)) - least) / width)).cast("long")
+
+
+def by_bins(parts: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parts with level_ and bin_, a row for each level that steps have, and steps with theirs: a step is at the finest level
+    of which it covers three bins at most, so a size meets at most a few steps that do not hold it, however many there are."""
+    lo, hi = steps.agg(F.least(F.min("range_min"), F.min("range_max")), F.greatest(F.max("range_min"), F.max("range_max"))).first()
+    lo, hi = (0.0, 1.0) if lo is None else (float(lo), float(hi) if hi > lo else float(lo) + 1.0)
+    unit = (hi - lo) / 2**LEVELS
+    width = lambda level: F.lit(unit) * F.pow(F.lit(2.0), level)
+    wide = F.greatest((F.col("range_max") - F.col("range_min")) / unit, F.lit(1.0))
+    level = F.when(F.col("range_min").isNull() | F.col("range_max").isNull(), LEVELS).otherwise(F.least(F.ceil(F.log2(wide)), F.lit(LEVELS))).cast("int")
+    s = steps.withColumn("level_", level)
+    top = F.floor(F.lit(hi - lo) / width(F.col("level_"))).cast("long")
+    first = F.when(F.col("range_min").isNull(), 0).otherwise(binned(F.col("range_min"), lo, width(F.col("level_"))))
+    last = F.when(F.col("range_max").isNull(), top).otherwise(binned(F.col("range_max"), lo, width(F.col("level_"))))
+    s = s.where("range_min is null or range_max is null or range_min <= range_max").withColumn("bin_", F.explode(F.sequence(first, F.greatest(first, last))))
+    used = F.array_sort(F.array_distinct(F.collect_list("level_")))  # LEVELS + 1 numbers at most
+    levels = steps.select(level.alias("level_")).distinct().agg(used).first()[0]
+    p = parts.withColumn("level_", F.explode(F.array(*map(F.lit, levels or [0]))))
+    return p.withColumn("bin_", binned(F.least(F.col("nominal"), F.lit(hi)), lo, width(F.col("level_")))), s
+
+
 def tolerance(parts: DataFrame, steps: DataFrame) -> DataFrame:
     """parts (part_id, property, delivery, process, nominal, diameter, value) with the first step whose range holds the
-    nominal size (open below, closed above) and the verdict; sizes that no step holds pass within ten percent."""
-    p, s = parts.alias("p"), small(steps).alias("s")
+    nominal size (open below, closed above) and the verdict; sizes that no step holds pass within ten percent. Sizes and steps
+    meet in bins."""
+    p, s = by_bins(parts, steps)
+    p, s = p.alias("p"), small(s).alias("s")
     limit = F.col("s.diameter_limit")
     on = (
-        (F.col("p.property") == F.col("s.property"))
+        (F.col("p.level_") == F.col("s.level_"))
+        & (F.col("p.bin_") == F.col("s.bin_"))
+        & (F.col("p.property") == F.col("s.property"))
         & (F.col("p.delivery") == F.col("s.delivery"))
         & ((F.col("s.process") == "all") | (F.col("s.process") == F.col("p.process")))
         & (F.col("s.range_min").isNull() | (F.col("p.nominal") > F.col("s.range_min")))
@@ -100,19 +140,20 @@ def degrade(names: DataFrame, candidates: DataFrame) -> DataFrame:
 def clause_tree(nodes: DataFrame, roots: str = "parent is null") -> DataFrame:
     """Nodes (clause_id, parent, title, text, pos) in depth-first order with depth and path. One join per level of the
     tree, however deep; each level is written out. Nodes without an id or any words are left out, but not what is below
-    them. A step of a path is the position in ten digits, so paths sort in order."""
+    them. A step of a path is the position in ten digits, so paths sort in order. A node whose id stands above it already ends
+    its branch: it and what is below it are left out there; an id in several places has its children under each."""
     step = F.lpad(F.col("pos").cast("string"), 10, "0")
-    level = nodes.where(roots).select("*", F.lit(0).alias("depth"), step.alias("path"))
+    level = nodes.where(roots).select("*", F.lit(0).alias("depth"), step.alias("path"), F.array("clause_id").alias("above_"))
     out = level
     for depth in count(1):
-        up = level.select(F.col("clause_id").alias("up_"), F.col("path").alias("path_"))
-        level = nodes.join(up, nodes["parent"] == up["up_"]).select(*nodes.columns, F.lit(depth).alias("depth"), F.concat_ws("/", "path_", step).alias("path"))
-        level = cut(level)
+        up = level.select(F.col("clause_id").alias("up_"), F.col("path").alias("path_"), F.col("above_"))
+        below = nodes.join(up, nodes["parent"] == up["up_"]).where(F.col("clause_id").isNull() | ~F.array_contains("above_", F.col("clause_id")))
+        level = cut(below.select(*nodes.columns, F.lit(depth).alias("depth"), F.concat_ws("/", "path_", step).alias("path"), F.array_append("above_", F.col("clause_id")).alias("above_")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
     words = (F.coalesce(F.trim("title"), F.lit("")) != "") | (F.coalesce(F.trim("text"), F.lit("")) != "")
-    return out.where(F.col("clause_id").isNotNull() & words)
+    return out.where(F.col("clause_id").isNotNull() & words).drop("above_")
 
 
 def contains_any(columns: list[str], q: str) -> Column:

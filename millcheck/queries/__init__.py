@@ -23,4 +23,4 @@ def query(sql: str | None):
     return register
 
 
-from millcheck.queries import audits, ledgers, reviews, rules, scalars, stores, streams  # noqa: E402, F401
+from millcheck.queries import audits, ledgers, names, reviews, rules, scalars, stores, streams  # noqa: E402, F401

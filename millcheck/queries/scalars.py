@@ -83,12 +83,18 @@ def q_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.quantity(t).alias("q")).select("p_partkey", "q.op", "q.number", "q.unit")
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(upper(trim(text)), '未做|未测|免做|免检') OR regexp_matches(trim(text), '^[-/\\\\_]+$') OR upper(trim(text)) IN ('N/A', 'NA', 'NONE') THEN 'NOT_TESTED'
- WHEN upper(trim(text)) IN ('FAIL', 'NG', 'NO') OR regexp_matches(upper(text), '不合格|不符合|开裂|超标|有裂纹|超差|REJECT|CRACKS_FOUND') THEN 'FAIL' ELSE 'PASS' END AS result,
- nullif(regexp_extract(upper(text), '(E[1-4]H?|U[1-4]|METHOD_[A-E]|[A-E]法)', 1), '') AS level FROM documents""")
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\x0b\x{3000}\x{a0}]+|[\s\x0b\x{3000}\x{a0}]+$', '', 'g') AS t FROM documents UNION ALL SELECT -1 - p_partkey, CASE p_size % 7 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE coalesce(split_part(p_type, ' ', 1), '') END || CASE p_size % 5 WHEN 0 THEN '' ELSE ' E' || p_size % 6 || CASE p_size % 3 WHEN 0 THEN 'H' WHEN 1 THEN '法' ELSE '' END END FROM part),
+d AS (SELECT doc_id, regexp_replace(t, '^[\s\x0b\x{3000}\x{a0}]+|[\s\x0b\x{3000}\x{a0}]+$', '', 'g') AS t FROM c), l AS (SELECT *, upper(regexp_extract(t, '(?:^|[\s\x0b\x{3000}\x{a0}(（,，])(E[1-4]H?|U[1-4]|METHOD_[A-E]|[A-E]法)(?:$|[\s\x0b\x{3000}\x{a0})）,，\x{4e00}-\x{9fa5}])', 1, 'i')) AS found FROM d)
+SELECT doc_id, CASE WHEN t = '' OR regexp_matches(t, '未做|未测|免做|免检') OR regexp_matches(t, '^[-/\\_]+$') OR upper(t) IN ('N/A', 'NA', 'NONE') THEN 'NOT_TESTED' WHEN upper(t) IN ('FAIL', 'NG', 'NO') OR regexp_matches(upper(t), '不合格|不符合|开裂|超标|有裂纹|超差|REJECT|CRACKS_FOUND') THEN 'FAIL' ELSE 'PASS' END AS result,
+ CASE found WHEN '' THEN NULL WHEN 'E法' THEN 'Method_E' WHEN 'A法' THEN 'Method_A' ELSE found END AS level FROM l""")
 def q_qualitative_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of long texts, and of cells made of parts' types and sizes, some of them empty."""
+    k, n = F.col("p_size") % 7, F.col("p_size")
+    start = F.when(k == 0, "").when(k == 1, " ").otherwise(F.split_part("p_type", F.lit(" "), F.lit(1)))
+    mark = F.when(n % 5 == 0, "").otherwise(F.concat(F.lit(" E"), (n % 6).cast("string"), F.when(n % 3 == 0, "H").when(n % 3 == 1, "法").otherwise("")))
+    cells = table(spark, sf_dir, "part").select((-1 - F.col("p_partkey")).alias("doc_id"), F.concat(start, mark).alias("text"))
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", text.result(t).alias("result"), text.level(t).alias("level"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").union(cells).select("doc_id", text.result(t).alias("result"), text.level(t).alias("level"))
 
 
 def key_sql(k: str) -> str:
