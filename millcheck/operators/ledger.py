@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millcheck.operators.lineage import cut
 from millcheck.operators.lookup import contains_any, first_of
 
 
@@ -61,13 +62,16 @@ def search(sessions: DataFrame, columns: list[str], q: str = "", bucket: str = "
 
 
 def sequence_numbers(sessions: DataFrame) -> DataFrame:
-    """sessions (session_id, saved_at) with seq, their number by time and id. Each day is numbered for itself and
-    shifted by the counts of the days before, so no task sorts more than a day."""
-    dated = sessions.withColumn("day_", F.to_date("saved_at"))
-    local = dated.withColumn("n_", F.row_number().over(Window.partitionBy("day_").orderBy("saved_at", "session_id")))
-    before = Window.orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
-    shift = dated.groupBy("day_").agg(F.count("*").alias("c_")).select(F.col("day_").alias("d_"), F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("shift_"))
-    return local.join(shift, F.col("day_").eqNullSafe(F.col("d_"))).withColumn("seq", (F.col("n_") + F.col("shift_")).cast("long")).drop("day_", "d_", "n_", "shift_")
+    """sessions (session_id, saved_at) with seq, their number by time and id. Ranges of both are sorted apart, as many as the
+    shuffle has partitions, and each is shifted by the counts of those before; so a day with very many sessions is many tasks.
+    The sorted ranges are written out once, as their counts and their rows must be of one partitioning."""
+    ranges = sessions.repartitionByRange("saved_at", "session_id").sortWithinPartitions("saved_at", "session_id").withColumn("at_", F.monotonically_increasing_id())
+    # the upper bits of that number are the partition, the lower ones count within it
+    x = cut(ranges).withColumn("range_", F.shiftrightunsigned("at_", 33)).withColumn("n_", F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    before = Window.orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)
+    shift = x.groupBy(F.col("range_").alias("r_")).agg(F.count("*").alias("c_")).select("r_", F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("shift_"))
+    # a row per partition
+    return x.join(F.broadcast(shift), F.col("range_") == F.col("r_")).withColumn("seq", (F.col("n_") + F.col("shift_")).cast("long")).drop("at_", "range_", "n_", "r_", "c_", "shift_")
 
 
 def neighbours(batches: DataFrame) -> DataFrame:

@@ -80,16 +80,35 @@ def tallies(batches: DataFrame) -> DataFrame:
     return batches.groupBy("session_id").agg(F.count("*").alias("total"), count_if(v.isin("PASS", "UNAUDITED")).alias("success"), count_if(v == "FAIL").alias("failed"), count_if(v == "HITL").alias("hitl"))
 
 
-def same_documents(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "md5", "filename"), richness: str = "richness", order: str = "seq") -> DataFrame:
-    """One row per set of documents that any key links, directly or through others: the richest, the later of equals.
-    Null keys link nothing. order must be unique; the links go from a document to the first with its key, so a key of
-    very many documents makes no more links than documents."""
+def grouped(docs: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """docs with c_, the least order of the documents that any key links, directly or through others."""
     links = None
     for k in keys:
         first = docs.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias("b"))
         x = docs.select(F.col(order).alias("a"), k).join(first, k).select("a", "b")
         links = x if links is None else links.union(x)
     comp = components(links).select(F.col("node").alias("n_"), F.col("component").alias("c_"))
-    x = docs.join(comp, F.col(order) == F.col("n_"), "left").withColumn("c_", F.coalesce("c_", order)).drop("n_")
-    best = x.groupBy("c_").agg(F.max_by(F.struct(*docs.columns), F.struct(richness, order)).alias("d"))
+    return docs.join(comp, F.col(order) == F.col("n_"), "left").withColumn("c_", F.coalesce("c_", order)).drop("n_")
+
+
+def same_documents(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "md5", "filename"), richness: str = "richness", order: str = "seq") -> DataFrame:
+    """One row per set of documents that any key links, directly or through others: the richest, the later of equals.
+    Null keys link nothing. order must be unique; the links go from a document to the first with its key, so a key of
+    very many documents makes no more links than documents."""
+    best = grouped(docs, keys, order).groupBy("c_").agg(F.max_by(F.struct(*docs.columns), F.struct(richness, order)).alias("d"))
     return best.select("d.*")
+
+
+def merged_documents(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "md5", "filename"), richness: str = "richness", order: str = "seq") -> DataFrame:
+    """As same_documents, with each field that the richest document leaves null or empty (a blank text, an array or map without
+    entries) taken from the next that has it, and n_merged, how many documents there were. A field is an aggregate of its own,
+    so a set of very many documents never comes together."""
+
+    def there(f) -> Column:
+        kind = f.dataType.typeName()
+        known = F.col(f.name).isNotNull()
+        return known & (F.trim(f.name) != "") if kind == "string" else known & (F.size(f.name) > 0) if kind in ("array", "map") else known
+
+    rank = F.struct(richness, order)
+    fields = [F.max_by(f.name, F.when(there(f), rank)).alias(f.name) for f in docs.schema]
+    return grouped(docs, keys, order).groupBy("c_").agg(*fields, F.count("*").alias("n_merged")).drop("c_")

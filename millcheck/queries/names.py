@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millcheck.operators import aliases, lookup
+from millcheck.operators import aliases, lookup, review
 from millcheck.plans.mapping import table
 from millcheck.queries import query
+from millcheck.sources import payloads
 
 
 @query("""WITH e AS (SELECT event_id, ts, 'NAME' || (user_id % 20) AS key, CASE event_type WHEN 'signup' THEN 'registered' WHEN 'click' THEN 'revoked' WHEN 'view' THEN 'restored' WHEN 'error' THEN 'deleted' ELSE 'registered' END AS status, 'p' || (event_id % 5) AS property FROM events),
@@ -51,3 +52,37 @@ def q_standard_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, how = (F.col("c_nationkey") + 1).cast("string"), F.col("c_custkey") % 4
     raw = F.when(how == 0, F.concat(F.lit("st_t "), k)).when(how == 1, F.concat(F.lit("ALIAS-"), k)).when(how == 2, F.concat(F.lit("S.T/T."), k)).otherwise(F.concat(F.lit("ST/T "), k, F.lit("; nowhere")))
     return lookup.resolve_standards(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key_id"), raw.alias("raw")), catalogue).select("key_id", F.col("standard_ids")[0].alias("standard_id"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS payload_id, p_size, p_partkey % 4 AS how FROM part)
+SELECT payload_id, 'tensile_strength' AS property_key, CASE WHEN p_size % 2 = 0 THEN p_size::DOUBLE * 9.80665::DOUBLE ELSE p_size::DOUBLE END AS value, 'MPa' AS unit, NULL AS text, NULL AS level, CASE WHEN p_size % 2 = 0 THEN 'kgf/mm2' END AS from_unit FROM p
+UNION ALL SELECT payload_id, 'C', p_size::DOUBLE / 8, '%', NULL, NULL, NULL FROM p
+UNION ALL SELECT payload_id, 'ultrasonic_test', CASE WHEN p_size % 4 IN (0, 3) THEN 2 END::DOUBLE, NULL, CASE p_size % 4 WHEN 1 THEN 'FAIL' WHEN 2 THEN 'NOT_TESTED' ELSE 'PASS' END, CASE p_size % 4 WHEN 0 THEN 'U2' WHEN 3 THEN 'E2H' END, NULL FROM p""")
+def q_payload_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as payloads of four shapes: records in a list, plain or as objects with a value, and results by name, with or
+    without a list of boxes beside."""
+    n = F.col("p_size")
+    unit, strength, carbon = F.when(n % 2 == 0, "kgf/mm2"), n.cast("string"), (n.cast("double") / 8).cast("decimal(10,3)").cast("string")
+    said = F.when(n % 4 == 0, "PASS (U2 等级)").when(n % 4 == 1, "不合格").when(n % 4 == 2, "").otherwise("E2H")
+    none = F.lit(None).cast("string")
+    results = (("抗拉强度", strength, unit), ("C", carbon, none), ("UT", said, none))
+    plain = F.array(*(F.struct(F.lit(name).alias("raw_property_name"), raw.alias("raw_value"), u.alias("raw_unit")) for name, raw, u in results))
+    boxed = F.array(*(F.struct(F.struct(F.lit(name).alias("value"), F.array(F.lit(1), F.lit(2)).alias("box")).alias("raw_property_name"), F.struct(raw.alias("value")).alias("raw_value"), F.struct(u.alias("value")).alias("raw_unit")) for name, raw, u in results))
+    by_name = F.struct(*(F.struct(raw.alias("value"), u.alias("unit")).alias(name) for name, raw, u in results))
+    raw_by_name = F.struct(*(F.struct(raw.alias("raw_value"), u.alias("raw_unit"), F.array(F.lit(0)).alias("box")).alias(name) for name, raw, u in results))
+    how = F.col("p_partkey") % 4
+    body = F.when(how == 0, F.to_json(F.struct(plain.alias("test_records")))).when(how == 1, F.to_json(F.struct(boxed.alias("test_records")))).when(how == 2, F.to_json(F.struct(by_name.alias("test_records")))).otherwise(F.to_json(F.struct(raw_by_name.alias("test_records"))))
+    return payloads.records(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("payload_id"), body.alias("body"))).select("payload_id", "property_key", "value", "unit", "text", "level", "from_unit")
+
+
+@query("""WITH d AS (SELECT c_custkey AS seq, c_custkey // 3 AS g, (c_custkey % 2)::INT AS richness, CASE c_custkey % 3 WHEN 1 THEN c_name WHEN 2 THEN ' ' END AS note, CASE WHEN c_custkey % 3 = 2 THEN c_nationkey END AS nation FROM customer)
+SELECT max(n) AS seq, max(CASE WHEN n = 1 THEN 0 END) AS x, arg_max(note, richness * 1000000000 + s) FILTER (trim(note) <> '') AS note, arg_max(nation, richness * 1000000000 + s) FILTER (nation IS NOT NULL) AS nation, count(*) AS n_merged FROM (SELECT *, seq AS s, first_value(seq) OVER (PARTITION BY g ORDER BY richness DESC, seq DESC) AS n FROM d) GROUP BY g""".replace("max(CASE WHEN n = 1 THEN 0 END) AS x, ", ""))
+def q_merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as documents, three of which are one by a file name or a digest; what the richest lacks comes from the others."""
+    k = F.col("c_custkey")
+    third = F.floor(k / 3).cast("string")
+    note = F.when(k % 3 == 1, F.col("c_name")).when(k % 3 == 2, " ")
+    d = table(spark, sf_dir, "customer").select(
+        k.alias("seq"), F.lit(None).cast("string").alias("doc_id"), F.when(k % 3 < 2, F.concat(F.lit("m"), third)).alias("md5"), F.when(k % 3 > 0, F.concat(F.lit("f"), third)).alias("filename"), (k % 2).cast("int").alias("richness"), note.alias("note"), F.when(k % 3 == 2, F.col("c_nationkey")).alias("nation")
+    )
+    return review.merged_documents(d).select("seq", "note", "nation", "n_merged")
