@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 DIGIT = re.compile(r"[0-9]")
 PREFIX = re.compile(r"(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|sk-|eyJ|AIza|glpat-)")
-#: What is assigned to a name with a secret word: quoted, or up to a space or a mark that ends a value.
-ASSIGNED = re.compile(r"(?:passw|pwd|secret|token|api_?key|access|auth|bearer|credential|private|key|aws|login)[A-Za-z0-9_-]{0,40}[\"']?\s{0,4}[:=]\s{0,4}(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"'`,;&<>)\]}]{4,}))", re.I)
+#: A name with a secret word that something is assigned to, and the value: quoted, or up to a space or a mark that ends one.
+ASSIGNS = re.compile(r"(?:passw|pwd|secret|token|api_?key|access|auth|bearer|credential|private|key|aws|login)[A-Za-z0-9_-]{0,40}[\"']?\s{0,4}[:=]\s{0,4}", re.I)
+QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
+BARE = re.compile(r"[^\s\"'`,;&<>)\]}]*")
+LEAST = 4
 #: A private key with what encloses it, up to its end or, without one, the last line that can be of it.
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*?-----END (?:[A-Z]+ )?PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*)")
 NEAR = 40
@@ -142,13 +145,29 @@ def train(spark: SparkSession, labelled: list[tuple[str, str, str, str, int]] |
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(df)
 
 
+def assigned(text: str) -> set[tuple[int, int]]:
+    """Spans of what is assigned to secret words. A value may hold further assignments: of a chain of them without quotes the
+    outermost value and the innermost are spans, those between are not, so all spans together are as long as the text a few
+    times over."""
+    spans, chains, end = set(), {}, 0
+    for m in ASSIGNS.finditer(text):
+        at = m.end()
+        if text[at : at + 1] in ("'", '"'):
+            quoted = QUOTED.match(text, at)
+            if quoted and quoted.end() - at - 2 >= LEAST:
+                spans.add((at + 1, quoted.end() - 1))
+        else:
+            # a value within one without quotes ends with it, so each run is read once
+            end = end if at < end else BARE.match(text, at).end()
+            if end - at >= LEAST:
+                chains[end] = chains.get(end, ())[:1] + (at,)
+    return spans | {(at, stop) for stop, starts in chains.items() for at in starts}
+
+
 def proposed(text: str) -> list[tuple[int, int]]:
     """Spans that can be secrets: private keys, what is assigned to a secret word, and runs that have a digit, mix case or begin as
     known keys do. A run within an assigned value is one more span, as a value may be a link or another assignment."""
-    spans, at = set(), 0
-    while m := ASSIGNED.search(text, at):
-        spans.add(m.span(m.lastindex))
-        at = m.start(m.lastindex)
+    spans = assigned(text)
     spans.update(m.span() for m in KEY_BLOCK.finditer(text))
     for m in CANDIDATE.finditer(text):
         c = m[0]

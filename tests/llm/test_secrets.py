@@ -1,4 +1,7 @@
 import hashlib
+import random
+import re
+import time
 
 from millcheck.llm import secrets as sc
 
@@ -155,3 +158,41 @@ def test_training_needs_both_kinds(spark):
     for labelled in ([], [x for x in sc.written() if x[-1]]):
         with pytest.raises(ValueError):
             sc.train(spark, labelled)
+
+
+def test_chains_of_assignments_are_linear():
+    """A text of a million characters in which each value holds the next: every run once, the outermost and innermost value."""
+    began = time.perf_counter()
+    text = "key=" * 250_000
+    assert sc.proposed(text + "abcd") == [(4, 1_000_004), (1_000_000, 1_000_004)]
+    quotes = 'key="' * 200_000
+    assert len(sc.proposed(quotes)) < 200_001 and sum(b - a for a, b in sc.proposed(quotes)) <= len(quotes)
+    assert sc.proposed('token="' + "key=" * 100_000 + 'hidden"')[-1][0] == 7 + 400_000
+    assert time.perf_counter() - began < 20
+
+
+def old_spans(text):
+    """All values by one pattern, tried again from the begin of each value."""
+    whole = re.compile(sc.ASSIGNS.pattern + r"(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"'`,;&<>)\]}]{4,}))", re.I)
+    out, at = set(), 0
+    while m := whole.search(text, at):
+        out.add(m.span(m.lastindex))
+        at = m.start(m.lastindex)
+    return out
+
+
+def test_assigned_as_by_one_pattern():
+    """The same spans but for those between the outermost and the innermost of a chain."""
+    r = random.Random(8)
+    parts = ["key=", "token: ", 'password = "', "auth='", '"', "'", " ", "\n", "abcd", "x", "secret_name=", "zz9", ";", ",", "login:", "   "]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 14)))
+        want, got = old_spans(text), sc.assigned(text)
+        assert got <= want
+        for a, b in want - got:
+            assert any(x < a and y == b for x, y in got) and any(x > a and y == b for x, y in got), text
+
+
+def test_a_long_chain_is_scanned(spark, make):
+    rows = sc.scan(make([(1, "key=" * 50_000 + "abcd1234efgh"), (2, "password=hunter2!x")]), sc.train(spark)).collect()
+    assert {r.doc_id for r in rows} == {1, 2} and len(rows) < 10
