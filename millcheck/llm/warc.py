@@ -35,14 +35,16 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def record_id(id_col: Column, row: Column) -> Column:
-    """Names a record by its page's id and the number of its row, as ids may repeat."""
-    return F.concat(F.lit("<urn:page:"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"), row.cast("string"), F.lit(">"))
+    """Names a record by its page's id, percent-encoded, and the number of its row, as ids may repeat. A null id is a lone percent
+    sign, which no id becomes."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(id_col.cast("string")), F.lit("%")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def page_id(name: str) -> Column:
     """The page's id that a header field names."""
-    found = F.regexp_extract(field(name), r"^<urn:page:(.*):\d+>$", 1)
-    return F.when((found != "") & (found != "null"), found)
+    pattern = r"^<urn:page:(.*):\d+>$"
+    found = F.regexp_extract(field(name), pattern, 1)
+    return F.when(field(name).rlike(pattern) & (found != "%"), F.try_url_decode(found))
 
 
 def header() -> Column:
@@ -115,46 +117,84 @@ def export(spark: SparkSession, path: str, out: str) -> None:
     reconstruct(spark, path).select("record").write.option("lineSep", END * 2).option("compression", "gzip").text(out)
 
 
+class Records:
+    """Records of one file from what the text reader splits at two line ends. These end a header and a record, and may be within a
+    payload too, so pieces are put together again up to the length that the header says. If two line ends and then a
+    header or the end of the file do not follow there, or the file ends before, the record is damaged: it has no payload, and reading goes on at the first
+    header after its own."""
+
+    def __init__(self) -> None:
+        self.head, self.size, self.have, self.n = b"", 0, [], 0
+
+    def begins(self, piece: bytes) -> bool:
+        """Begins a record if the piece is a header with a length."""
+        length = LENGTH.search(piece + b"\r\n") if piece.startswith(b"WARC/") else None
+        if length:
+            self.head, self.size, self.have, self.n = piece + b"\r\n\r\n", int(length[1]), [], 0
+        return length is not None
+
+    def damaged(self) -> tuple[list[tuple[str, None]], list[bytes]]:
+        """The row of a damaged record, and the pieces after the header of the next one, which are to be read again."""
+        rows, pieces = [(self.head.decode("utf-8", "replace"), None)], self.have
+        self.head, self.have = b"", []
+        for i, piece in enumerate(pieces):
+            if self.begins(piece.lstrip(b"\r\n")):
+                return rows, pieces[i + 1 :]
+        return rows, []
+
+    def take(self, pieces: list[bytes], last: bool = False) -> list[tuple[str, bytes | None]]:
+        """The records that end with some more pieces; with the last ones of the file all that are left."""
+        rows, todo = [], pieces[::-1]
+        while todo or (last and self.head):
+            if not todo:
+                row, again = self.damaged()
+                rows += row
+                todo = again[::-1]
+                continue
+            piece = todo.pop()
+            if not self.head:
+                piece = piece.lstrip(b"\r\n")
+                if piece and not self.begins(piece):
+                    rows.append((piece.decode("utf-8", "replace"), None))
+                continue
+            self.have.append(piece)
+            self.n += len(piece) + 4 * (len(self.have) > 1)
+            if self.n < self.size:
+                continue
+            # a payload that ends in line ends takes some of those after it: what is left may be the next header
+            whole = b"\r\n\r\n".join(self.have)
+            rest = whole[self.size :].lstrip(b"\r\n")
+            closed = (whole[self.size :] + b"\r\n\r\n").startswith(b"\r\n\r\n")
+            if not closed or (rest and not (rest.startswith(b"WARC/") and LENGTH.search(rest + b"\r\n"))):
+                row, again = self.damaged()
+                rows += row
+                todo += again[::-1]
+                continue
+            rows.append((self.head.decode("utf-8", "replace"), whole[: self.size]))
+            self.head = b""
+            self.begins(rest)
+        return rows
+
+
 def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records from what the text reader splits at two line ends. These end a header and a record, and may be within a
-    payload too, so pieces are put together again up to the length that the header says."""
-    head, size, have, n = b"", 0, [], 0
+    """Records of files, each of which is read from its begin to its end by one task."""
+    file, records = None, Records()
     for part in batches:
         out = []
-        for piece in part["value"]:
-            if not head:
-                piece = piece.lstrip(b"\r\n")
-                if not piece:
-                    continue
-                length = LENGTH.search(piece + b"\r\n")
-                if not piece.startswith(b"WARC/") or not length:
-                    out.append((piece.decode("utf-8", "replace"), None))
-                    continue
-                head, size, have, n = piece + b"\r\n\r\n", int(length[1]), [], 0
-                continue
-            have += [b"\r\n\r\n", piece] if have else [piece]
-            n += len(piece) + 4 * (len(have) > 1)
-            if n >= size:
-                whole = b"".join(have)
-                out.append((head.decode("utf-8", "replace"), whole[:size]))
-                # a payload that ends in line ends takes some of those after it: what is left may be the next header
-                rest = whole[size:].lstrip(b"\r\n")
-                length = LENGTH.search(rest + b"\r\n")
-                head = b""
-                if rest.startswith(b"WARC/") and length:
-                    head, size, have, n = rest + b"\r\n\r\n", int(length[1]), [], 0
-                elif rest:
-                    out.append((rest.decode("utf-8", "replace"), None))
+        for name, pieces in part.groupby("file", sort=False)["value"]:
+            if name != file:
+                out += records.take([], last=True)
+                file, records = name, Records()
+            out += records.take(list(pieces))
         yield pd.DataFrame(out, columns=["header", "payload"])
-    if head:
-        yield pd.DataFrame({"header": [head.decode("utf-8", "replace")], "payload": [None]})
+    yield pd.DataFrame(records.take([], last=True), columns=["header", "payload"])
 
 
 def read_files(spark: SparkSession, out: str) -> DataFrame:
     """header and payload of each record of .warc.gz files. What is no header, or has no Content-Length, or ends before
-    its payload does, is a row with a null payload; reading goes on at the next header."""
+    its payload does, is a row with a null payload; reading goes on at the next header, and no record goes on in another file."""
     lines = spark.read.option("lineSep", END * 2).option("pathGlobFilter", "*.gz").text(out)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInPandas(parsed, "header string, payload binary")
+    return lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file")).mapInPandas(parsed, "header string, payload binary")
 
 
 def read_back(spark: SparkSession, out: str, id_type: str = "long") -> DataFrame:

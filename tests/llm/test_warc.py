@@ -78,3 +78,53 @@ def test_damaged_files(spark, tmp_path):
     got = [None if r.payload is None else bytes(r.payload) for r in warc.read_files(spark, str(tmp_path / "x")).collect()]
     assert got == [None, b"abc", None, b"abc", None]
     assert [r.verified for r in warc.read_back(spark, str(tmp_path / "x")).collect()].count(True) == 0
+
+
+def response(i, body, says=None):
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d:0>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body) if says is None else says, body)
+
+
+def read(spark, folder, *files):
+    folder.mkdir()
+    for i, data in enumerate(files):
+        (folder / f"{i}.warc.gz").write_bytes(gzip.compress(data))
+    rows = warc.read_files(spark.newSession(), str(folder)).collect()
+    return sorted((r.header.split("urn:page:")[-1].split(":")[0], None if r.payload is None else bytes(r.payload)) for r in rows)
+
+
+@pytest.mark.parametrize("says", [6, 50, 95, 100, 101, 130, 10**9])
+def test_a_record_cut_short_takes_no_other(spark, tmp_path, says):
+    whole = [response(1, b"one"), response(2, b"cut", says), response(3, b"three"), response(4, b"a\r\n\r\nb"), response(5, b"")]
+    assert read(spark, tmp_path / "x", b"".join(whole)) == [("1", b"one"), ("2", None), ("3", b"three"), ("4", b"a\r\n\r\nb"), ("5", b"")]
+
+
+def test_several_cut_records(spark, tmp_path):
+    data = response(1, b"x", 70) + response(2, b"y", 10**6) + response(3, b"z") + response(4, b"w", 9)
+    assert read(spark, tmp_path / "x", data) == [("1", None), ("2", None), ("3", b"z"), ("4", None)]
+
+
+def test_no_record_goes_on_in_another_file(spark, tmp_path):
+    """Both files are read by one task."""
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        (tmp_path / "x").mkdir()
+        for i, data in enumerate([response(1, b"one") + response(2, b"cut", 400), response(3, b"three") + response(4, b"cut", 5), response(5, b"five")]):
+            (tmp_path / "x" / f"{i}.warc.gz").write_bytes(gzip.compress(data))
+        df = warc.read_files(spark, str(tmp_path / "x"))
+        got = sorted((r.header.split("urn:page:")[1][0], None if r.payload is None else bytes(r.payload)) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert got == [("1", b"one"), ("2", None), ("3", b"three"), ("4", None), ("5", b"five")]
+
+
+def test_ids_of_any_text(spark, tmp_path):
+    ids = ["null", "", None, "a:b", "line\r\nend", "50%", "%", "%41", "é x>", "urn:page:1:2"]
+    p = str(tmp_path / "a")
+    df = spark.createDataFrame([(i, f"http://x/{n}", f"body {n // 2}") for n, i in enumerate(ids)], "page_id string, url string, html string")
+    warc.write(df, p)
+    warc.export(spark, p, f"{p}/files")
+    back = warc.read_back(spark, f"{p}/files", "string").collect()
+    assert sorted(map(str, (r.id for r in back))) == sorted(map(str, ids)) and all(r.verified for r in back)
+    pairs = {(ids[n], ids[n + 1]) for n in range(0, len(ids), 2)}
+    assert {frozenset((r.id, r.refers_to)) for r in back if r.record_type == "revisit"} == {frozenset(x) for x in pairs}
