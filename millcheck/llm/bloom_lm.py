@@ -60,8 +60,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A slice's keys differ in their lower bits; so many of them are kept, as five bytes.
-LOW = np.uint64((1 << 40) - 1)
+#: The upper 32 bits of a key choose its slice, which has a few million keys whatever the input; the lower 32 tell these apart.
+LOW = np.uint64((1 << 32) - 1)
 
 
 def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
@@ -70,18 +70,16 @@ def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
 
 
 def packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Five bytes for each key and one for its count; greater counts take several entries."""
+    """Four bytes for each key and one for its count; greater counts take several entries."""
     times = (counts + 254) // 255
     last = counts - 255 * (times - 1)
     n = np.full(int(times.sum()), 255, dtype=np.uint8)
     n[times.cumsum() - 1] = last
-    return np.repeat(keys, times).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), n.tobytes()
+    return (np.repeat(keys, times) & LOW).astype("<u4").tobytes(), n.tobytes()
 
 
 def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    out = np.zeros((len(counts), 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel(), np.frombuffer(counts, dtype=np.uint8).astype(np.int64)
+    return np.frombuffer(keys, dtype="<u4").astype(np.uint64), np.frombuffer(counts, dtype=np.uint8).astype(np.int64)
 
 
 def shrunk(tokens: np.ndarray) -> bytes:
