@@ -35,7 +35,7 @@ FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Fixed value: how byte-level vocabularies split a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents are read in parts of so many characters; a batch ends at so many distinct stretches, which are aligned so many at a time.
-PART_CHARS, MOST_STRETCHES, TOGETHER = 4_000_000, 400_000, 30_000
+PART_CHARS, MOST_STRETCHES, TOGETHER = 2_000_000, 400_000, 30_000
 #: Texts that do not simply fall apart at their spaces. All white space of Python's is in the class.
 ODD = r"[\s\pZ\x0b\x1c-\x1f\x{85}] | [\s\pZ\x0b\x1c-\x1f\x{85}]|^ | $|^$"
 CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -82,7 +82,6 @@ class Encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         model, back = json.loads(json_a)["model"], byte_alphabet()
         vocabulary = {i: bytes(map(back.__getitem__, t)) for t, i in model["vocab"].items() if all(c in back for c in t)}
@@ -92,6 +91,8 @@ class Encoders:
             ranks = {t: i for i, t in vocabulary.items() if i < 256 + len(merges)}
             self.encode_a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
+            from tokenizers import Tokenizer
+
             own = Tokenizer.from_str(json_a)
             own.encode_special_tokens = True  # the strings of special tokens are plain text
             self.encode_a = lambda t: own.encode(t, add_special_tokens=False).ids
@@ -195,6 +196,11 @@ def grown(numbers: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(numbers), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
+def narrow(numbers: np.ndarray) -> np.ndarray:
+    """Numbers in half the room if they fit."""
+    return numbers.astype(np.int32) if numbers.max(initial=0) < 1 << 31 else numbers
+
+
 #: Columns of the rows that are no documents. Links of some stretches, in order: how many each has, the place of each one's pair
 #: among the batch's, and how often. A batch's pairs: in how many of its documents they are linked, how often, and the bytes that
 #: both tokens cover.
@@ -209,7 +215,7 @@ class Batch:
     def __init__(self, encoders: Encoders, number: int):
         self.encoders, self.number, self.places, self.pairs = encoders, number, {}, {}
         self.ok, self.text, self.counts = np.zeros(0, dtype=bool), [], np.zeros((len(COUNTS), 0), dtype=np.int64)
-        self.part, self.place, self.times, self.bytes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.part, self.place, self.times, self.bytes = (np.zeros(0, dtype=np.int32) for _ in range(4))
         self.occurs, self.docs = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def learn(self) -> Iterator[dict]:
@@ -221,7 +227,7 @@ class Batch:
             place = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in pairs.tolist()], dtype=np.int32)[at]
             self.ok, self.text, self.counts = np.concatenate([self.ok, new.ok]), self.text + new.text, np.concatenate([self.counts, np.stack([new.counts[c] for c in COUNTS])], axis=1)
             self.part, self.place = np.concatenate([self.part, (new.part + first).astype(np.int32)]), np.concatenate([self.place, place])
-            self.times, self.bytes = np.concatenate([self.times, new.times]), np.concatenate([self.bytes, new.bytes])
+            self.times, self.bytes = np.concatenate([self.times, narrow(new.times)]), np.concatenate([self.bytes, narrow(new.bytes)])
             yield {"first_part": first, "link_counts": shrunk(np.bincount(new.part, minlength=len(new.text))), "link_place": shrunk(place), "link_times": new.times}
 
     def add(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
