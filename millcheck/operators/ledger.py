@@ -74,6 +74,22 @@ def sequence_numbers(sessions: DataFrame) -> DataFrame:
     return x.join(F.broadcast(shift), F.col("range_") == F.col("r_")).withColumn("seq", (F.col("n_") + F.col("shift_")).cast("long")).drop("at_", "range_", "n_", "r_", "c_", "shift_")
 
 
+def newest_first(sessions: DataFrame, *times: str) -> DataFrame:
+    """sessions (session_id, and times, of which the first that is there counts) with position, 1 for the newest; those without a
+    time come last, and of equal times the greater id comes first."""
+    x = sequence_numbers(sessions.withColumn("saved_at_", F.coalesce(*times)).withColumnsRenamed({"saved_at": "kept_"} if "saved_at" in sessions.columns else {}).withColumnRenamed("saved_at_", "saved_at"))
+    n = x.agg(F.max("seq").alias("last_"))
+    out = x.crossJoin(F.broadcast(n)).withColumn("position", F.col("last_") - F.col("seq") + 1).drop("seq", "last_", "saved_at")
+    return out.withColumnsRenamed({"kept_": "saved_at"} if "kept_" in out.columns else {}).select(*sessions.columns, "position")
+
+
+def traces(snapshots: DataFrame) -> DataFrame:
+    """task_id, trace: what the nodes of a task (task_id, node_pos, items) have noted, one after the other. A node hands on all that
+    its collector has, so a note may be there again. A task has a few nodes."""
+    g = snapshots.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("node_pos", F.coalesce("items", F.array().cast("array<string>")).alias("items")))).alias("s"))
+    return g.select("task_id", F.flatten(F.transform("s", lambda x: x["items"])).alias("trace"))
+
+
 def neighbours(batches: DataFrame) -> DataFrame:
     """batches (session_id, doc_pos, batch_pos, batch_id) with the ids before and after in flattened order."""
     w = Window.partitionBy("session_id").orderBy("doc_pos", "batch_pos")

@@ -66,8 +66,15 @@ def rule_group(category: Column) -> Column:
 
 
 def rule_part(category: Column, rule_type: Column) -> Column:
-    """Chemical, mechanical, process (with metallographic, corrosion and non-destructive), or other; formulas are other."""
-    return F.when(rule_type == "dynamic_expression", "other").when(category.isin("chemical", "mechanical"), category).when(category.isin("process", "metallographic", "corrosion", "ndt"), "process").otherwise("other")
+    """Chemical (but for its formulas), mechanical, process (with corrosion and non-destructive tests), or other."""
+    formula = (category == "chemical") & (rule_type == "dynamic_expression")
+    return F.when(F.coalesce(formula, F.lit(False)), "other").when(category.isin("chemical", "mechanical"), category).when(category.isin("process", "corrosion", "ndt"), "process").otherwise("other")
+
+
+def rules_by_part(rules: DataFrame) -> DataFrame:
+    """spec_key, part, n_rules, rule_ids in their order: the parts that a slice is shown in; empty ones are left out."""
+    part = rule_part(F.col("category"), F.col("rule_type")).alias("part")
+    return rules.groupBy("spec_key", part).agg(F.count("*").alias("n_rules"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "rule_id"))), lambda x: x["rule_id"]).alias("rule_ids"))
 
 
 def rules_by_group(rules: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millcheck.functions import formula, keys, text, units
-from millcheck.operators import adapter, audit, ledger, overlay, presentation
+from millcheck.operators import adapter, audit, ledger, overlay, presentation, review
 from millcheck.operators.lineage import shared_dir
 from millcheck.plans.mapping import table
 from millcheck.queries import query
@@ -314,3 +314,52 @@ def q_corrected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = li.where("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("thread"), F.concat(F.lit("p"), "l_linenumber", F.lit("_"), "l_partkey").alias("property_key"), F.concat(F.lit("new"), "l_linenumber", F.lit("_"), "l_partkey").alias("new_key"), F.when(F.col("l_partkey") % 6 != 0, 1.5).alias("value"), (F.col("l_partkey") % 6 == 0).alias("rejected"), F.lit(2).alias("at"))
     old = c.withColumn("new_key", F.lit("old")).withColumn("at", F.lit(1))
     return progressive.corrected(recs, c.union(old)).select("thread", "property_key", "value", "is_rejected")
+
+
+@query("""WITH f AS (SELECT n_nationkey, n_regionkey, n_name, 'ST_' || n_regionkey || CASE WHEN n_regionkey % 2 = 0 THEN '' ELSE ' x' END AS folder FROM nation)
+SELECT s_suppkey AS key_id, folder, 'N' || n_nationkey AS clause_id, CASE WHEN n_regionkey % 2 = 0 THEN 'R' || n_regionkey END AS parent FROM supplier JOIN f ON n_regionkey = s_nationkey % 7 UNION ALL
+SELECT s_suppkey, 'ST_' || (s_nationkey % 7), 'R' || (s_nationkey % 7), NULL FROM supplier WHERE s_nationkey % 7 IN (SELECT n_regionkey FROM nation WHERE n_regionkey % 2 = 0)""")
+def q_clause_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of standards asked for by suppliers; a region's folder has a tree or a flat list of its nations."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), F.struct(F.concat(F.lit("N"), "n_nationkey").alias("clause_id"), F.col("n_name").alias("title")).alias("c"))
+    lists = n.groupBy("r").agg(F.collect_list("c").alias("children"))
+    tree = F.to_json(F.array(F.struct(F.concat(F.lit("R"), "r").alias("clause_id"), F.lit("all").alias("title"), "children")))
+    odd = F.col("r") % 2 == 1
+    files = lists.select(F.concat(F.lit("ST_"), "r", F.when(odd, " x").otherwise("")).alias("folder"), F.when(odd, "clauses.json").otherwise("clauses_tree.json").alias("file"), F.when(odd, F.to_json("children")).otherwise(tree).alias("value"))
+    root = stored(files, "folder", "file")
+    how = F.col("s_nationkey") % 7
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key_id"), F.when(how % 2 == 0, F.concat(F.lit("ST/"), how)).otherwise(F.concat(F.lit("st-"), how, F.lit("X"))).alias("standard_id"))
+    return rule_store.clauses_of(rule_store.clause_library(spark, root), asked).select("key_id", "folder", "clause_id", "parent")
+
+
+@query("""SELECT o_orderkey AS cert_id, o_orderstatus AS verdict, l_linenumber AS pos, l_returnflag AS status, l_quantity AS value FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
+def q_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines written as reports and read back."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cert_id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("status"), F.col("l_quantity").alias("value"))
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    rule_store.write_reports(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cert_id"), F.col("o_orderstatus").alias("verdict")), items, path)
+    kind = dict(items.dtypes)
+    back = rule_store.read_reports(spark, path, f"cert_id long, verdict string, items array<struct<pos:{kind['pos']},status:string,value:double>>")
+    return back.select("cert_id", "verdict", F.explode_outer("items").alias("i")).select("cert_id", "verdict", "i.pos", "i.status", "i.value")
+
+
+@query("""SELECT c_custkey AS task_id, string_agg(x, ',' ORDER BY d, k, i) AS trace FROM (SELECT o_custkey AS c_custkey, o_orderdate AS d, o_orderkey AS k, unnest([0, 1]) AS i, unnest([o_orderstatus, o_orderpriority[1]]) AS x FROM orders) GROUP BY 1""")
+def q_trace_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tasks, their orders as nodes that each hand on two notes."""
+    node = F.struct("o_orderdate", "o_orderkey").alias("node_pos")
+    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), node, F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("items"))
+    return ledger.traces(s).select("task_id", F.array_join("trace", ",").alias("trace"))
+
+
+@query("SELECT o_orderkey AS session_id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS position FROM orders")
+def q_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.newest_first(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("saved_at")), "saved_at").select("session_id", "position")
+
+
+@query("""SELECT p_brand AS spec_key, CASE WHEN p_size % 6 = 0 AND p_partkey % 2 = 0 THEN 'other' WHEN p_size % 6 = 0 THEN 'chemical' WHEN p_size % 6 = 1 THEN 'mechanical' WHEN p_size % 6 IN (2, 3, 4) THEN 'process' ELSE 'other' END AS part, count(*) AS n_rules, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS rules FROM part GROUP BY 1, 2""")
+def q_rule_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rules of their brand, by the part of a slice that they are shown in."""
+    category = nth(F.col("p_size"), "chemical", "mechanical", "process", "ndt", "corrosion", "metallographic")
+    kind = F.when(F.col("p_partkey") % 2 == 0, "dynamic_expression").otherwise("numeric_range")
+    r = table(spark, sf_dir, "part").select(F.col("p_brand").alias("spec_key"), F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("rule_id"), category.alias("category"), kind.alias("rule_type"))
+    return review.rules_by_part(r).select("spec_key", "part", "n_rules", F.array_join("rule_ids", ",").alias("rules"))

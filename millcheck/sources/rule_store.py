@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millcheck.functions.keys import SYMBOLS
-from millcheck.functions.text import json_body
+from millcheck.functions.text import json_body, standard_key
 from millcheck.operators.audit import small
 from millcheck.operators.lineage import cut
 
@@ -113,19 +113,60 @@ def evaluation_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def clauses(spark: SparkSession, path: str) -> DataFrame:
-    """Clause trees of files as nodes: clause_id, parent, title, text, pos. Children are kept as JSON text a level at a
-    time, each written out, until none has any."""
-    node = "clause_id:string,title:string,text:string,children:string"
-    level = spark.read.option("wholetext", True).text(path).select(F.lit(None).cast("string").alias("parent"), F.posexplode(F.from_json("value", f"array<struct<{node}>>")).alias("pos", "n"))
+NODE = "clause_id:string,title:string,text:string,children:string"
+
+
+def flattened(level: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes (n, a struct of NODE, with parent, pos and the columns to keep) and all that is below them. Children are kept as JSON
+    text a level at a time, each written out, until none has any."""
     out = None
     while True:
-        rows = cut(level.select("parent", "pos", "n.*"))
+        rows = cut(level.select(*keep, "parent", "pos", "n.*"))
         if out is not None and rows.isEmpty():
             return out
         flat = rows.drop("children")
         out = flat if out is None else out.unionByName(flat)
-        level = rows.where("children is not null and children <> '[]'").select(F.col("clause_id").alias("parent"), F.posexplode(F.from_json("children", f"array<struct<{node}>>")).alias("pos", "n"))
+        level = rows.where("children is not null and children <> '[]'").select(*keep, F.col("clause_id").alias("parent"), F.posexplode(F.from_json("children", f"array<struct<{NODE}>>")).alias("pos", "n"))
+
+
+def clauses(spark: SparkSession, path: str) -> DataFrame:
+    """Clause trees of files as nodes: clause_id, parent, title, text, pos."""
+    return flattened(spark.read.option("wholetext", True).text(path).select(F.lit(None).cast("string").alias("parent"), F.posexplode(F.from_json("value", f"array<struct<{NODE}>>")).alias("pos", "n")))
+
+
+def clause_library(spark: SparkSession, root: str) -> DataFrame:
+    """folder and the clauses of each folder of standards: of its tree (clauses_tree.json), or where that is not there or cannot
+    be read of its list (clauses.json)."""
+    # a file, or a folder of that name as Spark writes one, in a folder that names its standard, plainly or as a partition
+    part = lambda i: F.regexp_extract(F.try_url_decode(F.col("_metadata.file_path")), r"/(?:folder=)?([^/]+)/(?:file=)?(clauses_tree\.json|clauses\.json)(?:/[^/]*)?$", i)
+    files = spark.read.option("wholetext", True).text(f"{root}/*/*clauses*.json").select(part(1).alias("folder"), part(2).alias("file"), "value")
+    listed = F.from_json("value", f"array<struct<{NODE}>>")
+    read = files.where(F.col("file").isin("clauses_tree.json", "clauses.json")).withColumn("nodes", listed).where("nodes is not null")
+    used = read.groupBy("folder").agg(F.max_by(F.struct("file", "nodes"), (F.col("file") == "clauses_tree.json").cast("int")).alias("f"))
+    tops = used.select("folder", F.lit(None).cast("string").alias("parent"), F.posexplode("f.nodes").alias("pos", "n"), F.col("f.file").alias("file"))
+    deep = flattened(tops.where("file = 'clauses_tree.json'").drop("file"), ("folder",))
+    return deep.unionByName(tops.where("file = 'clauses.json'").select("folder", "parent", "pos", "n.*").drop("children"))
+
+
+def clauses_of(library: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (key_id, standard_id) with the clauses of its standard: of the folder that has its name, else of the first by name
+    that has its fingerprint; standards without clauses have no row."""
+    folders = library.select("folder").distinct().withColumn("k_", standard_key(F.col("folder")))
+    x = asked.select("key_id", "standard_id", standard_key(F.col("standard_id")).alias("k_"), F.regexp_replace("standard_id", r"[/\-]", "_").alias("direct_"))
+    rank = F.struct((F.col("folder") != F.col("direct_")).cast("int"), "folder")
+    best = x.join(small(folders), "k_").groupBy("key_id", "standard_id").agg(F.min_by("folder", rank).alias("folder"))
+    return best.join(library, "folder")
+
+
+def write_reports(certs: DataFrame, items: DataFrame, path: str) -> None:
+    """Reports as JSON, one line per certificate: its columns and its items, in order (items: cert_id, pos, and more)."""
+    each = items.groupBy("cert_id").agg(F.array_sort(F.collect_list(F.struct("pos", *(c for c in items.columns if c not in ("cert_id", "pos"))))).alias("items"))
+    certs.join(each, "cert_id", "left").select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "gzip").text(path)
+
+
+def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Reports that write_reports wrote, by their schema."""
+    return json(spark, path, schema, lines=True)
 
 
 def answers(texts: DataFrame, column: str, schema: str) -> DataFrame:

@@ -64,3 +64,47 @@ def test_stream_matches_batch(spark):
     got = {(r.kind, r.gate): r.n for r in progressive.replay(spark, path).collect()}
     want = progressive.told(progressive.event_rows(spark.read.parquet(path))).groupBy("kind", F.coalesce("gate", F.lit("-")).alias("gate")).count().collect()
     assert got == {(r.kind, r.gate): r["count"] for r in want}
+
+
+def test_clause_library(spark, tmp_path):
+    def put(folder, name, value):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(value if isinstance(value, str) else json.dumps(value))
+
+    put("GB_T_1", "clauses_tree.json", [{"clause_id": "4", "title": "a", "children": [{"clause_id": "4.1", "text": "b"}]}])
+    put("GB_T_1", "clauses.json", [{"clause_id": "never", "title": "flat"}])
+    put("NB-T-2", "clauses_tree.json", "no json")
+    put("NB-T-2", "clauses.json", [{"clause_id": "1", "title": "flat"}, {"clause_id": "2", "title": "flat too"}])
+    put("nb t 2", "clauses.json", [{"clause_id": "second", "title": "later by name"}])
+    put("X_3", "clauses_tree.json", [])
+    put("X_3", "clauses.json", [{"clause_id": "never", "title": "an empty tree is one"}])
+    put("X 3", "clauses.json", [{"clause_id": "9", "title": "other folder of the name"}])
+    put("X 3", "rules.json", [{"clause_id": "never"}])
+    library = rule_store.clause_library(spark, str(tmp_path))
+    asked = spark.createDataFrame([(1, "GB/T-1"), (2, "gb t 1"), (3, "NB/T 2"), (4, "X-3"), (5, "nothing"), (6, "nb t 2")], "key_id int, standard_id string")
+    got = sorted((r.key_id, r.folder, r.clause_id, r.parent) for r in rule_store.clauses_of(library, asked).collect())
+    assert got == [(1, "GB_T_1", "4", None), (1, "GB_T_1", "4.1", "4"), (2, "GB_T_1", "4", None), (2, "GB_T_1", "4.1", "4"), (3, "NB-T-2", "1", None), (3, "NB-T-2", "2", None), (4, "X 3", "9", None), (6, "nb t 2", "second", None)]
+
+
+def test_reports(spark, tmp_path):
+    certs = spark.createDataFrame([(1, "FAIL"), (2, "PASS"), (3, None)], "cert_id int, verdict string")
+    items = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, None)], "cert_id int, pos int, rule_id string")
+    rule_store.write_reports(certs, items, str(tmp_path / "r"))
+    got = rule_store.read_reports(spark, str(tmp_path / "r"), "cert_id int, verdict string, items array<struct<pos:int,rule_id:string>>").collect()
+    assert {r.cert_id: (r.verdict, None if r["items"] is None else [(i.pos, i.rule_id) for i in r["items"]]) for r in got} == {1: ("FAIL", [(1, "a"), (2, "b")]), 2: ("PASS", [(1, None)]), 3: (None, None)}
+
+
+def test_traces_parts_and_newest(spark):
+    from millcheck.operators import ledger, review
+
+    t = spark.createDataFrame([("t", 2, ["a", "b"]), ("t", 1, ["a"]), ("t", 3, None), ("u", 1, [])], "task_id string, node_pos int, items array<string>")
+    assert {r.task_id: r.trace for r in ledger.traces(t).collect()} == {"t": ["a", "a", "b"], "u": []}
+    cases = {("chemical", "numeric_range"): "chemical", ("chemical", "dynamic_expression"): "other", ("mechanical", "dynamic_expression"): "mechanical", ("ndt", "x"): "process", ("corrosion", None): "process", ("metallographic", "x"): "other", (None, "x"): "other", ("chemical", None): "chemical"}
+    rules = spark.createDataFrame([("s", i, f"r{i}", c, k) for i, (c, k) in enumerate(cases)], "spec_key string, pos int, rule_id string, category string, rule_type string")
+    want = {}
+    for i, part in enumerate(cases.values()):
+        want.setdefault(part, []).append(f"r{i}")
+    assert {r.part: (r.n_rules, r.rule_ids) for r in review.rules_by_part(rules).collect()} == {k: (len(v), v) for k, v in want.items()}
+    s = spark.createDataFrame([(1, "2024-01-02", None), (2, None, "2024-01-03"), (3, None, None), (4, "2024-01-02", "2025-01-01")], "session_id int, saved_at string, created_at string")
+    got = ledger.newest_first(s, "saved_at", "created_at")
+    assert got.columns == ["session_id", "saved_at", "created_at", "position"] and {r.session_id: r.position for r in got.collect()} == {2: 1, 4: 2, 1: 3, 3: 4}
