@@ -108,17 +108,60 @@ def tolerance(parts: DataFrame, steps: DataFrame) -> DataFrame:
     return x.withColumn("ok", ~off | ((v >= a) & (v <= b))).withColumn("deviation", deviation)
 
 
+#: Fields of a document up to which each token is simply compared with each; a document with more is searched by grams.
+FEW = 16
+GRAM = 3
+
+
+def grams_of(text: Column, size: Column) -> Column:
+    """The distinct runs of so many characters in a text; none if it is shorter."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """doc_id, s, l: texts of inner (doc_id, s) within texts of outer (doc_id, l) of the same document.
+
+    outer is indexed by all its runs of up to GRAM characters. A text is looked up by the one of its own that the fewest others
+    of its document have, GRAM characters long or all of it if it is shorter, and what that finds is compared; so the
+    candidates follow the matches and not the product."""
+    index = outer.select("doc_id", "l", F.explode(F.concat(*(grams_of(F.col("l"), F.lit(n)) for n in range(1, GRAM + 1)))).alias("gram"))
+    held = index.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    mine = inner.select("doc_id", "s", F.explode(grams_of(F.col("s"), F.least(F.length("s"), F.lit(GRAM)))).alias("gram"))
+    rarest = mine.join(held, ["doc_id", "gram"], "left").groupBy("doc_id", "s").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.max(F.col("n").isNull().cast("int")).alias("lacks"))
+    return rarest.where("lacks = 0").join(index, ["doc_id", "gram"]).where(F.contains("l", F.col("s"))).select("doc_id", "s", "l")
+
+
+def pairs_by_grams(fields: DataFrame, tokens: DataFrame) -> DataFrame:
+    """doc_id, text, str: texts of fields and tokens that are equal, or one of which holds the other."""
+    texts, strs = fields.select("doc_id", "text").distinct(), tokens.select("doc_id", "str").distinct()
+    equal = texts.join(strs.withColumn("text", F.trim("str")), ["doc_id", "text"]).select("doc_id", "text", "str")
+    longer = strs.where(F.length("str") >= 2)
+    within = contained(longer.select("doc_id", F.col("str").alias("s")), texts.select("doc_id", F.col("text").alias("l"))).select("doc_id", F.col("l").alias("text"), F.col("s").alias("str"))
+    around = contained(texts.select("doc_id", F.col("text").alias("s")), longer.select("doc_id", F.col("str").alias("l"))).select("doc_id", F.col("s").alias("text"), F.col("l").alias("str"))
+    return equal.union(within).union(around).distinct()
+
+
 def locate(fields: DataFrame, tokens: DataFrame) -> DataFrame:
     """The token that shows each field (doc_id, field_id, text, page): equal on its page, else one that holds it or that
     it holds (of two characters or more) there, else equal anywhere, else by holding anywhere; the first in order. Joins
     within a document only; tokens: doc_id, at, str, page, x, y, w, h."""
-    f, t = fields.alias("f"), tokens.alias("t")
-    text, token = F.trim(F.col("f.text")), F.col("t.str")
-    same = F.trim(token) == text
-    part = (F.length(token) >= 2) & (F.contains(text, token) | F.contains(token, text))
-    here = F.col("t.page") == F.col("f.page")
-    grade = F.when(same & here, 1).when(part & here, 2).when(same, 3).when(part, 4)
-    hits = f.join(t, (F.col("f.doc_id") == F.col("t.doc_id")) & (text != "") & (same | part)).groupBy("f.doc_id", "f.field_id", "f.page").agg(F.min_by(F.struct("t.page", "t.x", "t.y", "t.w", "t.h", "t.at"), F.struct(grade, F.col("t.at"))).alias("b"))
+    f = fields.select("doc_id", "field_id", F.col("page").alias("f_page"), F.trim("text").alias("text")).where("text <> ''")
+    place = F.struct("page", "x", "y", "w", "h", "at")
+    many = f.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("doc_id")
+    same, part = F.trim("str") == F.col("text"), (F.length("str") >= 2) & (F.contains("text", F.col("str")) | F.contains("str", F.col("text")))
+    crowded = not many.isEmpty()
+    few = f.join(many, "doc_id", "left_anti") if crowded else f
+    # few fields for each document, so a token meets FEW of them at most
+    found = tokens.select("doc_id", "str", place.alias("t")).join(small(few), "doc_id").where(same | part)
+    if crowded:
+        f = f.join(many, "doc_id", "left_semi")
+        t = tokens.join(many, "doc_id", "left_semi").groupBy("doc_id", "str", "page").agg(F.min_by(place, "at").alias("t"))
+        by_grams = f.join(pairs_by_grams(f, t), ["doc_id", "text"]).join(t.drop("page"), ["doc_id", "str"])
+        found = found.unionByName(by_grams.select(*found.columns))
+    here = F.col("t.page") == F.col("f_page")
+    grade = F.when(same & here, 1).when(part & here, 2).when(same, 3).otherwise(4)
+    hits = found.groupBy("doc_id", "field_id", "f_page").agg(F.min_by("t", F.struct(grade, F.col("t.at"))).alias("b"))
     clip = lambda c, lo, hi: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.round(c, 2)))
     return hits.select("doc_id", "field_id", F.col("b.at").alias("at"), F.col("b.page").alias("page"), clip(F.col("b.x"), 0, 100).alias("x"), clip(F.col("b.y"), 0, 100).alias("y"), clip(F.col("b.w") + 1.0, 2, 60).alias("w"), clip(F.col("b.h") + 0.5, 1.5, 10).alias("h"))
 
