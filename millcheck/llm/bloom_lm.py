@@ -33,7 +33,7 @@ MU = 200.0
 #: Each entry has BITS bits of the filter and sets PROBES of them, all in one block of 512.
 BITS, PROBES = 10, 5
 #: A batch ends with the text that brings it to so many characters; a slice has the grams of about so many bytes of text.
-BATCH_CHARS, SLICE_BYTES = 16_000_000, 8_000_000
+BATCH_CHARS, SLICE_BYTES = 12_000_000, 8_000_000
 #: The most bytes of the filter that the driver and a worker hold at a time.
 PASS_BYTES = 128_000_000
 #: Documents whose crc32 of the id, modulo FOLDS, is HELD_OUT are not learnt from.
@@ -54,10 +54,11 @@ COUNT = np.array([0.0] + [(np.ceil(lo) + np.ceil(lo * BASE) - 1) / 2 if np.ceil(
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits in which every bit depends on every other."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 #: The upper 32 bits of a key choose its slice, which has a few million keys whatever the input; the lower 32 tell these apart.
@@ -150,18 +151,21 @@ class Text:
         hashes = np.array([END, *(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in vocabulary[1:])], dtype=np.uint64)
         self.length = np.array([len(x) + 1 for x in lists], dtype=np.int64)
         self.start = self.length.cumsum() - self.length
-        self.token = np.zeros(int(self.length.sum()), dtype=np.int64)  # 0 is the end
+        self.token = np.zeros(int(self.length.sum()), dtype=np.int32)  # 0 is the end
         for s, x in zip(self.start, lists):
             self.token[s : s + len(x)] = x
-        self.at = np.arange(len(self.token)) - np.repeat(self.start, self.length)
-        self.words = mix(hashes)
-        x, self.keys = hashes[self.token], []
+        self.at = np.arange(len(self.token), dtype=np.int32)
+        self.at -= np.repeat(self.start.astype(np.int32), self.length)
+        self.words, self.keys = mix(hashes), []
         for n in range(2, order + 1):
-            before = np.empty_like(x)
+            before = np.empty(len(self.token), dtype=np.uint64)
             before[1:] = (self.keys[-1] if self.keys else self.words[self.token])[:-1]
             if n == 2:
                 before[self.start] = mix(BEGIN.reshape(1))[0]
-            self.keys.append(mix(mix(before) * np.uint64(3) + x))
+            key = mix(before)
+            key *= np.uint64(3)
+            key += hashes[self.token]
+            self.keys.append(mix(key))
 
     def grams(self, chosen: np.ndarray) -> np.ndarray:
         """The keys of all grams of two tokens and more of the chosen documents."""
