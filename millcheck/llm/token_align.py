@@ -3,8 +3,8 @@
 A text is cut where a lone space stands between two characters that are not white space: neither tokenizer has a token
 across such a place, so stretches are encoded and aligned one by one, and each distinct one once per batch of documents.
 DuckDB aligns a batch's new stretches inside its task: token interval tables of both sides on one axis of bytes, semi-joins
-for the ends that both share, window sums of these for the groups, ASOF joins for the tokens that overlap and for the
-stretch of each group. A batch writes its documents as lists of stretches, and its distinct id pairs with the number of
+for the ends that both share, window sums of these for the groups, ASOF joins for the stretch of each group and, for the table
+of translations, for the tokens that overlap. A batch writes its documents as lists of stretches, and its distinct id pairs with the number of
 documents; Spark merges these counts and sends each batch those of its own pairs. No document's links are ever written out.
 """
 
@@ -36,6 +36,8 @@ FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents are read in parts of so many characters; a batch ends at so many distinct stretches, which are aligned so many at a time.
 PART_CHARS, MOST_STRETCHES, TOGETHER = 2_000_000, 400_000, 30_000
+#: Stretches that are encoded in one text.
+TEXT = 500
 #: Texts that do not simply fall apart at their spaces. All white space of Python's is in the class.
 ODD = r"[\s\pZ\x0b\x1c-\x1f\x{85}] | [\s\pZ\x0b\x1c-\x1f\x{85}]|^ | $|^$"
 CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -100,14 +102,42 @@ class Encoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         spelt = {i: bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         self.bytes_a, self.bytes_b = table_of(vocabulary), table_of(spelt)
-
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [self.encode_a(" " + p) for p in parts], self.b.encode(parts, num_threads=1) if parts else []
-
-    def whole(self, part: str, a: list[int], b: list[int]) -> bool:
-        """Both sides spell the stretch."""
-        raw = b" " + part.encode()
-        return b"".join(self.bytes_a[a]) == raw and b"".join(self.bytes_b[b]) == raw
+        self.length_a, self.length_b = (np.array([len(t) for t in table], dtype=np.int64) for table in (self.bytes_a, self.bytes_b))
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of all stretches, one after the other, and how many each has, of A and of B. For A, stretches that neither
+        begin nor end with white space are encoded many in one text, as texts fall apart between them, and cut by the bytes of
+        their tokens; others, and what these do not spell, go one by one."""
+        ids, sizes = [], []
+        plain = np.array([bool(p) and not p[0].isspace() and not p[-1].isspace() for p in parts], dtype=bool)
+        edges = np.flatnonzero(np.diff(plain)) + 1
+        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(parts)]):
+            for k in range(i, j, TEXT if j > i and plain[i] else 1):
+                said = [" " + p for p in parts[k : min(j, k + TEXT) if plain[i] else k + 1]]
+                tokens = np.array(self.encode_a("".join(said)), dtype=np.int32)
+                ends = np.fromiter(map(len, map(str.encode, said)), dtype=np.int64, count=len(said)).cumsum()
+                stops = self.length_a[tokens].cumsum()
+                cuts = np.searchsorted(stops, ends)
+                if len(said) > 1 and (not len(stops) or stops[-1] != ends[-1] or (stops[cuts] != ends).any()):
+                    each = [self.encode_a(x) for x in said]
+                    ids += [np.array(x, dtype=np.int32) for x in each]
+                    sizes += map(len, each)
+                else:
+                    ids.append(tokens)
+                    sizes += np.diff(cuts + 1, prepend=0).tolist() if len(said) > 1 else [len(tokens)]
+        other = self.b.encode(parts, num_threads=1) if parts else []
+        flat = lambda x: np.fromiter(chain.from_iterable(x), dtype=np.int32)
+        return np.concatenate([np.zeros(0, dtype=np.int32), *ids]), np.array(sizes, dtype=np.int64), flat(other), np.fromiter(map(len, other), dtype=np.int64)
+
+    def whole(self, parts: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Which stretches both sides spell."""
+        raw = [b" " + p.encode() for p in parts]
+        ok = np.ones(len(parts), dtype=bool)
+        for ids, sizes, spelt in ((a, n_a, self.bytes_a), (b, n_b, self.bytes_b)):
+            if b"".join(spelt[ids]) != b"".join(raw) or not sizes.all():
+                ends = sizes.cumsum()
+                ok &= np.array([b"".join(spelt[ids[j - n : j]]) == r for r, j, n in zip(raw, ends.tolist(), sizes.tolist())], dtype=bool)
+        return ok
 
 
 def table_of(spelt: dict[int, bytes]) -> np.ndarray:
@@ -122,10 +152,13 @@ CREATE OR REPLACE TEMP TABLE cuts AS SELECT stop FROM ta SEMI JOIN tb USING (sto
 CREATE OR REPLACE TEMP TABLE a AS SELECT start, stop, id, (coalesce(sum(cut) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS g FROM (SELECT *, (stop IN (SELECT stop FROM cuts))::INT AS cut FROM ta);
 CREATE OR REPLACE TEMP TABLE b AS SELECT start, stop, id, (coalesce(sum(cut) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS g FROM (SELECT *, (stop IN (SELECT stop FROM cuts))::INT AS cut FROM tb);
 CREATE OR REPLACE TEMP TABLE cut_groups AS SELECT g, part, n_a, n_b FROM (SELECT g, min(start) AS start, count(*) AS n_a FROM a GROUP BY g) ga JOIN (SELECT g, count(*) AS n_b FROM b GROUP BY g) gb USING (g) ASOF JOIN parts p ON ga.start >= p.start;
-CREATE OR REPLACE TEMP TABLE links AS SELECT part, a, b, sum(n)::BIGINT AS times FROM (SELECT g, a.id AS a, b.id AS b, a.n * b.n AS n FROM (SELECT g, id, count(*) AS n FROM a GROUP BY ALL) a JOIN (SELECT g, id, count(*) AS n FROM b GROUP BY ALL) b USING (g)) JOIN cut_groups USING (g) GROUP BY ALL;
-CREATE OR REPLACE TEMP TABLE both_cover AS SELECT part, a, b, sum(least(stop_a, stop_b) - greatest(start_a, start_b))::BIGINT AS bytes FROM (
-  SELECT a.g, a.id AS a, b.id AS b, a.start AS start_a, a.stop AS stop_a, b.start AS start_b, b.stop AS stop_b FROM a ASOF JOIN b ON a.start >= b.start
-  UNION ALL SELECT a.g, a.id, b.id, a.start, a.stop, b.start, b.stop FROM b ASOF JOIN a ON b.start >= a.start WHERE b.start > a.start) JOIN cut_groups USING (g) GROUP BY ALL"""
+CREATE OR REPLACE TEMP TABLE links AS SELECT part, a, b, sum(n)::BIGINT AS times FROM (SELECT g, a.id AS a, b.id AS b, a.n * b.n AS n FROM (SELECT g, id, count(*) AS n FROM a GROUP BY ALL) a JOIN (SELECT g, id, count(*) AS n FROM b GROUP BY ALL) b USING (g)) JOIN cut_groups USING (g) GROUP BY ALL"""
+LINKED = "SELECT part, (a::BIGINT << 32) + b AS pair, times, 0::BIGINT AS bytes FROM links ORDER BY part"
+#: With the bytes that both tokens of a pair cover: either the one begins within the other, or the other within it.
+COVERED = """WITH overlaps_ AS (SELECT a.g, a.id AS a, b.id AS b, a.start AS start_a, a.stop AS stop_a, b.start AS start_b, b.stop AS stop_b FROM a ASOF JOIN b ON a.start >= b.start
+  UNION ALL SELECT a.g, a.id, b.id, a.start, a.stop, b.start, b.stop FROM b ASOF JOIN a ON b.start >= a.start WHERE b.start > a.start),
+covered AS (SELECT part, a, b, sum(least(stop_a, stop_b) - greatest(start_a, start_b))::BIGINT AS bytes FROM overlaps_ JOIN cut_groups USING (g) GROUP BY ALL)
+SELECT part, (a::BIGINT << 32) + b AS pair, times, coalesce(bytes, 0) AS bytes FROM links LEFT JOIN covered USING (part, a, b) ORDER BY part"""
 
 
 #: Each id with what may follow it.
@@ -134,21 +167,18 @@ DECIMAL = np.array([[f"{i}{mark}" for i in range(1 << 16)] for mark in ("", ",",
 
 class Aligned:
     """The alignment of distinct stretches: text and counts by stretch, and links (part, pair, times, bytes) by part. A pair is
-    a's id times 2^32 plus b's; times counts the token pairs that share a group, bytes those bytes that both tokens cover."""
-
-    def __init__(self, encoders: Encoders, parts: list[str]):
-        a, b = encoders.encode(parts)
-        spell = lambda ids, table: b"".join(table[flat(ids)])
-        raw = "".join([" " + p for p in parts]).encode()
-        self.ok = np.ones(len(parts), dtype=bool)
-        if spell(a, encoders.bytes_a) != raw or spell(b, encoders.bytes_b) != raw or any(not x for x in chain(a, b)):
-            self.ok = np.array([encoders.whole(*x) for x in zip(parts, a, b)], dtype=bool)
+    a's id times 2^32 plus b's; times counts the token pairs that share a group, bytes, if asked for, those bytes that both tokens
+    cover."""
+
+    def __init__(self, encoders: Encoders, parts: list[str], covered: bool):
+        a, n_a, b, n_b = encoders.encode(parts)
+        self.ok = encoders.whole(parts, a, n_a, b, n_b)
         good = np.flatnonzero(self.ok)
         con = duckdb.connect(config={"threads": 1})
-        for name, ids, spelt in (("ta", a, encoders.bytes_a), ("tb", b, encoders.bytes_b)):
-            tokens = flat([ids[i] for i in good])
-            stop = np.fromiter(map(len, spelt[tokens]), dtype=np.int64, count=len(tokens)).cumsum()
-            con.register(name, pa.table({"id": tokens, "start": np.concatenate([[0], stop[:-1]]).astype(np.int64)[: len(tokens)], "stop": stop}))
+        for name, ids, sizes, length in (("ta", a, n_a, encoders.length_a), ("tb", b, n_b, encoders.length_b)):
+            tokens = ids[np.repeat(self.ok, sizes)]
+            stop = length[tokens].cumsum()
+            con.register(name, pa.table({"id": tokens, "start": stop - length[tokens], "stop": stop}))
         ends = np.cumsum([0, *(len(parts[i].encode()) + 1 for i in good)])
         con.register("parts", pa.table({"part": good, "start": ends[:-1]}))
         con.execute(ALIGN)
@@ -158,7 +188,7 @@ class Aligned:
         for c in COUNTS:
             self.counts[c][per["part"]] = per[c]
         self.text = self.written(con, n)
-        links = con.sql("SELECT part, (a::BIGINT << 32) + b AS pair, times, coalesce(bytes, 0) AS bytes FROM links LEFT JOIN both_cover USING (part, a, b) ORDER BY part").fetchnumpy()
+        links = con.sql(COVERED if covered else LINKED).fetchnumpy()
         self.part, self.pair, self.times, self.bytes = (np.asarray(links[c]).astype(np.int64) for c in ("part", "pair", "times", "bytes"))
         con.close()
 
@@ -177,10 +207,6 @@ class Aligned:
         return ["".join(said[i:j]) for i, j in zip(first, first[1:])]
 
 
-def flat(lists: list[list[int]]) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(lists), dtype=np.int32)
-
-
 def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """All numbers from each start to before its stop."""
     n = stop - start
@@ -212,7 +238,8 @@ KINDS = {pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array
 class Batch:
     """The distinct stretches of a batch's documents so far, with what is known of each."""
 
-    def __init__(self, encoders: Encoders, number: int):
+    def __init__(self, encoders: Encoders, number: int, covered: bool = False):
+        self.covered = covered
         self.encoders, self.number, self.places, self.pairs = encoders, number, {}, {}
         self.ok, self.text, self.counts = np.zeros(0, dtype=bool), [], np.zeros((len(COUNTS), 0), dtype=np.int64)
         self.part, self.place, self.times, self.bytes = (np.zeros(0, dtype=np.int32) for _ in range(4))
@@ -222,7 +249,7 @@ class Batch:
         """Aligns the stretches that are new; the links of some of them at a time."""
         parts = list(self.places)[len(self.text) :]
         for i in range(0, len(parts), TOGETHER):
-            first, new = len(self.text), Aligned(self.encoders, parts[i : i + TOGETHER])
+            first, new = len(self.text), Aligned(self.encoders, parts[i : i + TOGETHER], self.covered)
             pairs, at = np.unique(new.pair, return_inverse=True)
             place = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in pairs.tolist()], dtype=np.int32)[at]
             self.ok, self.text, self.counts = np.concatenate([self.ok, new.ok]), self.text + new.text, np.concatenate([self.counts, np.stack([new.counts[c] for c in COUNTS])], axis=1)
@@ -237,11 +264,17 @@ class Batch:
         lists = [x if self.ok[x].all() else x[:0] for x in lists]
         self.occurs = np.concatenate([self.occurs, np.zeros(len(self.text) - len(self.occurs), dtype=np.int64)])
         self.docs = np.concatenate([self.docs, np.zeros(len(self.pairs) - len(self.docs), dtype=np.int64)])
-        first = np.searchsorted(self.part, np.arange(len(self.text) + 1))
-        for x in lists:
-            parts, n = np.unique(x, return_counts=True)
-            self.occurs[parts] += n
-            self.docs[np.unique(self.place[ranges(first[parts], first[parts + 1])])] += 1
+        # distinct (document, stretch) and then (document, pair), all documents at once
+        n = max(1, len(self.text))
+        of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        held, times = np.unique(of * n + np.concatenate([np.zeros(0, dtype=np.int64), *lists]).astype(np.int64), return_counts=True)
+        of, parts = held // n, held % n
+        np.add.at(self.occurs, parts, times)
+        first = np.searchsorted(self.part, np.arange(n + 1))
+        size = first[parts + 1] - first[parts]
+        m = max(1, len(self.pairs))
+        pairs = np.unique(np.repeat(of, size) * m + self.place[ranges(first[parts], first[parts + 1])])
+        self.docs += np.bincount(pairs % m, minlength=m)[: len(self.pairs)]
         text = self.text
         counts = [self.counts[:, x].sum(axis=1).tolist() for x in lists]
         columns = {"id": ids, **{c: [n[k] for n in counts] for k, c in enumerate(COUNTS)}, "parts": [shrunk(x) for x in lists]}
@@ -264,7 +297,7 @@ class Batch:
         return pa.RecordBatch.from_pydict(columns | {c: pa.array([None] * d + [x.get(c) for x in own], t) for c, t in {**LINKS, **PAIRS}.items()})
 
 
-def batches(docs: DataFrame, path: str, id_col: str, text_col: str, tokenizers: str, part_chars: int, most_stretches: int) -> DataFrame:
+def batches(docs: DataFrame, path: str, id_col: str, text_col: str, tokenizers: str, part_chars: int, most_stretches: int, covered: bool = False) -> DataFrame:
     """Writes the rows of all batches and reads them again. A batch is numbered by its partition and its place in it."""
     with open(os.path.join(tokenizers, FILE_A), encoding="utf-8") as f, open(os.path.join(tokenizers, FILE_B), "rb") as g:
         vocabularies = f.read(), g.read()
@@ -275,7 +308,7 @@ def batches(docs: DataFrame, path: str, id_col: str, text_col: str, tokenizers:
         encoders, number, batch = None, TaskContext.get().partitionId() << 32, None
         for ids, texts in in_parts(source, part_chars):
             encoders = encoders or Encoders(*vocabularies)
-            batch = batch or Batch(encoders, number)
+            batch = batch or Batch(encoders, number, covered)
             yield batch.add(ids.cast(kind), texts)
             if len(batch.places) >= most_stretches:
                 yield batch.close(kind)
@@ -317,7 +350,7 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
 
 def translations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, part_chars: int = PART_CHARS, most_stretches: int = MOST_STRETCHES) -> DataFrame:
     """The table from A's ids to B's: a, b, docs, times, bytes, best, as corpus_counts() says."""
-    return corpus_counts(batches(docs, scratch(docs.sparkSession, "tokens"), id_col, text_col, tokenizers, part_chars, most_stretches)).drop("pair")
+    return corpus_counts(batches(docs, scratch(docs.sparkSession, "tokens"), id_col, text_col, tokenizers, part_chars, most_stretches, True)).drop("pair")
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, part_chars: int = PART_CHARS, most_stretches: int = MOST_STRETCHES) -> DataFrame:
