@@ -33,12 +33,6 @@ def half_even(value: Column, decimals: int | Column) -> Column:
     return F.coalesce(F.when(decimals.isNotNull(), once(exact(value), rounded)), value)
 
 
-def half_up(value: Column, decimals: int) -> Column:
-    """floor(x * 10^d + 0.5) / 10^d."""
-    scale = 10**decimals
-    return F.floor(value * scale + 0.5) / scale
-
-
 def compare(value: Column, limit: Column, op: str, decimals: int | None = None) -> tuple[Column, Column]:
     """Whether value op limit holds, for op among <=, <, >=, >, == , and the deviation: positive is beyond the limit."""
     v, m = value if decimals is None else half_even(value, decimals), limit
