@@ -13,7 +13,7 @@ groups. Words go by the same slices: one task adds a slice's words up over all b
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +101,13 @@ def bits_of(keys: np.ndarray, levels: np.ndarray, blocks: np.ndarray) -> tuple[n
 class Filter:
     """Some slices of the filter: 64-bit words, and for each slice of all its first block and number of blocks, 0 if not here."""
 
-    def __init__(self, slices: int, parts: list[tuple[int, bytes]]):
-        self.slices = slices
-        self.words = np.frombuffer(b"".join(b for _, b in parts), dtype="<u8")
+    def __init__(self, slices: int, parts: Iterable[tuple[int, bytes]]):
+        self.slices, bits = slices, bytearray()
         self.first, self.blocks = np.zeros(slices, dtype=np.int64), np.zeros(slices, dtype=np.uint64)
-        at = 0
         for s, b in parts:
-            self.first[s], self.blocks[s] = at, len(b) // 64
-            at += len(b) // 64
+            self.first[s], self.blocks[s] = len(bits) // 64, len(b) // 64
+            bits += b
+        self.words = np.frombuffer(bits, dtype="<u8")
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, 0 for those of other slices and, but for false positives, those without a count."""
@@ -299,9 +298,9 @@ def documents_of(docs: pa.Table, own: pa.Table, order: int) -> tuple[Text, np.nd
 
 
 def sent(bits: DataFrame, slices: int, group: list[int]) -> Broadcast:
-    """Broadcasts a group of slices, whose size groups_of has bounded."""
-    here = bits.where(F.col("slice").between(group[0], group[-1])).collect() if group else []
-    return bits.sparkSession.sparkContext.broadcast(Filter(slices, [(r.slice, bytes(r.bits)) for r in here]))
+    """Broadcasts a group of slices, whose size groups_of has bounded. They come to the driver a few at a time."""
+    here = bits.where(F.col("slice").between(group[0], group[-1])).toLocalIterator() if group else ()
+    return bits.sparkSession.sparkContext.broadcast(Filter(slices, ((r.slice, r.bits) for r in here)))
 
 
 def asking(bloom: Broadcast, order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
