@@ -58,31 +58,37 @@ def hint(c: Column) -> Column:
 
 
 def canonical(name: Column, category: Column | None = None, unit: Column | None = None, number: Column | None = None) -> Column:
-    """struct(property_key, category, sub_property, is_known). unit and number tell roughness from surface quality."""
-    k = cleaned(name)
+    """struct(property_key, category, sub_property, is_known). unit and number tell roughness from surface quality.
+
+    The cleaned name is worked out once a row and bound, as the tests use it some seventy times."""
     category = F.lit(None).cast("string") if category is None else category
     unit = F.lit(None).cast("string") if unit is None else unit
     made = lambda p, c, s, known=True: F.struct(p.alias("property_key"), c.alias("category"), s.cast("string").alias("sub_property"), F.lit(known).alias("is_known"))
     names = F.create_map(*[F.lit(x) for e, s in ELEMENTS.items() for x in (e, s)])
-    symbol = F.when(k.isin(SYMBOLS), k).otherwise(F.try_element_at(names, k))
-    chain = F.when(symbol.isNotNull(), made(F.initcap(symbol), F.lit("chemical"), F.lit(None)))
-    for start, has, without, whole, key, cat, sub in TESTS:
-        test = any_of(k, has) & ~any_of(k, without) if without else any_of(k, has)
-        if start:
-            test = test | k.rlike(f"^({start})")
-        if whole:
-            test = test | k.isin(*whole)
-        value = made(F.lit(key), F.lit(cat), F.lit(sub))
-        if key == "surface_roughness":
-            value = made(F.lit(key), F.lit(cat), F.when(F.contains(k, F.lit("RZ")), "Rz").otherwise("Ra"))
-        if key == "surface_quality":
-            rough = unit.isin(*ROUGHNESS_UNITS)
-            if number is not None:
-                rough = rough | (number.isNotNull() & unit.isNotNull() & (F.trim(unit) != ""))
-            chain = chain.when(test & F.coalesce(rough, F.lit(False)), made(F.lit("surface_roughness"), F.lit("surface"), F.lit("Ra")))
-        chain = chain.when(test, value)
     other = F.regexp_replace(F.lower(F.trim(name)), r"[\s\-]+", "_")
-    return F.when(name.isNull(), F.lit(None)).otherwise(chain.otherwise(made(other, hint(category), F.lit(None), False)))
+
+    def tested(k: Column) -> Column:
+        symbol = F.when(k.isin(SYMBOLS), k).otherwise(F.try_element_at(names, k))
+        chain = F.when(symbol.isNotNull(), made(F.initcap(symbol), F.lit("chemical"), F.lit(None)))
+        for start, has, without, whole, key, cat, sub in TESTS:
+            test = any_of(k, has) & ~any_of(k, without) if without else any_of(k, has)
+            if start:
+                test = test | k.rlike(f"^({start})")
+            if whole:
+                test = test | k.isin(*whole)
+            value = made(F.lit(key), F.lit(cat), F.lit(sub))
+            if key == "surface_roughness":
+                value = made(F.lit(key), F.lit(cat), F.when(F.contains(k, F.lit("RZ")), "Rz").otherwise("Ra"))
+            if key == "surface_quality":
+                rough = unit.isin(*ROUGHNESS_UNITS)
+                if number is not None:
+                    rough = rough | (number.isNotNull() & unit.isNotNull() & (F.trim(unit) != ""))
+                chain = chain.when(test & F.coalesce(rough, F.lit(False)), made(F.lit("surface_roughness"), F.lit("surface"), F.lit("Ra")))
+            chain = chain.when(test, value)
+        return chain.otherwise(made(other, hint(category), F.lit(None), False))
+
+    chain = F.get(F.transform(F.array(cleaned(name)), tested), F.lit(0))
+    return F.when(name.isNull(), F.lit(None)).otherwise(chain)
 
 
 def category_of(key: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millcheck.functions.keys import canonical, cleaned
-from millcheck.operators.audit import small
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -25,23 +24,44 @@ def intervals(events: DataFrame) -> DataFrame:
     return x.where(valid).select("key", F.col("taught.property_key").alias("property_key"), F.col("taught.category").alias("category"), F.col("event_at").alias("valid_from"), "valid_to")
 
 
+#: Seconds of a range of time: a name that very many records have is as many tasks as it has ranges.
+RANGE = 86_400
+
+
 def as_of(records: DataFrame, known: DataFrame, name: str, at: str) -> DataFrame:
     """records with learned: struct(property_key, category) of the alias that was valid for their name at their time, null if
-    none was. Intervals of a key do not overlap, so no record is doubled; a key that very many records have is split by the
-    skew join, as each side is only looked up."""
-    k = small(known.select(F.col("key").alias("key_"), F.struct("property_key", "category").alias("learned"), "valid_from", "valid_to"))
-    x = records.withColumn("asked_", cleaned(F.trim(F.col(name))))
-    on = (F.col("asked_") == F.col("key_")) & (F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
-    return x.join(k, on, "left").drop("asked_", "key_", "valid_from", "valid_to")
+    none was.
+
+    Intervals of a key do not overlap, so the last one that began decides. Records and intervals are sorted together by key
+    and range of time, and each range begins with the last interval of the ranges before it, so the work grows with the rows,
+    however many intervals and records a key has."""
+    begins = known.select(F.col("key").alias("asked_"), F.col("valid_from").alias("at_"), F.struct("valid_from", "valid_to", F.struct("property_key", "category").alias("learned")).alias("i_")).withColumn("range_", F.floor(F.col("at_").cast("double") / RANGE))
+    x = records.withColumns({"asked_": cleaned(F.trim(F.col(name))), "at_": F.col(at).cast("timestamp")})
+    placed = F.col("asked_").isNotNull() & F.col("at_").isNotNull()
+    none = F.lit(None).cast("struct<property_key:string,category:string>")
+    apart = x.where(~placed).select(*records.columns, none.alias("learned"))
+    x = x.where(placed).withColumn("range_", F.floor(F.col("at_").cast("double") / RANGE))
+    ranges = x.select("asked_", "range_").distinct().select("*", F.lit(None).cast(begins.schema["i_"].dataType).alias("i_"))
+    ranges = ranges.union(begins.groupBy("asked_", "range_").agg(F.max_by("i_", "at_").alias("i_"))).groupBy("asked_", "range_").agg(F.first("i_", ignorenulls=True).alias("i_"))
+    before = Window.partitionBy("asked_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select("asked_", "range_", F.last("i_", ignorenulls=True).over(before).alias("i_")).where("i_ is not null").withColumn("at_", F.col("i_.valid_from"))
+    own = F.struct(*records.columns)
+    begins = begins.unionByName(carried).select("asked_", "range_", "at_", "i_", F.lit(None).cast(x.select(own.alias("r")).schema["r"].dataType).alias("r_"))
+    rows = begins.unionByName(x.select("asked_", "range_", "at_", F.lit(None).cast(begins.schema["i_"].dataType).alias("i_"), own.alias("r_")))
+    # an interval comes before the records of its first moment
+    so_far = Window.partitionBy("asked_", "range_").orderBy("at_", F.col("i_").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("i_", F.last("i_", ignorenulls=True).over(so_far)).where("r_ is not null")
+    valid = F.col("i_.valid_to").isNull() | (F.col("at_") < F.col("i_.valid_to"))
+    return rows.select("r_.*", F.when(valid, F.col("i_.learned")).alias("learned")).union(apart)
 
 
 def property_as_of(records: DataFrame, known: DataFrame, name: str, at: str, category: Column | None = None, unit: Column | None = None) -> DataFrame:
     """records with property: struct(property_key, category, sub_property, is_known, is_learned). What reviewers have taught
     goes before the cascade of functions.keys."""
-    found = canonical(F.col(name), category, unit)
     learned = F.struct("learned.property_key", "learned.category", F.lit(None).cast("string").alias("sub_property"), F.lit(True).alias("is_known"), F.lit(True).alias("is_learned"))
-    usual = F.struct(found["property_key"].alias("property_key"), found["category"].alias("category"), found["sub_property"].alias("sub_property"), found["is_known"].alias("is_known"), F.lit(False).alias("is_learned"))
-    return as_of(records, known, name, at).withColumn("property", F.when(F.col("learned").isNotNull(), learned).otherwise(usual)).drop("learned")
+    usual = F.struct("found_.property_key", "found_.category", "found_.sub_property", "found_.is_known", F.lit(False).alias("is_learned"))
+    x = as_of(records, known, name, at).withColumn("found_", canonical(F.col(name), category, unit))
+    return x.withColumn("property", F.when(F.col("learned").isNotNull(), learned).otherwise(usual)).drop("learned", "found_")
 
 
 # Usual names of grades: primary name, code, structure, and all names without marks in upper case.

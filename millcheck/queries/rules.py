@@ -183,7 +183,8 @@ def q_formula_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     texts = F.concat(size, F.lit(" * (ctx.mechanical.quantity + S) - max(ctx.mechanical.quantity, "), size, F.lit(" / 2)"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", programs.compiled(texts).alias("steps"))
-    x = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    # steps are many times the size of the file that they come from, by which a broadcast would be chosen
+    x = table(spark, sf_dir, "lineitem").join(parts.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     value = programs.evaluate(F.col("steps"), lambda source, name: F.when(source == "record", F.col("l_quantity")).when(source == "dimension", F.col("p_retailprice")))
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value.alias("bound"), "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "bound", (F.col("l_extendedprice") >= F.col("bound")).alias("inside"))
 

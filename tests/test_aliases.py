@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millcheck.functions import text
+from millcheck.functions.keys import canonical
 from millcheck.operators import aliases, lookup
 
 DAY = dt.datetime(2024, 1, 1)
@@ -117,3 +118,21 @@ def test_results_of_free_text(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.result(F.col("t")).alias("r"), text.level(F.col("t")).alias("l"))
     assert {x.t: (x.r, x.l) for x in df.collect()} == cases
+
+
+def test_one_busy_name(spark):
+    """A hundred thousand intervals and as many records of one name: the work grows with the rows, not with their product."""
+    n = 100_000
+    at = lambda shift: F.timestamp_seconds(F.col("id") * 60 + shift)
+    known = spark.range(n).select(F.lit("RM").alias("key"), F.concat(F.lit("p"), "id").alias("property_key"), F.lit("c").alias("category"), at(0).alias("valid_from"), F.when(F.col("id") % 3 > 0, at(30)).otherwise(at(60)).alias("valid_to"))
+    records = spark.range(n).select("id", F.lit(" rm").alias("raw"), at(30).alias("at"))
+    began = time.perf_counter()
+    got = aliases.as_of(records, known, "raw", "at")
+    right = F.col("learned.property_key").eqNullSafe(F.when(F.col("id") % 3 == 0, F.concat(F.lit("p"), "id")))
+    assert got.agg(F.count("*"), F.count(F.when(right, 1))).collect() == [(n, n)]
+    assert time.perf_counter() - began < 60
+
+
+def test_a_name_is_cleaned_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("s")).select(canonical(F.col("s")).alias("k")).select("k.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 9
