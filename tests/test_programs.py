@@ -115,3 +115,11 @@ def test_a_large_catalogue_plans_at_once(spark):
     x._jdf.queryExecution().executedPlan()
     assert time.perf_counter() - began < 10
     assert x.where(F.col("v") != F.col("id") * 2 + 0.5 - F.greatest(F.lit(3), "id")).count() == 0 and x.where("v is not null").count() == n
+
+
+def test_steps_of_a_large_catalogue_are_not_broadcast(spark):
+    """The parts' file is small, their steps are not: a broadcast chosen by the file fails."""
+    from millcheck.queries import QUERIES
+
+    plan = QUERIES["q_formula_catalogue"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
