@@ -66,12 +66,40 @@ def slots(records: DataFrame) -> DataFrame:
 
 def arbitrate(slotted: DataFrame, keys: tuple = ("cert_id", "slot")) -> DataFrame:
     """The record that holds each slot, and the best that it superseded: rank first, then order."""
-    fields = [c for c in slotted.columns if c not in (*keys, "rank_")]
+    fields = [c for c in slotted.columns if c not in (*keys, "rank_", "n_")]
+    n = F.sum("n_") if "n_" in slotted.columns else F.count("*")
     order = F.struct(-F.col("rank_"), F.col("pos"))
-    best = slotted.groupBy(*keys).agg(F.min_by(F.struct(*fields), order).alias("record"), F.count("*").alias("n_records"), F.min(order).alias("o_"))
+    best = slotted.groupBy(*keys).agg(F.min_by(F.struct(*fields), order).alias("record"), n.alias("n_records"), F.min(order).alias("o_"))
     return best.select(*keys, "record", "n_records")
 
 
+def settled(records: DataFrame) -> DataFrame:
+    """The best record of each certificate among those that are found under the same names, with n_: how many those are; pos
+    is an int.
+
+    They compete for the same slots, so only the best has to be looked up under its names. Ranks, positions and values are
+    compared as plain numbers, apart by text and level, so that this is a hash aggregate: the records are never sorted."""
+    kind = ["cert_id", "category", "property_key", "sub_property", "text", "level"]
+    r = rank(F.col("provenance"), PROVENANCE_RANK, 2).cast("long")
+    order = F.coalesce(F.col("pos").cast("long"), F.lit(-(2**31))) - r * 2**32
+    # an order of its own for each rank and position; whether there is a value decides about names
+    x = records.groupBy(*kind, F.col("value").isNull().alias("empty_")).agg(F.min_by("value", order).alias("value"), F.min_by("pos", order).alias("pos"), F.min_by(r, order).alias("held_rank_"), F.count("*").alias("n_"))
+    return x.drop("empty_")
+
+
+def settled_slots(records: DataFrame) -> DataFrame:
+    """As slots, of the settled records alone, with n_."""
+    s = settled(records)
+    return slots(s.withColumn("provenance", F.lit(None).cast("string"))).drop("provenance", "rank_").withColumnRenamed("held_rank_", "rank_")
+
+
+def dealt(df: DataFrame, key: str, rows: int = 500_000) -> DataFrame:
+    """df by key in as many tasks as it has so many rows, where those are more than a shuffle has, so that a task's memory stays
+    the same however large the table."""
+    n = df.count() // rows + 1
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def superseded(slotted: DataFrame, keys: tuple = ("cert_id", "slot")) -> DataFrame:
     """The best record of each slot that does not hold it."""
     w = Window.partitionBy(*keys).orderBy(F.desc("rank_"), "pos")

@@ -68,7 +68,7 @@ def audit(certs: DataFrame, records: DataFrame, rules: DataFrame, extras: DataFr
     steps = F.concat(F.coalesce("low_steps", F.array().cast(programs.STEPS)), F.coalesce("high_steps", F.array().cast(programs.STEPS)))
     numbers = rules.select(F.explode(F.filter(steps, lambda s: s["source"] == "record")).alias("s")).select(F.concat(F.lit(ops.NUMBER_OF), "s.name").alias("slot"))
     wanted = small(asked.select(F.explode("names").alias("slot")).union(numbers).distinct())
-    slotted = ops.slots(records).select("cert_id", "slot", "rank_", "pos", "value", "text", "level")
+    slotted = ops.settled_slots(records).select("cert_id", "slot", "rank_", "pos", "value", "text", "level")
     held = ops.held_maps(ops.arbitrate(slotted.join(wanted, "slot", "left_semi")))
     # by a merge join: the maps grow with the certificates, and everything after stays where it puts them
     x = certs.join(held.hint("merge"), "cert_id", "left").join(small(asked), "spec_key").withColumn("triggered", programs.holds(F.col("terms"), F.col("header"), F.col("dimensions")))

@@ -136,3 +136,23 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError):
         lineage.shared_dir(fake)
+
+
+def test_only_the_best_record_of_a_kind_is_looked_up(spark):
+    """Certificates of a few hundred records have slots by kinds of records, and the same records hold them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    pick = lambda *x: r.choice(x)
+    rows = [(c, i, pick("hardness", "Rm", "ultrasonic_test"), pick(None, "HV"), pick("mechanical", "chemical", None), pick(None, 1.0, 2.0, 3.0), pick(None, "PASS", "FAIL"), pick(None, "U2"), pick("core", "additional", "tier2_resolved", None)) for c in (1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "cert_id long, pos int, property_key string, sub_property string, category string, value double, text string, level string, provenance string")
+    columns = ["cert_id", "slot", "rank_", "pos", "value", "text", "level"]
+    all_ = lambda x: sorted(map(repr, x.select("cert_id", "slot", "record.pos", "record.value", "record.text", "record.level", "n_records").collect()))
+    slotted, few = audit.slots(df).select(*columns), audit.settled_slots(df)
+    assert all_(audit.arbitrate(slotted)) == all_(audit.arbitrate(few.select(*columns, "n_")))
+    assert few.count() * 2 < slotted.count()
+    plan = audit.settled(df)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert audit.dealt(df, "cert_id", 10).rdd.getNumPartitions() == 61 and audit.dealt(df.where(F.lit(True)), "cert_id").rdd.getNumPartitions() < 61
