@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millcheck.operators.audit import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four records per line: cert_id, pos, category, property_key, sub_property, value, text, level, provenance."""
-    li = table(spark, sf_dir, "lineitem")
+    li = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     li = li.withColumn("line", F.row_number().over(order))
     keys = ("quantity", "l_quantity"), ("extendedprice", "l_extendedprice"), ("discount", "l_discount"), ("tax", "l_tax")
