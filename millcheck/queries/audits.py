@@ -23,7 +23,7 @@ D = "cast(cast({} as varchar) as decimal(38,10))"
 
 @query(f"WITH {RECORDS} SELECT cert_id, property_key, value + 0.0 AS value, pos, n_records FROM held")
 def q_slot_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = ops.arbitrate(ops.slots(mapping.records(spark, sf_dir)).where("slot = property_key"))
+    held = ops.arbitrate(ops.settled_slots(mapping.records(spark, sf_dir)).where("slot = property_key"))
     return held.select("cert_id", F.col("slot").alias("property_key"), (F.col("record.value") + 0.0).alias("value"), F.col("record.pos").cast("long").alias("pos"), "n_records")
 
 
@@ -38,7 +38,9 @@ LEFT JOIN held a ON a.cert_id = o_orderkey AND a.property_key = k1 LEFT JOIN hel
 def q_rule_probe_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([("r1", ["hardness", "quantity"]), ("r2", ["tax", "discount"]), ("r3", ["nothing", "at_all"])], "rule_id string, names array<string>")
     pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cert_id")).crossJoin(ops.small(rules))
-    held = ops.arbitrate(ops.slots(mapping.records(spark, sf_dir)))
+    # only slots that some rule asks for are settled
+    wanted = ops.small(rules.select(F.explode("names").alias("slot")).distinct())
+    held = ops.arbitrate(ops.settled_slots(mapping.records(spark, sf_dir)).select("cert_id", "slot", "rank_", "pos", "property_key", "n_").join(wanted, "slot", "left_semi"))
     return ops.probe(pairs, held).select("cert_id", "rule_id", F.col("record.property_key").alias("found"))
 
 
@@ -51,7 +53,7 @@ SELECT cert_id, property_key, CASE WHEN val IS NULL THEN CASE WHEN level IN ('MA
  abs(cast(round_even(cast(cast(cast(dev as double) / coalesce(nullif(hi, 0), nullif(lo, 0), 1)::DOUBLE * 100 as varchar) as decimal(38,10)), 2) as double)) AS percent FROM y""")
 def q_numeric_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([("quantity", 5.0, 45.0, 0, "MANDATORY"), ("discount", None, 0.08, 2, "MANDATORY"), ("tax", 0.01, None, 2, "OPTIONAL_AGREED"), ("hardness", 1.0, 2.0, 0, "CONDITIONAL")], "property_key string, lo double, hi double, d int, level string")
-    held = ops.arbitrate(ops.slots(mapping.records(spark, sf_dir)).where("slot = property_key")).select("cert_id", F.col("slot").alias("property_key"), F.col("record.value").alias("value"))
+    held = ops.arbitrate(ops.settled_slots(mapping.records(spark, sf_dir)).where("slot = property_key")).select("cert_id", F.col("slot").alias("property_key"), F.col("record.value").alias("value"))
     x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cert_id")).crossJoin(ops.small(rules)).join(held, ["cert_id", "property_key"], "left")
     x = x.withColumn("value", verdicts.half_even(F.col("value"), F.col("d")))
     v = verdicts.numeric_range(F.col("value"), F.col("lo"), F.col("hi"), F.col("level"))
