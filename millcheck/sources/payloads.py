@@ -59,7 +59,8 @@ def records(payloads: DataFrame, key: str = "payload_id", body: str = "body") ->
 
     Chemistry and elongation are percent, strength is MPa, hardness the number in its scale, grain size a class; roughness has a
     number and a result, all others a result, a level and the number in their text."""
-    x = raw_records(payloads, key, body)
+    # a file of payloads is small for the work that they make: one that is read by a task or two is dealt to all
+    x = raw_records(payloads.repartition(3 * payloads.sparkSession.sparkContext.defaultParallelism), key, body)
     k = keys.canonical(F.col("name"), F.col("category"), F.col("unit"), text.measured(F.col("raw")))
     x = x.withColumn("k", k).select(key, "pos", "name", "k.category", "k.property_key", "k.sub_property", "k.is_known", "raw", F.col("unit").alias("raw_unit"))
     said, number = text.quantity(F.col("raw")), text.measured(F.col("raw"))

@@ -84,3 +84,8 @@ def test_numbers_by_time_with_all_on_one_day(spark):
     found = ledger.sequence_numbers(df)
     assert found.columns == ["session_id", "saved_at", "seq"] and {x.session_id: x.seq for x in found.collect()} == want
     assert ledger.sequence_numbers(df.limit(0)).count() == 0
+
+
+def test_a_small_file_of_payloads_is_work_for_all_tasks(spark):
+    df = spark.range(10, numPartitions=1).selectExpr("id payload_id", "'{}' body")
+    assert "RoundRobinPartitioning" in payloads.records(df)._jdf.queryExecution().executedPlan().toString()
