@@ -52,7 +52,7 @@ def increments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[DataFr
     """All orders as sessions by month, and in three parts."""
     verdict = F.when(F.col("o_orderstatus") == "F", "PASS").when(F.col("o_orderstatus") == "O", "FAIL").otherwise("HITL")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("session_id"), verdict.alias("verdict"), F.trunc("o_orderdate", "month").alias("day"))
-    return o, [o.where(f"session_id % 3 = {i}").repartition("day") for i in range(3)]
+    return o, [o.where(f"session_id % 3 = {i}") for i in range(3)]
 
 
 @query(f"WITH {LEDGER} SELECT session_id, verdict, day::VARCHAR AS day, session_id % 3 = 0 AND session_id IN (SELECT session_id FROM o) AS in_first FROM l")

@@ -16,6 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millcheck.operators.lineage import cut
+
 VERSION = "version long, day date, part string"
 
 
@@ -68,7 +70,8 @@ class Versions:
         """A version with the rows added, and without the days (day) that are replaced but for what rows has of them."""
         part, n = f"c{uuid.uuid4().hex}", self.latest()
         rows = rows.select(*self.names()).withColumn("day", F.coalesce("day", F.lit(self.NO_DAY).cast("date")))
-        rows.withColumn("part", F.lit(part)).write.partitionBy("part", "day").mode("append").parquet(self.rows)
+        # a day's rows in few files, a large day's in several tasks
+        rows.withColumn("part", F.lit(part)).hint("rebalance", "day").write.partitionBy("part", "day").mode("append").parquet(self.rows)
         self.publish(part, n, replaced)
         return n + 1
 
@@ -89,9 +92,10 @@ class Versions:
         are; the others are written again."""
         if not self.latest():
             return self.commit(new) if new is not None else 0
-        now, gone = self.read(), keys.select(on).where(F.col(on).isNotNull()).distinct()
-        touched = now.join(gone, on, "left_semi").select("day").distinct()
-        left = now.join(touched, "day", "left_semi").join(gone, on, "left_anti")
+        now, gone = self.read(), keys.select(on).where(F.col(on).isNotNull())
+        # found once, as what stays and what is listed both need it; a row per day
+        touched = cut(now.join(gone, on, "left_semi").select("day").distinct())
+        left = now.join(F.broadcast(touched), "day", "left_semi").join(gone, on, "left_anti")
         return self.commit(left if new is None else left.unionByName(new), touched)
 
     def changed_days(self, since: int) -> DataFrame:

@@ -105,3 +105,19 @@ def test_log_sink_has_each_line_once_after_a_crash(spark, tmp_path):
     assert len(got) == 65 and set(got) == {f"line {i}" for i in range(65)}
     assert [r.message for r in log_sink.recent(spark, f"{path}/log", 20, "ts", "message").collect()] == [f"line {i}" for i in range(64, 44, -1)]
     assert log_sink.recent(spark, f"{path}/log", 3, "ts", "message").columns == ["ts", "tag", "message"]
+
+
+def test_a_change_writes_a_day_by_one_task(spark, tmp_path):
+    """What stays after a deletion comes by session; without a shuffle by day each task would write a file of each day."""
+    v = Versions(spark, str(tmp_path), "session_id long, verdict string, day date")
+    rows = spark.range(4000).selectExpr("id session_id", "'PASS' verdict", "date_add(date'2024-01-01', cast(id % 5 as int)) day")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v.append(rows)
+        v.change(rows.where("session_id % 10 < 5").select("session_id"), "session_id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert v.read().count() == 2000
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in tmp_path.glob("rows/*/*") if d.is_dir()) and len(list(tmp_path.glob("rows/*/*"))) == 10
