@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millcheck.functions import programs, verdicts
 from millcheck.functions.verdicts import EDDY_RANK
 from millcheck.operators import lookup, overlay, rank
-from millcheck.operators.audit import small
+from millcheck.operators.audit import dealt, small
 from millcheck.plans.mapping import table
 from millcheck.queries import query
 
@@ -182,9 +182,10 @@ def q_formula_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A formula of its own for each part, compiled where the parts are and worked out for each line."""
     size = F.col("p_size").cast("string")
     texts = F.concat(size, F.lit(" * (ctx.mechanical.quantity + S) - max(ctx.mechanical.quantity, "), size, F.lit(" / 2)"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", programs.compiled(texts).alias("steps"))
+    # a small file of many parts is read by a task or two, which would compile them all
+    parts = table(spark, sf_dir, "part").repartition("p_partkey").select("p_partkey", "p_retailprice", programs.compiled(texts).alias("steps"))
     # steps are many times the size of the file that they come from, by which a broadcast would be chosen
-    x = table(spark, sf_dir, "lineitem").join(parts.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    x = dealt(table(spark, sf_dir, "lineitem"), "l_partkey").join(parts.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     value = programs.evaluate(F.col("steps"), lambda source, name: F.when(source == "record", F.col("l_quantity")).when(source == "dimension", F.col("p_retailprice")))
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value.alias("bound"), "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "bound", (F.col("l_extendedprice") >= F.col("bound")).alias("inside"))
 

@@ -1,6 +1,7 @@
 """Formulas, conditions and offsets as data against the compiler of single formulas and the rules they state."""
 
 import random
+import re
 import time
 
 import pytest
@@ -123,3 +124,17 @@ def test_steps_of_a_large_catalogue_are_not_broadcast(spark):
 
     plan = QUERIES["q_formula_catalogue"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_large_catalogue_is_dealt_before_it_is_compiled(spark, monkeypatch):
+    """Parts are compiled in the tasks of a shuffle, not in those of their file; lines are dealt to as many tasks as they need."""
+    from millcheck.operators.audit import dealt
+    from millcheck.queries import QUERIES, rules
+
+    monkeypatch.setattr(rules, "dealt", lambda df, key: dealt(df, key, 500), raising=False)
+    x = QUERIES["q_formula_catalogue"](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(p_partkey", plan[plan.index("ArrowEvalPython") :])
+    assert set(re.findall(r"hashpartitioning\([lp]_partkey#\d+L?, (\d+)\), (?:REPARTITION_BY_NUM|ENSURE_REQUIREMENTS)", plan)) == {str(n // 500 + 1)}
+    assert x.count() == n
